@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import index_key
+from ..session import ensure_checkpoint_dir
 
 # Fixed values of the score.
 SUBSTRING_BONUS, PREFIX_BONUS = -0.35, -0.15
@@ -75,8 +76,8 @@ def _forms(df: DataFrame, name: str) -> DataFrame:
 
 def _pieces(limit: str) -> tuple[str, str]:
     """SQL for the join keys of the candidate side and of the missing-name side under the distance limit ``limit``,
-    an expression over the longer length ``n``."""
-    t = lambda a, b: limit.replace("n", f"greatest({a}, {b})")
+    an expression over the longer length ``{n}``."""
+    t = lambda a, b: limit.format(n=f"greatest({a}, {b})")
     # The other side's length differs by at most the limit of the longer of the two.
     span = lambda own: f"filter(sequence(greatest(1, int({own} * 0.5) - 3), {own} * 2 + 3), o -> abs({own} - o) <= {t(own, 'o')})"
     start = lambda length, i, tt: f"int(({i} * {length}) div ({tt} + 1))"
@@ -96,7 +97,7 @@ def _pieces(limit: str) -> tuple[str, str]:
 
 NEAR = "2"
 # A superset of the plausible distances of both forms.
-PLAUSIBLE = "greatest(3, int(floor(n * 0.35)))"
+PLAUSIBLE = "greatest(3, int(floor({n} * 0.35)))"
 
 
 def near_pairs(missing: DataFrame, index: DataFrame, limit: str) -> DataFrame:
@@ -132,7 +133,9 @@ def suggest_names(missing: DataFrame, index: DataFrame, k: int = 5) -> DataFrame
     queries = missing.select("registry", F.col("package_name").alias("query")).distinct()
     names = index.select("registry", F.col("package_name").alias("candidate")).distinct()
     seen = near_pairs(queries, names, NEAR).unionByName(containment_pairs(queries, names)).distinct()
-    first = top_k(score_pairs(seen), k)
+    ensure_checkpoint_dir(missing.sparkSession)
+    # At most k rows per name; stored once because three branches below read it.
+    first = top_k(score_pairs(seen), k).checkpoint()
     # Unseen pairs have both distances at least 3 and no containment, so they score no better than this.
     floor = 6 / (F.length(index_key(F.col("query"))) + 3) + PREFIX_BONUS
     settled = (
@@ -142,7 +145,7 @@ def suggest_names(missing: DataFrame, index: DataFrame, k: int = 5) -> DataFrame
         .select("registry", "query")
     )
     open_ = queries.join(settled, ["registry", "query"], "left_anti")
-    wide = near_pairs(open_, names, PLAUSIBLE).unionByName(seen.join(open_, ["registry", "query"], "left_semi")).distinct()
+    wide = near_pairs(open_, names, PLAUSIBLE).unionByName(containment_pairs(open_, names)).distinct()
     second = top_k(score_pairs(wide), k)
     done = first.join(settled, ["registry", "query"], "left_semi")
     return done.unionByName(second).withColumnRenamed("query", "package_name")
