@@ -21,6 +21,7 @@ from ..session import ensure_checkpoint_dir
 # Fixed values of the score.
 SUBSTRING_BONUS, PREFIX_BONUS = -0.35, -0.15
 _GRAM = 4
+_PAIR = ["registry", "query", "candidate", "_q", "_ql", "_c", "_cl"]
 
 
 def leaf(name: Column) -> Column:
@@ -29,14 +30,21 @@ def leaf(name: Column) -> Column:
     return F.coalesce(F.get(parts, F.size(parts) - 1), name)
 
 
+def _prepared(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Normalised full name and leaf next to each name, computed once per name instead of once per pair."""
+    return (
+        df.select("registry", F.col("package_name").alias(name))
+        .distinct()
+        .withColumn(f"_{key}", index_key(F.col(name)))
+        .withColumn(f"_{key}l", leaf(F.col(f"_{key}")))
+        .filter(F.col(f"_{key}") != "")
+    )
+
+
 def score_pairs(pairs: DataFrame) -> DataFrame:
-    """Score and plausibility of ``(query, candidate)`` name pairs; implausible pairs are dropped."""
+    """Score and plausibility of prepared name pairs; implausible pairs are dropped."""
     rows = (
-        pairs.withColumn("_q", index_key(F.col("query")))
-        .withColumn("_c", index_key(F.col("candidate")))
-        .withColumn("_ql", leaf(F.col("_q")))
-        .withColumn("_cl", leaf(F.col("_c")))
-        .filter("_q <> '' AND _c <> '' AND _q <> _c")
+        pairs.filter("_q <> _c")
         .withColumn("_full", F.levenshtein("_q", "_c"))
         .withColumn("_leaf", F.when((F.col("_q") == F.col("_ql")) & (F.col("_c") == F.col("_cl")), F.col("_full")).otherwise(F.levenshtein("_ql", "_cl")))
         .withColumn("distance", F.least("_full", "_leaf"))
@@ -63,15 +71,26 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:
+    """Best k distinct candidates per name. A pair found through several keys shares its dense rank with its copies, so
+    the rank limit works before the shuffle and only the survivors are made distinct."""
     by = Window.partitionBy("registry", "query").orderBy("score", "distance", "candidate")
-    return scored.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
+    return scored.withColumn("rank", F.dense_rank().over(by)).filter(F.col("rank") <= k).distinct()
+
+
+def _forms(df: DataFrame, name: str, kinds: dict[str, str]) -> DataFrame:
+    """Comparable forms of a name. Leaves meet leaves; full names meet only where one side has more than its leaf, since
+    the leaf says it all otherwise. ``kinds`` names the form per case: every name, scoped names, plain names."""
+    full, last = (F.col("_q"), F.col("_ql")) if name == "query" else (F.col("_c"), F.col("_cl"))
+    scoped = full != last
+    struct = lambda kind, s: F.struct(F.lit(kind).alias("kind"), s.alias("s"))
+    forms = [struct("leaf", last)]
+    for kind, case in kinds.items():
+        forms.append(F.when({"any": F.lit(True), "scoped": scoped, "plain": ~scoped}[case], struct(kind, full)))
+    return df.withColumn("_form", F.explode(F.array_compact(F.array(*forms)))).select(*df.columns, "_form.*")
 
 
-def _forms(df: DataFrame, name: str) -> DataFrame:
-    key = index_key(F.col(name))
-    return df.withColumn(
-        "_form", F.explode(F.array(F.struct(F.lit("full").alias("kind"), key.alias("s")), F.struct(F.lit("leaf").alias("kind"), leaf(key).alias("s"))))
-    ).select("registry", name, F.col("_form.kind").alias("kind"), F.col("_form.s").alias("s"))
+_QUERY_FORMS = {"scoped-any": "scoped", "plain-scoped": "plain"}
+_INDEX_FORMS = {"scoped-any": "any", "plain-scoped": "scoped"}
 
 
 def _pieces(limit: str) -> tuple[str, str]:
@@ -103,14 +122,14 @@ PLAUSIBLE = "greatest(3, int(floor({n} * 0.35)))"
 def near_pairs(missing: DataFrame, index: DataFrame, limit: str) -> DataFrame:
     """Pairs whose full names or leaves may lie within the edit-distance limit (a superset)."""
     candidate, query = _pieces(limit)
-    q = _forms(missing, "query").select("registry", "query", "kind", F.explode(F.array_distinct(F.expr(query))).alias("key"))
-    c = _forms(index, "candidate").select("registry", "candidate", "kind", F.explode(F.array_distinct(F.expr(candidate))).alias("key"))
-    return q.join(c, ["registry", "kind", "key"]).select("registry", "query", "candidate")
+    q = _forms(missing, "query", _QUERY_FORMS).withColumn("key", F.explode(F.array_distinct(F.expr(query)))).drop("s")
+    c = _forms(index, "candidate", _INDEX_FORMS).withColumn("key", F.explode(F.array_distinct(F.expr(candidate)))).drop("s")
+    return q.join(c, ["registry", "kind", "key"]).select(_PAIR)
 
 
 def containment_pairs(missing: DataFrame, index: DataFrame) -> DataFrame:
     """Pairs of which one full name or leaf contains the other (a superset)."""
-    qf, cf = _forms(missing, "query"), _forms(index, "candidate")
+    qf, cf = _forms(missing, "query", _QUERY_FORMS), _forms(index, "candidate", _INDEX_FORMS)
     parts = F.expr("array_distinct(flatten(transform(sequence(1, length(s)), i -> transform(sequence(1, length(s) - i + 1), n -> substr(s, i, n)))))")
     inside_query = qf.filter("s <> ''").withColumn("part", F.explode(parts)).join(
         cf.withColumnRenamed("s", "part"), ["registry", "kind", "part"]
@@ -124,15 +143,13 @@ def containment_pairs(missing: DataFrame, index: DataFrame) -> DataFrame:
         needle.join(cf.filter("s <> ''").withColumn("gram", F.explode(grams)), ["registry", "kind", "gram"])
         .filter(F.contains("s", "needle"))
     )
-    pick = ["registry", "query", "candidate"]
-    return inside_query.select(pick).unionByName(inside_candidate.select(pick))
+    return inside_query.select(_PAIR).unionByName(inside_candidate.select(_PAIR))
 
 
 def suggest_names(missing: DataFrame, index: DataFrame, k: int = 5) -> DataFrame:
     """The k best-scoring index names for each ``missing(registry, package_name)``; ``rank`` starts at 1."""
-    queries = missing.select("registry", F.col("package_name").alias("query")).distinct()
-    names = index.select("registry", F.col("package_name").alias("candidate")).distinct()
-    seen = near_pairs(queries, names, NEAR).unionByName(containment_pairs(queries, names)).distinct()
+    queries, names = _prepared(missing, "query", "q"), _prepared(index, "candidate", "c")
+    seen = near_pairs(queries, names, NEAR).unionByName(containment_pairs(queries, names))
     ensure_checkpoint_dir(missing.sparkSession)
     # At most k rows per name; stored once because three branches below read it.
     first = top_k(score_pairs(seen), k).checkpoint()
@@ -145,7 +162,7 @@ def suggest_names(missing: DataFrame, index: DataFrame, k: int = 5) -> DataFrame
         .select("registry", "query")
     )
     open_ = queries.join(settled, ["registry", "query"], "left_anti")
-    wide = near_pairs(open_, names, PLAUSIBLE).unionByName(containment_pairs(open_, names)).distinct()
+    wide = near_pairs(open_, names, PLAUSIBLE).unionByName(containment_pairs(open_, names))
     second = top_k(score_pairs(wide), k)
     done = first.join(settled, ["registry", "query"], "left_semi")
     return done.unionByName(second).withColumnRenamed("query", "package_name")
@@ -153,6 +170,5 @@ def suggest_names(missing: DataFrame, index: DataFrame, k: int = 5) -> DataFrame
 
 def suggest_from(missing: DataFrame, catalogue: DataFrame, k: int = 3) -> DataFrame:
     """Top-k against a fixed catalogue (a constant of the library, so each name meets all of it)."""
-    queries = missing.select("registry", F.col("package_name").alias("query")).distinct()
-    names = catalogue.select("registry", F.col("package_name").alias("candidate"))
+    queries, names = _prepared(missing, "query", "q"), _prepared(catalogue, "candidate", "c")
     return top_k(score_pairs(queries.join(F.broadcast(names), "registry")), k).withColumnRenamed("query", "package_name")

@@ -130,7 +130,7 @@ def with_positions(df: DataFrame, offset: str, text: str = "text", prefix: str =
 
 
 def group_count(pattern: str) -> int:
-    return re.compile(re.sub(r"\(\?<(?![=!])", "(?P<", pattern)).groups
+    return re.compile(re.sub(r"\(\?<(?![=!])", "(?P<", pattern).replace(r"\z", r"\Z")).groups
 
 
 def rule_array(rules: Sequence[Rule], groups: int = 0) -> Column:
