@@ -183,12 +183,13 @@ def refs_by_pattern(corpus: DataFrame, kinds: list[str] | None = None) -> DataFr
     """References of all pattern-based kinds (or only some) in one scan of the corpus."""
     chosen = list(pat.PATTERNS) if kinds is None else kinds
     pad = lambda p: f"(?:{p})" + "()" * (pat.GROUPS - group_count(p))
-    patterns = F.create_map(*[F.lit(x) for k in chosen for x in (k, tx.java_regex(pad(pat.PATTERNS[k]), "im" if k == "pom" else "m"))])
+    patterns = {i: tx.java_regex(pad(pat.PATTERNS[k]), "im" if k == "pom" else "m") for i, k in enumerate(chosen)}
+    number = F.create_map(*[F.lit(x) for i, k in enumerate(chosen) for x in (k, i)])
     rows = corpus.withColumn("kind", file_kind(F.col("file"), F.col("language"))).filter(F.col("kind").isin(chosen))
     named = lambda m: (F.col("kind").isin("pom", "requirements")) | (F.concat(*[m[f"g{i}"] for i in range(1, pat.GROUPS + 1)]) != "")
     spans = regex_spans(
-        rows.select("file", "text", "kind", F.element_at(patterns, F.col("kind")).alias("pattern")),
-        F.col("pattern"), groups=pat.GROUPS, keep=["file", "kind"], where=named,
+        rows.select("file", "text", "kind", F.struct(F.element_at(number, F.col("kind")).alias("ordinal")).alias("rule")),
+        patterns, groups=pat.GROUPS, keep=["file", "kind"], where=named,
     )
     return unique_references(_located(spans.withColumn("refs", _named(F.col("kind")))))
 

@@ -21,7 +21,7 @@ from ..rules import Rule
 # Positions are summed in two levels so that a text with very many matches stays near-linear.
 _CHUNK = 256
 _RULE_TYPE = (
-    "array<struct<ordinal:int,id:string,pattern:string,folded:boolean,symbols:array<string>,anchors:array<string>,"
+    "array<struct<ordinal:int,id:string,folded:boolean,symbols:array<string>,anchors:array<string>,"
     "languages:array<string>,severity:string,type:string,message:string,suggestion:string,layer:string>>"
 )
 _STATE = "struct<off:int,nl:int,col:int>"
@@ -47,9 +47,27 @@ def _measure(s: str) -> str:
     return f"named_struct('len', length({s}), 'nl', {_newlines(s)}, 'tail', {_tail(s)})"
 
 
+_MARK = "\uffff"
+
+
+def by_pattern(pattern: str | Column | dict[int, str], text: str, call: Callable[[str, str], str]) -> Column:
+    """A call of (text, pattern) with the pattern as SQL constant, per rule where there are several.
+
+    The choice among many rules sits in a lambda: lambdas are interpreted, so the rules do not pile up in one generated
+    method.
+    """
+    quote = lambda p: "'" + p.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(pattern, str):
+        return F.expr(call(f"`{text}`", quote(pattern)))
+    if isinstance(pattern, Column):
+        return F.expr(call(f"`{text}`", "_p"))
+    branches = " ".join(f"WHEN {i} THEN {call('t', quote(p))}" for i, p in pattern.items())
+    return F.expr(f"transform(array(`{text}`), t -> CASE rule.ordinal {branches} END)[0]")
+
+
 def regex_spans(
     df: DataFrame,
-    pattern: str | Column,
+    pattern: str | Column | dict[int, str],
     text: str = "text",
     groups: int = 0,
     keep: Sequence[str] | None = None,
@@ -58,23 +76,28 @@ def regex_spans(
     """One row per match of ``pattern``: ``match``, ``start``/``end`` (0-based characters), 1-based ``line``/``column``
     and ``end_line``/``end_column``, the ``ordinal`` within the text and ``g1..gN`` for capture groups.
 
-    The pattern may be a column, so that different rows use different rules. It must not match the empty string.
+    The pattern may be a column, or a dict by the row's ``rule.ordinal``, so that different rows use different rules; the
+    dict keeps every pattern a constant, compiled once per task. A pattern must not match the empty string.
     ``where`` keeps a match by its ``match``/``g1..gN`` before it becomes a row.
     """
     keep = list(df.columns) if keep is None else list(keep)
-    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
     state0 = "named_struct('off', 0, 'nl', 0, 'col', 0)"
     group_names = [f"g{i}" for i in range(1, groups + 1)]
 
-    cut = df.select("*", F.regexp_extract_all(F.col(text), pattern, F.lit(0)).alias("_m"), pattern.alias("_p"))
+    extract = lambda group: by_pattern(pattern, text, lambda t, p: f"regexp_extract_all({t}, {p}, {group})")
+    # Cutting at a mark put in place of each match is cheaper than a regular-expression split, which compiles its pattern
+    # on every call; a text that holds the mark itself takes that way nevertheless.
+    mark = f"'{_MARK}'"
+    marked = by_pattern(pattern, text, lambda t, p: f"regexp_replace({t}, {p}, {mark})")
+    plain = by_pattern(pattern, text, lambda t, p: f"split({t}, {p}, -1)")
+    pieces = F.when(F.contains(F.col(text), F.lit(_MARK)), plain).otherwise(F.split(marked, _MARK, -1))
+    cut = df if not isinstance(pattern, Column) else df.withColumn("_p", pattern)
+    cut = cut.select("*", extract(0).alias("_m"))
     # Texts without a match stop after the first pass.
     cut = cut.select(
         "*",
-        F.when(F.size("_m") > 0, F.split(F.col(text), F.col("_p"), -1)).alias("_s"),
-        *[
-            F.when(F.size("_m") > 0, F.regexp_extract_all(F.col(text), F.col("_p"), F.lit(i))).alias(f"_g{i}")
-            for i in range(1, groups + 1)
-        ],
+        F.when(F.size("_m") > 0, pieces).alias("_s"),
+        *[F.when(F.size("_m") > 0, extract(i)).alias(f"_g{i}") for i in range(1, groups + 1)],
     )
 
     captured = "".join(f", '{g}', _{g}[i]" for g in group_names)
@@ -133,16 +156,19 @@ def group_count(pattern: str) -> int:
     return re.compile(re.sub(r"\(\?<(?![=!])", "(?P<", pattern).replace(r"\z", r"\Z")).groups
 
 
-def rule_array(rules: Sequence[Rule], groups: int = 0) -> Column:
-    """The catalogue as one literal; ``ordinal`` keeps the order in which rules are evaluated.
+def rule_patterns(rules: Sequence[Rule], groups: int = 0) -> dict[int, str]:
+    """Patterns by ordinal. Rules with fewer than ``groups`` capture groups get empty ones, so that one expression serves
+    all of them."""
+    pad = lambda p: f"(?:{p})" + "()" * max(0, groups - group_count(p))
+    return {i: tx.java_regex(pad(r.pattern), r.flags) for i, r in enumerate(rules)}
 
-    Rules with fewer than ``groups`` capture groups get empty ones, so that one expression serves all of them.
-    """
+
+def rule_array(rules: Sequence[Rule]) -> Column:
+    """The catalogue as one literal; ``ordinal`` keeps the order in which rules are evaluated."""
     rows = [
         {
             "ordinal": i,
             "id": r.id,
-            "pattern": tx.java_regex(f"(?:{r.pattern})" + "()" * max(0, groups - group_count(r.pattern)), r.flags),
             "folded": "i" in r.flags,
             "symbols": r.symbols,
             "anchors": r.anchors,
@@ -192,12 +218,12 @@ def rule_spans(
             return anchored
         return ((F.size(rule["languages"]) == 0) | F.arrays_overlap(rule["languages"], F.col("_kinds"))) & anchored
 
-    candidates = base.select("file", "text", F.explode(F.filter(rule_array(rules, groups), applies)).alias("rule"))
+    candidates = base.select("file", "text", F.explode(F.filter(rule_array(rules), applies)).alias("rule"))
     keep = ["file", "rule"]
     if context_rules:
         candidates = candidates.withColumn("context", F.when(F.col("rule.id").isin(list(context_rules)), F.col("text")))
         keep.append("context")
-    return regex_spans(candidates, F.col("rule.pattern"), groups=groups, keep=keep, where=where)
+    return regex_spans(candidates, rule_patterns(rules, groups), groups=groups, keep=keep, where=where)
 
 
 def to_findings(

@@ -215,9 +215,14 @@ SECRETS = f"""{spans_sql('c', rule_values([*voc.PROVIDER_RULES]))},
 prov AS (SELECT file, rule, match, start, "end", line, "column", match AS value, start AS vs, "end" AS ve, NULL AS name FROM sp
   WHERE NOT (rule = 'hardcoded_secret_openai_key' AND starts_with(match, 'sk-ant-')))"""
 _ASSIGN = _sql("(?im)" + voc.ASSIGNMENT)
-ASSIGNED = """as0 AS (SELECT file, text, unnest(regexp_extract_all(text, {p})) AS match, unnest(regexp_extract_all(text, {p}, 1)) AS name,
-  unnest(regexp_extract_all(text, {p}, 2)) AS raw FROM {src}),
-as1 AS (SELECT *, strpos(text, match) - 1 AS start, CASE WHEN lower(trim(raw)) LIKE 'bearer %' OR lower(trim(raw)) LIKE 'token %'
+# The i-th match starts after the first i pieces and the matches between them.
+PLACED = """{n}h AS (SELECT file, text, regexp_extract_all(text, {p}) AS m, regexp_extract_all(text, {p}, 1) AS ga, regexp_extract_all(text, {p}, {g}) AS gb,
+  string_split_regex(text, {p}) AS pc FROM {src} WHERE regexp_matches(text, {p})),
+{n}i AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM {n}h),
+{n} AS (SELECT file, text, m[i] AS match, ga[i] AS name, gb[i] AS raw, CAST(list_sum(list_transform(pc[1:i], lambda x: length(x)))
+  + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS BIGINT) AS start FROM {n}i)"""
+ASSIGNED = """{placed},
+as1 AS (SELECT *, CASE WHEN lower(trim(raw)) LIKE 'bearer %' OR lower(trim(raw)) LIKE 'token %'
   THEN trim(regexp_replace(trim(raw), '^\\S+\\s', '')) ELSE trim(raw) END AS value FROM as0),
 as2 AS (SELECT *, start + length(match) AS "end", start + length(match) - 1 AS ve, start + length(match) - 1 - length(raw) AS vs FROM as1
   WHERE regexp_replace(lower(trim(value)), '\\s+', '-', 'g') NOT IN ({ph}) AND NOT regexp_full_match(lower(value), 'x+')
@@ -235,7 +240,7 @@ def high_entropy_sql(v: str, ctx: str) -> str:
 
 
 def assigned_sql(src: str) -> str:
-    return ASSIGNED.format(p=_ASSIGN, src=src, ph=", ".join(_sql(p) for p in voc.PLACEHOLDERS), he=high_entropy_sql("value", "TRUE"))
+    return ASSIGNED.format(placed=PLACED.format(n="as0", p=_ASSIGN, src=src, g=2), ph=", ".join(_sql(p) for p in voc.PLACEHOLDERS), he=high_entropy_sql("value", "TRUE"))
 
 
 @query(
@@ -261,9 +266,9 @@ def _(spark, sf):
     )
 
 
-LITERALS = f"""lit0 AS (SELECT file, text, unnest(regexp_extract_all(text, {_sql(voc.LITERAL)}, 1)) AS value FROM c),
-lit1 AS (SELECT *, strpos(text, value) - 1 AS vs, strpos(text, value) - 1 + length(value) AS ve,
-  list_filter(string_split(text, chr(10)), lambda l: contains(l, value))[1] AS line_text FROM lit0),
+LITERALS = f"""{PLACED.format(n="lit0", p=_sql(voc.LITERAL), src="c", g=1)},
+lit1 AS (SELECT file, text, raw AS value, start + 1 AS vs, start + 1 + length(raw) AS ve,
+  list_last(string_split(left(text, start + 1), chr(10))) || string_split(substr(text, start + 2), chr(10))[1] AS line_text FROM lit0),
 lit2 AS (SELECT *, regexp_matches(line_text, {_sql('(?i)' + voc.SECRET_CONTEXT)}) AS ctx FROM lit1),
 lit3 AS (SELECT * FROM lit2 WHERE {high_entropy_sql('value', 'ctx')}
   AND NOT (NOT ctx AND (regexp_full_match(value, '[0-9A-Fa-f]+') OR regexp_matches(line_text, {_sql('(?i)' + voc.BENIGN_CONTEXT)})))
