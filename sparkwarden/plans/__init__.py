@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["history_queries", "store_queries", "package_queries", "detection_queries"]
+_MODULES = ["history_queries", "store_queries", "package_queries", "detection_queries", "source_queries", "stream_queries"]
 
 
 def load_queries():

@@ -122,7 +122,7 @@ def _sql(s: str) -> str:
 
 N = len(SNIPPETS)
 CODE = f"""{fx.E_SQL}, snip AS (SELECT [{', '.join(_sql(s) for s in SNIPPETS)}] AS s),
-c AS (SELECT 'src/' || (user_id % 20) || '/e' || event_id || CASE event_type WHEN 'click' THEN '.js' WHEN 'view' THEN '.py' WHEN 'error' THEN '.ts'
+c AS MATERIALIZED (SELECT 'src/' || (user_id % 20) || '/e' || event_id || CASE event_type WHEN 'click' THEN '.js' WHEN 'view' THEN '.py' WHEN 'error' THEN '.ts'
     WHEN 'purchase' THEN '.java' ELSE '.go' END AS file,
   '# file ' || event_id || chr(10) || s[CAST(event_id % {N} AS INT) + 1] || chr(10) || chr(10) || s[CAST((user_id + k * 7) % {N} AS INT) + 1] || chr(10)
     || ['const blob', 'webhook_secret', '// checksum', 'auth_header: x,'][k % 4 + 1] || ' = "' || base64(unhex(sha256('e' || event_id))) || '"' || chr(10) AS text
@@ -139,19 +139,21 @@ WITHOUT_LOOKAROUND = {
 }
 
 
-def rule_values(rules) -> str:
+def rule_values(rules) -> list[tuple]:
     def pattern(r):
         flags = "".join(f for f in "ims" if f in r.flags)
         return (f"(?{flags})" if flags else "") + WITHOUT_LOOKAROUND.get(r.id, r.pattern)
 
-    return ", ".join(f"({_sql(r.id)}, {_sql(pattern(r))}, {_sql(r.severity)}, {_sql(r.message)})" for r in rules)
+    return [(r.id, pattern(r), r.severity, r.message) for r in rules]
 
 
-def spans_sql(source: str, rules: str) -> str:
-    """Matches of VALUES ``rules`` over ``source(file, text)`` with offsets and positions, as CTEs ending in ``sp``."""
-    return f"""r(rule, pattern, severity, message) AS (VALUES {rules}),
-hit AS (SELECT file, text, rule, pattern, severity, message, regexp_extract_all(text, pattern) AS m FROM {source}, r WHERE regexp_matches(text, pattern)),
-cut AS (SELECT *, string_split_regex(text, pattern) AS p FROM hit),
+def spans_sql(source: str, rules: list[tuple]) -> str:
+    """Matches of ``rules`` over ``source(file, text)`` with offsets and positions, as CTEs ending in ``sp``."""
+    one = lambda id, p, severity, message: (
+        f"SELECT file, text, {_sql(id)} AS rule, {_sql(severity)} AS severity, {_sql(message)} AS message, "
+        f"regexp_extract_all(text, {_sql(p)}) AS m, string_split_regex(text, {_sql(p)}) AS p FROM {source} WHERE regexp_matches(text, {_sql(p)})"
+    )
+    return f"""cut AS ({" UNION ALL ".join(one(*r) for r in rules)}),
 off AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM cut),
 at_ AS (SELECT file, text, rule, severity, message, m[i] AS match,
   CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS INT) AS start FROM off),
@@ -170,7 +172,7 @@ SHOWN_SQL = f'file, rule AS detection_rule, severity, message, line, "column", e
 
 @query(
     "regex_spans",
-    f"""WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS file, text FROM documents), {spans_sql('d', "('x', '[0-9]{4,}|token', '', '')")}
+    f"""WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS file, text FROM documents), {spans_sql('d', [('x', '[0-9]{4,}|token', '', '')])}
     SELECT file, match, start, "end", line, "column", end_line, end_column FROM sp""",
 )
 def _(spark, sf):
@@ -341,7 +343,7 @@ CUSTOM = [
 
 @query(
     "scan_custom_rules",
-    f"""WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS file, text, lang FROM documents), {spans_sql('d', r"('custom.hash-mark', '#{3,}', 'low', 'Marker.'), ('custom.word.th', '(?i)\bth[a-z]{8,}\b', 'info', 'Long word.')")},
+    f"""WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS file, text, lang FROM documents), {spans_sql('d', [('custom.hash-mark', '#{3,}', 'low', 'Marker.'), ('custom.word.th', r'(?i)\bth[a-z]{8,}\b', 'info', 'Long word.')])},
     k AS (SELECT CAST(doc_id AS VARCHAR) AS file, lang FROM documents)
     SELECT {SHOWN_SQL} FROM sp JOIN k USING (file) WHERE rule <> 'custom.hash-mark' OR lang IN ('en', 'fr')""",
 )
