@@ -30,7 +30,7 @@ def event_ms() -> Column:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with ``k`` and epoch milliseconds ``ms``."""
-    df = spark.read.parquet(f"{sf_dir}/events.parquet")
+    df = table(spark, sf_dir, "events")
     return df.withColumn("k", F.get_json_object("props", "$.k").cast("int")).withColumn("ms", event_ms())
 
 
