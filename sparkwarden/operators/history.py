@@ -69,7 +69,8 @@ def per_scan(h: History) -> DataFrame:
         _high_risk().alias("high_risk_count"),
     )
     names = ["finding_count", "active_count", "dismissed_count", "high_risk_count"]
-    return h.runs.join(counted, "scan_id", "left").fillna(0, names)
+    # Stored runs already carry counts; they are taken from the findings at hand.
+    return h.runs.drop(*names).join(counted, "scan_id", "left").fillna(0, names)
 
 
 def _totals() -> list[Column]:
