@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe, language, license_scan, pii, quality, secret_scan
+from .blocks import share
 from .topk import exact_top_k
 from .url_rules import UrlRule, filter_urls
 
@@ -20,10 +22,46 @@ URL_RULES = [
 ]
 
 
+def ranks_path() -> str:
+    """The rank file that the contract names; operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
+def op4_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
+    labels = labels.filter(~share(F.col("doc_id"), 1, 3)).select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
+    return quality.score_quality(table(spark, sf_dir, "documents"), labels, share(F.col("doc_id"), 1, 3))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = share(F.col("doc_id"), 2, 4)
+    return language.identify(table(spark, sf_dir, "documents"), ~held_out & F.col("doc_id").isNotNull(), held_out)
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = ranks_path()
+    decoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), ranks), ranks)
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return exact_top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
@@ -34,7 +72,13 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
+    "op3_personal_data": op3_personal_data,
+    "op4_quality_fm": op4_quality_fm,
+    "op5_language_id": op5_language_id,
+    "op6_byte_bpe": op6_byte_bpe,
     "op8_exact_top_k": op8_exact_top_k,
+    "op9_secret_scan": op9_secret_scan,
     "op10_url_filter": op10_url_filter,
 }
 
