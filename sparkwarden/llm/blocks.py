@@ -39,13 +39,13 @@ def slices(batches: Iterator[pa.RecordBatch], block_bytes: int = BLOCK_BYTES) ->
 
 
 def map_blocks(
-    df: DataFrame, columns: dict[str, Column], fields: dict[str, str], block: Callable[..., dict[str, list]]
+    df: DataFrame, columns: dict[str, Column], fields: dict[str, str], block: Callable[..., dict[str, list]], block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
     """``block`` gets one list per entry of ``columns`` and returns one list per entry of ``fields``."""
     schema = arrow_schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, block_bytes):
             out = block(*(column.to_pylist() for column in batch.columns))
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
 

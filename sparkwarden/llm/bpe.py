@@ -17,6 +17,7 @@ import base64
 import heapq
 import sys
 import unicodedata
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -36,6 +37,8 @@ SHORT_ENDS, LONG_ENDS = "stmd", ("re", "ve", "ll")
 _STRIP = 128
 #: A piece of up to so many bytes is kept in the cache, which starts anew when it holds so many pieces.
 CACHED_BYTES, CACHED_PIECES = 48, 500_000
+#: Texts are split in blocks of about so many bytes, as the arrays take some forty bytes a character.
+BLOCK_BYTES = 1 << 20
 #: Longer pieces are merged with a heap.
 SHORT_BYTES = 64
 FIELDS = {"doc_id": "long", "n_tokens": "long", "ids": "binary", "ends": "binary"}
@@ -146,6 +149,20 @@ def token_starts(classes: np.ndarray) -> np.ndarray:
     return starts
 
 
+def cut_long(text: str) -> Iterator[str]:
+    """Parts of about a block. A space between two other characters always starts a token, whatever came before."""
+    start = 0
+    while len(text) - start > BLOCK_BYTES:
+        cut = text.find(" ", start + BLOCK_BYTES // 2)
+        while cut >= 0 and (cut + 1 >= len(text) or text[cut - 1].isspace() or text[cut + 1].isspace()):
+            cut = text.find(" ", cut + 1)
+        if cut < 0:
+            break
+        yield text[start:cut]
+        start = cut
+    yield text[start:]
+
+
 def split_texts(texts: list[str]) -> list[list[bytes]]:
     """Pre-tokens of every text, as UTF-8."""
     joined = "\0".join(texts) + "\0"
@@ -242,8 +259,14 @@ class Vocabulary:
         return ids
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        find = self.ids_of
-        return [np.frombuffer(b"".join(map(find, pieces)), "<u4") for pieces in split_texts(texts)] if texts else []
+        parts = [part for text in texts for part in cut_long(text)]
+        coded = [b"".join(map(self.ids_of, pieces)) for pieces in split_texts(parts)] if parts else []
+        at, out = 0, []
+        for text in texts:
+            n = sum(1 for _ in cut_long(text))
+            out.append(np.frombuffer(b"".join(coded[at : at + n]), "<u4"))
+            at += n
+        return out
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
@@ -264,7 +287,7 @@ def encode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str
         ends = [np.cumsum(known.lengths[c]).astype("<u4").tobytes() for c in coded]
         return {"doc_id": ids, "n_tokens": [len(c) for c in coded], "ids": [c.tobytes() for c in coded], "ends": ends}
 
-    return map_blocks(df, {"doc_id": F.col(id_col).cast("long"), "text": F.col(text_col)}, FIELDS, block)
+    return map_blocks(df, {"doc_id": F.col(id_col).cast("long"), "text": F.col(text_col)}, FIELDS, block, BLOCK_BYTES)
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
@@ -276,4 +299,4 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
         decoded = [known.decode(np.frombuffer(x, "<u4")) for x in ids]
         return dict(zip(fields, [doc_ids, counts, ids, ends, decoded]))
 
-    return map_blocks(encoded, {name: F.col(name) for name in FIELDS}, fields, block)
+    return map_blocks(encoded, {name: F.col(name) for name in FIELDS}, fields, block, BLOCK_BYTES)

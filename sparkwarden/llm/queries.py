@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, license_scan, pii, quality, secret_scan
+from . import bpe, language, license_scan, near_dedup, pii, quality, secret_scan
 from .blocks import share
 from .topk import exact_top_k
 from .url_rules import UrlRule, filter_urls
@@ -37,6 +37,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
@@ -73,6 +77,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_personal_data": op3_personal_data,
     "op4_quality_fm": op4_quality_fm,
     "op5_language_id": op5_language_id,
