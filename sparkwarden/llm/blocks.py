@@ -52,6 +52,17 @@ def map_blocks(
     return df.select(*(c.alias(name) for name, c in columns.items())).mapInArrow(run, ddl(fields))
 
 
+def filter_blocks(df: DataFrame, text_col: str, keep: Callable[[list], list[bool]], block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Rows of ``df`` for which ``keep`` says so of their text; all columns pass as they are, and nothing is shuffled."""
+    place = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, block_bytes):
+            yield batch.filter(pa.array(keep(batch.column(place).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def share(key: Column, part: int, of: int) -> Column:
     """True for rows whose crc32 of the key, as text, leaves ``part`` modulo ``of``; false for null keys."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % of == part, F.lit(False))
