@@ -97,7 +97,7 @@ def shingle_set(text: str | None) -> np.ndarray:
     if not len(words):
         return words
     size = min(SHINGLE, len(words))
-    total = np.full(len(words) - size + 1, _U(size) * _MIXERS[3])
+    total = np.full(len(words) - size + 1, _U(size * int(_MIXERS[3]) % (1 << 64)))
     for i in range(size):
         total = (total ^ words[i : len(words) - size + 1 + i]) * _MIXERS[4]
         total ^= total >> _U(29)
@@ -335,3 +335,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     out = signed.select("doc_id", F.col("n").alias("n_shingles")).join(found, "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` with the smallest id of their component, one row an id; rows with null ids all stay."""
+    found = near_duplicates(df, id_col, text_col).filter(F.col("kept") & F.col("doc_id").isNotNull())
+    found = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    named = df.join(found, df[id_col].cast("long") == found["doc_id"], "left_semi").dropDuplicates([id_col])
+    return named.unionByName(df.filter(F.col(id_col).isNull()))

@@ -168,9 +168,10 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, length_col
         return {"y": ys, "slots": [s.tobytes() for s, _ in made], "values": [v.tobytes() for _, v in made]}
 
     # the drawn labels are bounded by sample_rows, so they may go to every task and no text is shuffled
-    joined = df.join(F.broadcast(drawn), F.col(id_col) == F.col("label_id"))
-    columns = {"text": F.col(text_col), "stated": F.col(length_col).cast("long"), "y": F.col("y")}
-    found = map_blocks(joined, columns, fields, block).sort("y", "slots", "values").collect()
+    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(length_col).cast("long").alias("stated"))
+    joined = docs.join(F.broadcast(drawn), F.col("doc_id") == F.col("label_id"))
+    columns = {name: F.col(name) for name in ("text", "stated", "y")}
+    found = sorted(map_blocks(joined, columns, fields, block).collect())
     made = [(np.frombuffer(r[1], np.int32), np.frombuffer(r[2], np.float64)) for r in found]
     return train(made, np.array([float(r[0] > 0.5) for r in found]))
 
