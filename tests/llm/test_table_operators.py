@@ -136,8 +136,8 @@ def plain_top(rows, k, every):
     out = {}
     for q in sorted({i for i, _ in usable if i % every == 0}):
         own = min(v for i, v in usable if i == q)
-        scores = [(-sum(a * b for a, b in zip(own, v)), i) for i, v in usable if i != q]
-        out[q] = [(i, max(-(2**63), min(2**63 - 1, -s))) for s, i in sorted(scores)[:k]]
+        scores = [(-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(own, v)))), i) for i, v in usable if i != q]
+        out[q] = [(i, -s) for s, i in sorted(scores)[:k]]
     return out
 
 
@@ -146,7 +146,7 @@ def test_top_k_equals_brute_force(spark, case):
     rng = random.Random(31)
     value = {"plain": lambda: rng.gauss(0, 0.3), "ties": lambda: rng.choice([0.0, 0.25, -0.25]), "huge": lambda: rng.gauss(0, 1) * 1e9}[case]
     rows = [(i, [value() for _ in range(6)]) for i in range(300)]
-    rows += [(7, None), (8, [1.0, None, 0, 0, 0, 0]), (9, [float("nan")] * 6), (10, [float("inf")] * 6), (None, [0.1] * 6), (11, []), (12, [0.5, 0.5])]
+    rows += [(7, None), (8, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (9, [float("nan")] * 6), (10, [float("inf")] * 6), (None, [0.1] * 6), (11, []), (12, [0.5, 0.5])]
     rows += [rows[3], rows[20]]
     table = spark.createDataFrame([(i, v, i, 1) for i, v in rows], "vec_id long, embedding array<double>, rank long, score int").repartition(5)
     found = {}
