@@ -15,12 +15,12 @@ EMPTY_RUN_MS = 1_707_955_200_000  # 2024-02-15, a day without findings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table. One small file is one input split; spread it when there are more cores than splits."""
+    """A driver table. ``spark.sparkwarden.inputPartitions`` (set by the local sessions, whose tables are single row groups that
+    cannot be split) spreads its rows; without it the splits of the files stand."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name in ("documents", "pages", "events", "conversations"):
-        cores = spark.sparkContext.defaultParallelism
-        if len(df.inputFiles()) < cores:
-            return df.repartition(cores)
+    spread = spark.conf.get("spark.sparkwarden.inputPartitions", None)
+    if spread and name in ("documents", "pages", "events", "conversations"):
+        return df.repartition(int(spread))
     return df
 
 

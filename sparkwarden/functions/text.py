@@ -11,18 +11,33 @@ from pyspark.sql import functions as F
 FNV_OFFSET = 2166136261
 FNV_PRIME = 16777619
 ID_SEPARATOR = "\u001f"
-ID_PREFIX = "vg_"
+ID_PREFIX = "fd_"
 EVIDENCE_LIMIT = 160
 
 # The catalogues mean ASCII word boundaries; java.util.regex on Java 17 tests Unicode letters for \b.
+# They mean every Unicode space by \\s, and line and paragraph separators and the byte-order mark with them; Java means ASCII.
+_SPACE = r"\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 _ASCII_BOUNDARY = r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))"
 
 
 def java_regex(pattern: str, flags: str = "") -> str:
     """Give a catalogue pattern its intended meaning under ``java.util.regex``."""
     inline = "".join(flag for flag in "ims" if flag in flags)
-    body = re.sub(r"\\\\|\\b", lambda m: _ASCII_BOUNDARY if m.group() == r"\b" else m.group(), pattern)
-    return (f"(?{inline})" if inline else "") + body
+    out, inside, negated = [], False, False
+    for m in re.finditer(r"(?s)\\.|.", pattern):
+        token = m.group()
+        if not inside and token == "[":
+            inside, negated = True, pattern.startswith("^", m.end())
+        elif inside and token == "]":
+            inside = False
+        elif token == r"\b" and not inside:
+            token = _ASCII_BOUNDARY
+        elif token == r"\s":
+            token = _SPACE if inside else f"[{_SPACE}]"
+        elif token == r"\S" and not (inside and negated):
+            token = f"[^{_SPACE}]"
+        out.append(token)
+    return (f"(?{inline})" if inline else "") + "".join(out)
 
 
 def chars(text: Column) -> Column:

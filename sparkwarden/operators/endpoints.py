@@ -1,6 +1,7 @@
 """Route handlers and the security controls they lack.
 
-All grammars run in one scan of the corpus; what follows works on the few matches, grouped by file.
+All grammars run in one scan of the corpus, whose matches are checkpointed; what follows works on them and never reads the
+corpus again.
 """
 
 from __future__ import annotations
@@ -10,14 +11,17 @@ from pyspark.sql import functions as F
 
 from ..functions.text import java_regex
 from ..rules import endpoints as ep
+from ..session import ensure_checkpoint_dir
 from .spans import rule_spans, to_findings
 
 _COLUMNS = ["file", "kind", "method", "path", "start", "end", "line", "column", "end_line", "end_column", "snippet"]
 
 
 def endpoint_spans(corpus: DataFrame) -> DataFrame:
-    """Matches of every endpoint grammar, named by ``what``."""
-    return rule_spans(corpus, ep.ENDPOINT_RULES, groups=3).withColumn("what", F.col("rule.id")).drop("rule", "ordinal")
+    """Matches of every endpoint grammar, named by ``what``; several branches use them, so they are cut off the scan here."""
+    ensure_checkpoint_dir(corpus.sparkSession)
+    matches = rule_spans(corpus, ep.ENDPOINT_RULES, groups=3).withColumn("what", F.col("rule.id")).drop("rule", "ordinal")
+    return matches.checkpoint()
 
 
 def _first(text: Column, *patterns: tuple[str, str]) -> Column:

@@ -11,12 +11,9 @@ from .. import schema
 from ..functions import names
 from ..functions import text as tx
 from ..functions.globs import glob_regex
-from ..session import has_at_most
 from .intervals import points_in_intervals
 
 POSITION = ["detection_rule", "file", "line", "column"]
-# Rules and identifiers up to this many travel inside the plan; beyond it they are joined as tables.
-INLINE_LIMIT = 2000
 
 
 def unique_findings(findings: DataFrame, order: Sequence[Column | str]) -> DataFrame:

@@ -186,7 +186,7 @@ def missing_packages(
         F.col("package_name").alias("evidence"),
         F.when(gone, advice).otherwise(F.concat_ws(" ", F.lit(_UNVERIFIED), F.col("detail"), F.lit(_CHECK))).alias("suggestion"),
         F.get("_fixes", F.lit(0)).cast(schema.FIX).alias("fix"),
-        F.when(F.size("_fixes") > 1, F.slice("_fixes", 2, 1000)).cast(f"array<{schema.FIX}>").alias("alternative_fixes"),
+        F.when(F.size("_fixes") > 1, F.expr("slice(_fixes, 2, size(_fixes))")).cast(f"array<{schema.FIX}>").alias("alternative_fixes"),
         F.lit("L1").alias("detection_layer"),
         "detection_rule",
         F.lit(now).cast("bigint").alias("timestamp"),

@@ -225,7 +225,9 @@ def refs_package_json(corpus: DataFrame) -> DataFrame:
     for prefix in pat.LOCAL_NPM_PREFIXES:
         local = local | value.startswith(prefix)
     name = F.col("e.key")
-    key = F.regexp_instr("text", F.concat(F.lit('"\\Q'), name, F.lit('\\E"\\s*:')))
+    # A name is text from the file: one that holds the end mark of a quotation must not break the pattern.
+    quoted = F.replace(name, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+    key = F.regexp_instr("text", F.concat(F.lit('"\\Q'), quoted, F.lit('\\E"\\s*:')))
     placed = each.filter(~local).withColumn("name", name).withColumn(
         "_at", F.when(key > 0, key - 1).otherwise(F.greatest(F.instr("text", name) - 1, F.lit(0)))
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..rules import Rule
 from ..rules import secrets as voc
-from .spans import regex_spans, rule_spans
+from .spans import rule_spans
 
 _ASSIGNMENT_MESSAGE = 'Sensitive value "%s" is assigned a literal value.'
 _ENTROPY_MESSAGE = 'Sensitive value "%s" is assigned a high-entropy literal.'
@@ -154,14 +154,15 @@ def suppress_overlaps(spans: DataFrame) -> DataFrame:
 
     Value spans are half-open. Provider spans never drop each other and one detector's own spans do not overlap. A span
     is covered if, among stronger spans that begin before it ends, the furthest end lies behind its start; that is a
-    running maximum, so all rounds share one shuffle by file.
+    running maximum, so all rounds share one shuffle by file. Rows that are no secrets (null ``kind``) need no company and
+    are dealt out by their position, so that a file of very many findings is not one task.
     """
-    kept = spans
+    kept = spans.withColumn("_deal", F.when(F.col("kind").isNull(), F.col("start")).otherwise(F.lit(-1)))
     for kind in (1, 2):
         asked = F.col("kind") == kind
         at = F.when(asked, F.col("value_end") - 1).otherwise(F.col("value_start"))
         reach = F.max(F.when(F.col("kind") < kind, F.col("value_end"))).over(
-            Window.partitionBy("file").orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+            Window.partitionBy("file", "_deal").orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
         )
         kept = (
             kept.withColumn("_at", at)
@@ -169,7 +170,7 @@ def suppress_overlaps(spans: DataFrame) -> DataFrame:
             .filter(~(asked & (F.coalesce(F.col("_reach"), F.lit(-1)) > F.col("value_start"))) | F.col("kind").isNull())
             .drop("_at", "_reach")
         )
-    return kept
+    return kept.drop("_deal")
 
 
 def secret_spans(corpus: DataFrame, suppress: bool = True) -> DataFrame:
@@ -192,15 +193,14 @@ REDACTION_MARK = "REDACTED_SECRET"
 def redact_corpus(corpus: DataFrame, mark: str = REDACTION_MARK) -> DataFrame:
     """The corpus with every secret and private-key block replaced by ``mark``; line breaks stay, so lines keep numbers.
 
-    Only texts in which something was found are joined with their spans; all others pass through where they are.
+    Key blocks are found in the same scan as the secrets. The corpus is read twice: for the spans, and to be joined with
+    them; texts in which nothing was found pass as they are.
     """
-    blocks = regex_spans(
-        corpus.filter(F.contains("text", F.lit("PRIVATE KEY-----"))).select("file", "text"), voc.PRIVATE_KEY_BLOCK, keep=["file"]
-    ).select("file", "start", "end")
-    spans = secret_spans(corpus).select("file", "start", "end").unionByName(blocks).filter("end > start")
+    block = Rule("private_key_block", voc.PRIVATE_KEY_BLOCK, "", "critical", "hardcoded_secret", "", "", "L1", ("PRIVATE KEY-----",), ("-",))
+    matches = rule_spans(corpus, [*SECRET_RULES, block], groups=2, where=plausible_secret, context_rules=[LITERAL_RULE])
+    spans = suppress_overlaps(judge_secrets(matches)).select("file", "start", "end").filter("end > start")
     per_file = spans.groupBy("file").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_spans"))
-    hit = corpus.join(per_file, "file")
-    untouched = corpus.join(per_file.select("file"), "file", "left_anti")
+    all_texts = corpus.join(per_file, "file", "left")
     # Spans come sorted; one pass keeps the text before each span, then the mark and the span's own line breaks.
     rebuilt = F.expr(
         f"""aggregate(_spans, named_struct('upto', 0, 'done', ''),
@@ -212,5 +212,6 @@ def redact_corpus(corpus: DataFrame, mark: str = REDACTION_MARK) -> DataFrame:
                   regexp_replace(substr(text, greatest(s.start, acc.upto) + 1, s.end - greatest(s.start, acc.upto)), '[^\\\\r\\\\n]+', '')))),
               acc -> concat(acc.done, substr(text, acc.upto + 1)))"""
     )
-    redacted = hit.withColumn("text", rebuilt).withColumn("redactions", F.size("_spans")).drop("_spans")
-    return redacted.unionByName(untouched.withColumn("redactions", F.lit(0)))
+    found = F.col("_spans").isNotNull()
+    redacted = all_texts.withColumn("text", F.when(found, rebuilt).otherwise(F.col("text")))
+    return redacted.withColumn("redactions", F.when(found, F.size("_spans")).otherwise(0)).drop("_spans")

@@ -190,17 +190,17 @@ def _(spark, sf):
     return sp.with_positions(d, "at").select("doc_id", "line", "column")
 
 
-FNV = """'vg_' || printf('%08x', list_reduce(list_transform(string_split({s}, ''), lambda ch: unicode(ch)::BIGINT),
+FNV = """'fd_' || printf('%08x', list_reduce(list_transform(string_split({s}, ''), lambda ch: unicode(ch)::BIGINT),
   lambda h, ch: (xor(h, ch) * 16777619) & 4294967295, 2166136261::BIGINT))"""
 
 
 @query(
     "to_findings",
-    f"""WITH {CODE}, {spans_sql('c', rule_values(CONFIG_RULES[:4]))}, v AS (SELECT *, {EVIDENCE} AS ev FROM sp)
+    f"""WITH {CODE}, {spans_sql('c', rule_values(CONFIG_RULES))}, v AS (SELECT *, {EVIDENCE} AS ev FROM sp)
     SELECT file, rule AS detection_rule, {FNV.format(s="file || chr(31) || rule || chr(31) || line || chr(31) || \"column\" || chr(31) || ev")} AS id FROM v""",
 )
 def _(spark, sf):
-    found = sp.to_findings(sp.rule_spans(code_corpus(spark, sf), CONFIG_RULES[:4]), NOW)
+    found = sp.to_findings(sp.rule_spans(code_corpus(spark, sf), CONFIG_RULES), NOW)
     return found.select("file", "detection_rule", "id")
 
 

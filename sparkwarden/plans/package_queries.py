@@ -15,20 +15,20 @@ from .registry import query
 
 NOW = 1_710_000_000_000
 
-IDX = """idx AS (SELECT DISTINCT 'npm' AS registry, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS package_name
-  FROM documents WHERE lang = 'en')"""
+IDX = """idx AS (SELECT DISTINCT 'npm' AS registry, unnest(regexp_extract_all(lower(text), '\\p{L}{4,}')) AS package_name
+  FROM documents)"""
 REFS = """refs AS (SELECT DISTINCT 'npm' AS registry, w AS package_name FROM (
-  SELECT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM benchmark
-  UNION ALL SELECT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) FROM conversations))"""
+  SELECT unnest(regexp_extract_all(lower(text), '\\p{L}{4,}')) AS w FROM benchmark
+  UNION ALL SELECT unnest(regexp_extract_all(lower(text), '\\p{L}{4,}')) FROM conversations))"""
 
 
 def words(df, column="text"):
     """Occurrences of lower-case words of four letters and more."""
-    return df.select(F.explode(F.regexp_extract_all(F.lower(column), F.lit("[a-z]{4,}"), F.lit(0))).alias("package_name"))
+    return df.select(F.explode(F.regexp_extract_all(F.lower(column), F.lit("\\p{L}{4,}"), F.lit(0))).alias("package_name"))
 
 
 def word_index(spark, sf):
-    docs = fx.table(spark, sf, "documents").filter("lang = 'en'")
+    docs = fx.table(spark, sf, "documents")
     return words(docs).distinct().select(F.lit("npm").alias("registry"), "package_name")
 
 
@@ -129,15 +129,15 @@ def _(spark, sf):
 
 @query(
     "missing_packages",
-    f"""WITH {IDX}, o AS (SELECT 'b' || item_id AS file, unnest(regexp_extract_all(lower(text), '[a-z]{{4,}}')) AS w FROM benchmark
-      UNION ALL SELECT 'c' || conv_id || '_' || turn, unnest(regexp_extract_all(lower(text), '[a-z]{{4,}}')) FROM conversations),
+    f"""WITH {IDX}, o AS (SELECT 'b' || item_id AS file, unnest(regexp_extract_all(lower(text), '\\p{{L}}{{4,}}')) AS w FROM benchmark
+      UNION ALL SELECT 'c' || conv_id || '_' || turn, unnest(regexp_extract_all(lower(text), '\\p{{L}}{{4,}}')) FROM conversations),
     m AS (SELECT file, w, count(*) AS n FROM o WHERE w NOT IN (SELECT package_name FROM idx) GROUP BY ALL)
     SELECT file, w AS evidence, n, 'hallucinated_package_npm' AS detection_rule, 'critical' AS severity,
       '"' || w || '" does not exist in npm.' AS message FROM m""",
 )
 def missing(spark, sf):
     def refs(df, file):
-        w = df.select(file.alias("file"), F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("line", "package_name"))
+        w = df.select(file.alias("file"), F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("\\p{L}{4,}"), F.lit(0))).alias("line", "package_name"))
         return w.select(
             "file", F.lit("npm").alias("registry"), "package_name", F.lit(None).cast("string").alias("lookup"),
             F.col("package_name").alias("raw_specifier"), (F.col("line") + 1).alias("line"), F.lit(1).alias("column"),
@@ -193,7 +193,7 @@ def suggest(spark, sf):
 def _(spark, sf):
     idx = word_index(spark, sf)
     both = idx.unionByName(idx.withColumn("registry", F.lit("pypi")))
-    names = word_references(spark, sf).filter("package_name >= 'm'").withColumn("package_name", F.upper("package_name"))
+    names = word_references(spark, sf).filter("package_name >= 'm'").withColumn("package_name", F.translate("package_name", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
     return ix.import_index(both, names, "full")
 
 

@@ -14,6 +14,7 @@ from ..operators.findings import apply_ignore_rules, apply_ignored_ids, dedup_ex
 from ..operators.packages import missing_packages, seed_table, similar_packages, verify
 from ..operators.references import extract_references
 from ..rules import Rule
+from ..session import ensure_checkpoint_dir
 
 
 @dataclass(frozen=True)
@@ -36,7 +37,8 @@ def scan_packages(corpus: DataFrame, now: int, options: ScanOptions) -> DataFram
     index = options.index if options.index is not None else empty("registry string, package_name string")
     coverage = options.coverage if options.coverage is not None else empty("registry string, coverage string")
     cache = options.cache if options.cache is not None else empty("registry string, package_name string, exists boolean, last_verified bigint")
-    references, seed = extract_references(corpus), seed_table(spark)
+    ensure_checkpoint_dir(spark)
+    references, seed = extract_references(corpus).checkpoint(), seed_table(spark)
     resolved = verify(references, index, coverage, cache, now, seed=seed)
     gone = resolved.filter(~F.col("exists"))
     return missing_packages(references, resolved, similar_packages(gone, index, seed), now, options.packages == "remote")

@@ -154,7 +154,7 @@ def _(spark, sf):
 BUDGET = 200_000
 SIZES_SQL = f"""sizes AS (
   SELECT 0 AS tier, completed_at AS "at", scan_id AS id, length(scan_id) * 40 + finding_count * 100 AS bytes FROM p
-  UNION ALL SELECT 1, occurred_at, event_id, length(details) * 10 FROM a WHERE user_id % 4 = 0)"""
+  UNION ALL SELECT 1, occurred_at, event_id, length(details) * 10 FROM a)"""
 
 
 @query(
@@ -169,7 +169,7 @@ def _(spark, sf):
         F.lit(0).alias("tier"), F.col("completed_at").alias("at"), F.col("scan_id").alias("id"),
         (F.length("scan_id") * 40 + F.col("finding_count") * 100).alias("bytes"),
     )
-    events = audit(spark, sf).filter("user_id % 4 = 0").select(
+    events = audit(spark, sf).select(
         F.lit(1).alias("tier"), F.col("occurred_at").alias("at"), F.col("event_id").alias("id"),
         (F.length("details") * 10).cast("bigint").alias("bytes"),
     )
@@ -229,17 +229,6 @@ def _(spark, sf):
     return re_.feedback_event(fx.history(spark, sf).findings, "cli", "file")
 
 
-RANGES_SQL = """ranges AS (SELECT 'u' || (user_id % 40) AS file, k AS start_line, CAST(k + event_id % 7 AS INT) AS end_line FROM e WHERE event_id % 3 = 0)"""
-
-
-def ranges(spark, sf):
-    return fx.events(spark, sf).filter("event_id % 3 = 0").select(
-        F.concat(F.lit("u"), (F.col("user_id") % 40).cast("string")).alias("file"),
-        F.col("k").alias("start_line"),
-        (F.col("k") + F.col("event_id") % 7).cast("int").alias("end_line"),
-    )
-
-
 @query(
     "merge_ranges",
     f"""WITH {fx.E_SQL}, r0 AS (SELECT 'u' || user_id || '_' || CAST(CAST(ts AS DATE) AS VARCHAR) AS file, k AS start_line, CAST(k + event_id % 7 AS INT) AS end_line FROM e),
@@ -304,12 +293,12 @@ def _(spark, sf):
 
 
 # Diffs, blame lines and commits derived from the event table: one file per user, one hunk per event.
-DIFF_SQL = """hunks AS (SELECT DISTINCT 'u' || user_id AS file, k * 3 + 1 AS start_line, CAST(1 + event_id % 4 AS INT) AS n FROM e WHERE k % 2 = 0),
+DIFF_SQL = """hunks AS (SELECT DISTINCT 'u' || user_id AS file, k * 3 + 1 AS start_line, CAST(1 + event_id % 4 AS INT) AS n FROM e),
 lines AS (SELECT DISTINCT file, start_line + i AS line FROM hunks, range(4) t(i) WHERE i < n)"""
 
 
 def diffs(spark, sf):
-    e = fx.events(spark, sf).filter("k % 2 = 0")
+    e = fx.events(spark, sf)
     n = 1 + F.col("event_id") % 4
     count = F.when(n == 1, "").otherwise(F.concat(F.lit(","), n.cast("string")))
     hunk = F.concat(F.lit("@@ -1,2 +"), (F.col("k") * 3 + 1).cast("string"), count, F.lit(" @@ fn\n+changed\n"))

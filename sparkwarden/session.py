@@ -15,6 +15,7 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sparkwarden.inputPartitions", "8" if cores == "*" else cores)
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "12g"))
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.driver.bindAddress", "127.0.0.1")
@@ -36,8 +37,3 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         shared = tempfile.mkdtemp(prefix="sparkwarden-checkpoint-")
     spark.sparkContext.setCheckpointDir(shared)
-
-
-def has_at_most(df: DataFrame, limit: int) -> bool:
-    """Bounded size check: reads until ``limit + 1`` rows are seen, never the whole frame."""
-    return df.limit(limit + 1).count() <= limit
