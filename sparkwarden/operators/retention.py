@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,40 +36,7 @@ def prune_counts(h: History, audit: DataFrame, feedback: DataFrame, timestamp: i
     return out
 
 
-_BUCKETS = 200
-_SAMPLE = 20_000
-
-
-def running_total(df: DataFrame, order: Sequence[str], value: str, name: str) -> DataFrame:
-    """Cumulative sum over the whole frame without one task seeing all of it.
-
-    A bounded sample of the order key splits the rows into ranges. Ranges are totalled, the totals of at most 200 ranges
-    are summed in order, and each range then sums its own rows. A row's range depends on the row alone, so a lost
-    executor recomputes the same result.
-    """
-    key = F.struct(*order)
-    sample = df.select(key.alias("k")).orderBy(F.rand(7)).limit(_SAMPLE).collect()
-    points = sorted(tuple(r.k) for r in sample)
-    step = max(1, len(points) // _BUCKETS)
-    bounds = points[step::step][: _BUCKETS - 1]
-    if bounds:
-        literal = F.array(*[F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(c) for v, c in zip(b, order)]) for b in bounds])
-        bucket = F.size(F.filter(literal, lambda b: b <= key))
-    else:
-        bucket = F.lit(0)
-    rows = df.withColumn("_bucket", bucket)
-    totals = rows.groupBy("_bucket").agg(F.sum(value).alias("_sum"))
-    before = Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
-    within = Window.partitionBy("_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # The offsets are at most 200 rows.
-    return (
-        rows.join(F.broadcast(offsets), "_bucket")
-        .withColumn(name, F.col("_offset") + F.sum(value).over(within))
-        .drop("_bucket", "_offset")
-    )
-
-
+DAY_MS = 86_400_000
 # Fixed value: default storage budget of the history.
 DEFAULT_BUDGET = 100_000_000
 
@@ -97,23 +62,40 @@ def history_sizes(h: History, audit: DataFrame, feedback: DataFrame) -> DataFram
     return runs.unionByName(events).unionByName(buckets)
 
 
+#: Units by which the order is narrowed down: a day, then a minute of the days that matter.
+_UNITS = (DAY_MS, 60_000)
+
+
 def prune_to_budget(sizes: DataFrame, budget: int = DEFAULT_BUDGET, protected: str | None = None) -> DataFrame:
     """Records that fit the budget when the oldest runs go first, then audit events, then feedback.
 
     Kept from the newest end of that order while the running size stays within the budget; a protected id is always kept
-    and counted first.
+    and counted first, and it is an error if it alone exceeds the budget.
+
+    Sizes are totalled per tier and day. What lies beyond the day in which the budget ends is dropped unsorted; the days that
+    remain are totalled per minute in the same way, and only minutes that begin within the budget are put in order. So
+    no task orders more than the records of a minute, and a window over all holds one row per tier and day.
     """
     guarded = F.lit(False) if protected is None else (F.col("id") == protected)
-    ranked = sizes.select(
-        "*",
-        guarded.alias("protected"),
-        F.when(guarded, 0).otherwise(1).alias("_guard"),
-        (-F.col("tier")).alias("_tier"),
-        (-F.col("at")).alias("_at"),
-        # Newest first needs descending identifiers: complement each code point.
-        F.transform(F.filter(F.split("id", ""), lambda c: c != ""), lambda c: -F.ascii(c)).alias("_id"),
-    ).withColumn("_id", F.array_append("_id", F.lit(1)))
-    kept = running_total(ranked, ["_guard", "_tier", "_at", "_id"], "bytes", "running_bytes")
+    too_large = F.raise_error(F.concat(F.lit("The protected record alone exceeds the storage budget: "), F.col("id")))
+    rows = sizes.select("*", guarded.alias("protected"), F.when(guarded, 0).otherwise(1).alias("_guard")).withColumn(
+        "bytes", F.when(F.col("protected") & (F.col("bytes") > budget), too_large.cast("bigint")).otherwise(F.col("bytes"))
+    )
+    rows = rows.withColumn("_offset", F.lit(0).cast("bigint"))
+    key = ["_guard", "tier"]
+    for i, unit in enumerate(_UNITS):
+        rows = rows.withColumn(f"_u{i}", F.floor(F.col("at") / unit))
+        totals = rows.groupBy(*key, f"_u{i}").agg(F.sum("bytes").alias("_sum"), F.first("_offset").alias("_before"))
+        newest = [F.desc("tier"), F.desc(f"_u{i}")] if i == 0 else [F.desc(f"_u{i}")]
+        ahead = Window.partitionBy(*(["_one"] if i == 0 else key)).orderBy(*(["_guard"] if i == 0 else []), *newest)
+        totals = totals.withColumn("_one", F.lit(0)).withColumn(
+            "_begin", F.col("_before") + F.coalesce(F.sum("_sum").over(ahead.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        )
+        within = totals.filter(F.col("_begin") <= budget).select(*key, f"_u{i}", "_begin")
+        rows = rows.join(within, [*key, f"_u{i}"]).withColumn("_offset", F.col("_begin")).drop("_begin")
+        key.append(f"_u{i}")
+    ordered = Window.partitionBy(*key).orderBy(F.desc("at"), F.desc("id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    kept = rows.withColumn("running_bytes", F.col("_offset") + F.sum("bytes").over(ordered))
     return kept.filter((F.col("running_bytes") <= budget) | F.col("protected")).select("tier", "at", "id", "bytes", "running_bytes", "protected")
 
 

@@ -154,12 +154,13 @@ def _(spark, sf):
 BUDGET = 200_000
 SIZES_SQL = f"""sizes AS (
   SELECT 0 AS tier, completed_at AS "at", scan_id AS id, length(scan_id) * 40 + finding_count * 100 AS bytes FROM p
-  UNION ALL SELECT 1, occurred_at, event_id, length(details) * 10 FROM a)"""
+  UNION ALL SELECT 1, occurred_at, event_id, length(details) * 10 FROM a
+  UNION ALL SELECT 2, last_received_at, concat_ws('|', day, rule_fingerprint, source, scope, finding_type, detection_layer, severity), event_count * 7 FROM buckets)"""
 
 
 @query(
     "prune_to_budget",
-    f"""WITH {fx.H_SQL}, {AUDIT_CTE}, {PER_SCAN}, {SIZES_SQL},
+    f"""WITH {fx.H_SQL}, {FEEDBACK_SQL}, {AUDIT_CTE}, {PER_SCAN}, {SIZES_SQL},
     t AS (SELECT *, id = 'p1_2024-01-02' AS protected, sum(bytes) OVER (
       ORDER BY CASE WHEN id = 'p1_2024-01-02' THEN 0 ELSE 1 END, tier DESC, "at" DESC, id DESC) AS running FROM sizes)
     SELECT tier, "at", id, bytes, CAST(running AS BIGINT) AS running_bytes, protected FROM t WHERE running <= {BUDGET} OR protected""",
@@ -173,12 +174,24 @@ def _(spark, sf):
         F.lit(1).alias("tier"), F.col("occurred_at").alias("at"), F.col("event_id").alias("id"),
         (F.length("details") * 10).cast("bigint").alias("bytes"),
     )
-    return re_.prune_to_budget(runs.unionByName(events), BUDGET, protected="p1_2024-01-02")
+    key = ["day", "rule_fingerprint", "source", "scope", "finding_type", "detection_layer", "severity"]
+    buckets = re_.feedback_buckets(feedback(spark, sf)).select(
+        F.lit(2).alias("tier"), F.col("last_received_at").alias("at"), F.concat_ws("|", *key).alias("id"),
+        (F.col("event_count") * 7).cast("bigint").alias("bytes"),
+    )
+    return re_.prune_to_budget(runs.unionByName(events).unionByName(buckets), BUDGET, protected="p1_2024-01-02")
 
 
-@query("history_sizes")
+@query(
+    "history_sizes",
+    f"""WITH {fx.H_SQL}, {FEEDBACK_SQL}, {AUDIT_CTE}
+    SELECT 0 AS tier, completed_at AS "at", scan_id AS id, true AS sized FROM runs
+    UNION ALL SELECT 1, occurred_at, event_id, true FROM a
+    UNION ALL SELECT 2, last_received_at, concat_ws('|', day, rule_fingerprint, source, scope, finding_type, detection_layer, severity), true FROM buckets""",
+)
 def _(spark, sf):
-    return re_.history_sizes(fx.history(spark, sf), audit(spark, sf).drop("user_id"), re_.feedback_buckets(feedback(spark, sf)))
+    sizes = re_.history_sizes(fx.history(spark, sf), audit(spark, sf).drop("user_id"), re_.feedback_buckets(feedback(spark, sf)))
+    return sizes.select("tier", "at", "id", (F.col("bytes") > 0).alias("sized"))
 
 
 @query(

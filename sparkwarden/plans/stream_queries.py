@@ -19,7 +19,18 @@ from .scan import ScanOptions
 def scratch(spark) -> str:
     """A new folder below the cluster's shared one; a local folder only in local mode."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/stream-{uuid.uuid4()}" if shared else tempfile.mkdtemp(prefix="sparkwarden-stream-")
+    if shared:
+        return f"{shared}/stream-{uuid.uuid4()}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    return tempfile.mkdtemp(prefix="sparkwarden-stream-")
+
+
+def drain(spark, stream, base):
+    """All rows of an append stream, written by the sink and read back."""
+    writer = stream.writeStream.format("parquet").option("checkpointLocation", f"{base}/ckpt").outputMode("append")
+    writer.trigger(availableNow=True).start(f"{base}/out").awaitTermination()
+    return spark.read.parquet(f"{base}/out")
 
 
 def source(spark, sf, name, files=1):
@@ -86,6 +97,42 @@ def _(spark, sf):
     return flows.first_seen_alerts(fx.history(spark, sf))
 
 
+@query("rate_limit_stream", f'WITH {RATE} SELECT source, "at", id, used <= 2 AS allowed FROM w')
+def _(spark, sf):
+    return drain(spark, flows.rate_limit_stream(sourced(source(spark, sf, "events")), limit=2, window_ms=7_200_000), scratch(spark))
+
+
+@query(
+    "first_seen_stream",
+    f"""{WITH_H}, numbered AS (SELECT *, row_number() OVER (PARTITION BY coalesce(project, '') ORDER BY completed_at, scan_id) AS n FROM runs),
+    act AS (SELECT finding_id, coalesce(project, '') AS document, n, completed_at FROM f JOIN numbered USING (scan_id) WHERE NOT dismissed AND severity = 'critical')
+    SELECT document, completed_at AS "at", finding_id FROM act a
+    WHERE NOT EXISTS (SELECT 1 FROM act b WHERE b.document = a.document AND b.finding_id = a.finding_id AND b.n = a.n - 1)""",
+)
+def _(spark, sf):
+    base, h = scratch(spark), fx.history(spark, sf)
+    shown = h.findings.filter("NOT dismissed AND severity = 'critical'").groupBy("scan_id").agg(F.collect_set("finding_id").alias("ids"))
+    scans = h.runs.join(shown, "scan_id", "left").select(
+        F.coalesce("project", F.lit("")).alias("document"), F.col("completed_at").alias("at"), F.coalesce("ids", F.array().cast("array<string>")).alias("ids")
+    )
+    scans.write.parquet(f"{base}/in")
+    return drain(spark, flows.first_seen_stream(spark.readStream.schema(scans.schema).parquet(f"{base}/in")), base)
+
+
+@query(
+    "debounced_stream",
+    """WITH s AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 6 HOURS THEN 0 ELSE 1 END AS new FROM events),
+    g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS grp FROM s)
+    SELECT user_id AS document, count(*) AS edits, arg_max(event_type, ts) AS text, min(epoch_us(ts)) AS first_change, max(epoch_us(ts)) AS last_change FROM g
+    GROUP BY user_id, grp HAVING max(ts) + INTERVAL 6 HOURS <= (SELECT max(ts) FROM events)""",
+)
+def _(spark, sf):
+    ts = F.timestamp_micros(F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"))
+    changes = source(spark, sf, "events").select(F.col("user_id").alias("document"), ts.alias("ts"), F.col("event_type").alias("text"))
+    out = drain(spark, flows.debounced_changes(changes.withWatermark("ts", "0 seconds"), "6 hours"), scratch(spark))
+    return out.select("document", "edits", "text", F.unix_micros("first_change").alias("first_change"), F.unix_micros("last_change").alias("last_change"))
+
+
 @query(
     "scan_stream",
     f"""WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS file, text FROM documents), {assigned_sql('d')}

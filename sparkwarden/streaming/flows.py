@@ -11,7 +11,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.findings import POSITION, unique_findings
 from ..operators.history import History
@@ -22,7 +23,6 @@ from ..sources.ingest import SCHEMA_TAG, read_ingest
 # Quiet gaps before work starts, and the feedback limit.
 DEBOUNCE = {"source_rules": "500 milliseconds", "review": "2 seconds", "packages": "600 milliseconds"}
 WINDOW_MS, MAX_PER_WINDOW = 60_000, 60
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _batches(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
@@ -51,7 +51,7 @@ def ingest_stream(payloads: DataFrame, path: str, checkpoint: str, tag: str = SC
     """Payloads to history tables, a quarantine and one audit row per accepted scan."""
 
     def write(df: DataFrame, n: int) -> None:
-        runs, findings, rejected = read_ingest(df, tag)
+        runs, findings, rejected = read_ingest(df.persist(), tag)
         _put(runs, f"{path}/scan_run", n)
         _put(findings, f"{path}/finding_result", n)
         _put(rejected, f"{path}/rejected", n)
@@ -60,29 +60,34 @@ def ingest_stream(payloads: DataFrame, path: str, checkpoint: str, tag: str = SC
             F.lit("ingest").alias("authentication"), F.lit("scan_ingested").alias("action"), F.lit("success").alias("outcome"), "project",
         )
         _put(audit, f"{path}/audit_event", n)
+        df.unpersist()
 
     return _batches(payloads, write, checkpoint)
 
 
 def read_ingested(spark: SparkSession, path: str) -> History:
-    """History of the stream; the first arrival of a run or of a (run, finding) counts, as under a primary key."""
+    """History of the stream. The first batch that brings a run counts with all its findings; a later payload for a known
+    run is refused as a whole, as under a primary key."""
 
-    def first(name: str, key: list[str]) -> DataFrame:
-        df = spark.read.parquet(f"{path}/{name}")
-        rank = F.row_number().over(Window.partitionBy(*key).orderBy("batch"))
-        return df.withColumn("_rn", rank).filter("_rn = 1").drop("_rn", "batch")
+    def first(df: DataFrame, key: list[str]) -> DataFrame:
+        rest = [F.col(c).cast("string") for c in sorted(df.columns) if c not in (*key, "batch")]
+        rank = F.row_number().over(Window.partitionBy(*key).orderBy("batch", F.xxhash64(*rest)))
+        return df.withColumn("_rn", rank).filter("_rn = 1").drop("_rn")
 
-    return History(first("scan_run", ["scan_id"]), first("finding_result", ["scan_id", "finding_id"]))
+    runs = first(spark.read.parquet(f"{path}/scan_run"), ["scan_id"])
+    findings = spark.read.parquet(f"{path}/finding_result").join(runs.select("scan_id", "batch"), ["scan_id", "batch"], "left_semi")
+    return History(runs.drop("batch"), first(findings, ["scan_id", "finding_id"]).drop("batch"))
 
 
 def debounced_changes(changes: DataFrame, gap: str = DEBOUNCE["source_rules"], document: str = "document", ts: str = "ts") -> DataFrame:
-    """Newest revision of each document once it has been quiet for ``gap``: ``changes(document, ts, text)``.
+    """Newest revision of each document once it has been quiet for ``gap``: ``changes(document, ts, text)``. Of revisions of
+    one moment the greatest text counts.
 
     Works on a table and, after ``withWatermark``, on a stream in append mode.
     """
     return (
         changes.groupBy(document, F.session_window(ts, gap).alias("w"))
-        .agg(F.max_by("text", ts).alias("text"), F.count("*").alias("edits"), F.max(ts).alias("last_change"))
+        .agg(F.max_by("text", F.struct(ts, "text")).alias("text"), F.count("*").alias("edits"), F.max(ts).alias("last_change"))
         .select(document, F.col("w.start").alias("first_change"), "last_change", "edits", "text")
     )
 
@@ -111,37 +116,30 @@ def rate_limit(events: DataFrame, limit: int = MAX_PER_WINDOW, window_ms: int =
     return ordered.mapInPandas(walk, ddl + ", allowed boolean")
 
 
-class RateLimiter(StatefulProcessor):
-    """Window start and count per source, dropped by a timer-free expiry once the window is over."""
+def _admit(limit: int, window_ms: int):
+    """Rows of a source in one micro-batch are put in order as a whole, however many Arrow chunks they arrive in."""
 
-    def __init__(self, limit: int, window_ms: int):
-        self.limit, self.window_ms = limit, window_ms
+    def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        opened, used = state.get if state.exists else (None, 0)
+        rows, verdicts = pd.concat(list(chunks)).sort_values(["at", "id"]), []
+        for at in rows["at"]:
+            if opened is None or at - opened >= window_ms:
+                opened, used = int(at), 0
+            used += 1
+            verdicts.append(used <= limit)
+        state.update((opened, used))
+        yield rows.assign(allowed=verdicts)[["source", "at", "id", "allowed"]]
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("window", "opened bigint, used int", 86_400_000)
-
-    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
-        opened, used = self.state.get() if self.state.exists() else (None, 0)
-        for pdf in rows:
-            pdf = pdf.sort_values(["at", "id"])
-            verdicts = []
-            for at in pdf["at"]:
-                if opened is None or at - opened >= self.window_ms:
-                    opened, used = int(at), 0
-                used += 1
-                verdicts.append(used <= self.limit)
-            self.state.update((opened, used))
-            yield pdf.assign(allowed=verdicts)
-
-    def close(self) -> None:
-        pass
+    return step
 
 
 def rate_limit_stream(events: DataFrame, limit: int = MAX_PER_WINDOW, window_ms: int = WINDOW_MS) -> DataFrame:
-    """``rate_limit`` on a stream; needs the RocksDB state store."""
-    return events.select("source", "at", "id").groupBy("source").transformWithStateInPandas(
-        RateLimiter(limit, window_ms), "source string, at bigint, id bigint, allowed boolean", "Append", "ProcessingTime"
-    )
+    """``rate_limit`` on a stream. The state of a source is two numbers; its rows of one micro-batch are read together, so
+    the trigger bounds memory. Events of an earlier micro-batch count as earlier."""
+    return events.select("source", "at", "id").groupBy("source").applyInPandasWithState(
+        _admit(limit, window_ms), "source string, at bigint, id bigint, allowed boolean", "opened bigint, used int", "append",
+        GroupStateTimeout.NoTimeout,
+    )
 
 
 def first_seen_alerts(h: History, severity: str = "critical") -> DataFrame:
@@ -156,31 +154,24 @@ def first_seen_alerts(h: History, severity: str = "critical") -> DataFrame:
     return active.withColumn("_before", before).filter(F.col("_before").isNull() | (F.col("_before") < F.col("_n") - 1)).select("scan_id", "finding_id")
 
 
-class FirstSeen(StatefulProcessor):
-    """Identifiers shown by the last scan of a document."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("ids", "ids array<string>")
-
-    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
-        known = set(self.state.get()[0]) if self.state.exists() else set()
-        for pdf in rows:
-            out = []
-            for at, ids in pdf.sort_values("at")[["at", "ids"]].itertuples(index=False):
-                now = set(ids)
-                out += [(key[0], at, i) for i in sorted(now - known)]
-                known = now
-            yield pd.DataFrame(out, columns=["document", "at", "finding_id"])
-        self.state.update((sorted(known),))
-
-    def close(self) -> None:
-        pass
+def _first_shown(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Identifiers that the scan before did not show. A scan older than the newest one known is late and changes nothing."""
+    newest, shown = state.get if state.exists else (None, [])
+    known, out = set(shown), []
+    for at, ids in pd.concat(list(chunks)).sort_values("at")[["at", "ids"]].itertuples(index=False):
+        if newest is not None and at < newest:
+            continue
+        now = set(ids)
+        out += [(key[0], int(at), i) for i in sorted(now - known)]
+        newest, known = int(at), now
+    state.update((newest, sorted(known)))
+    yield pd.DataFrame(out, columns=["document", "at", "finding_id"])
 
 
 def first_seen_stream(scans: DataFrame) -> DataFrame:
     """Alerts of ``scans(document, at, ids)``, one row per scan with its active critical identifiers."""
-    return scans.groupBy("document").transformWithStateInPandas(
-        FirstSeen(), "document string, at bigint, finding_id string", "Append", "ProcessingTime"
+    return scans.select("document", "at", "ids").groupBy("document").applyInPandasWithState(
+        _first_shown, "document string, at bigint, finding_id string", "newest bigint, ids array<string>", "append", GroupStateTimeout.NoTimeout
     )
 
 

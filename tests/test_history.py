@@ -60,14 +60,25 @@ def test_store_round_trip(spark, history, tmp_path):
     assert hi.history_stats(back).first() == hi.history_stats(history).first()
 
 
-def test_running_total_equals_a_plain_sum(spark):
-    df = spark.range(5000).selectExpr("id % 7 AS a", "cast(id AS string) AS b", "id AS v")
-    total = {(r.a, r.b): r.t for r in rt.running_total(df, ["a", "b"], "v", "t").collect()}
-    want, acc = {}, 0
-    for a, b, v in sorted((i % 7, str(i), i) for i in range(5000)):
-        acc += v
-        want[a, b] = acc
-    assert total == want
+def test_budget_equals_a_plain_running_sum(spark):
+    import random
+
+    import pytest
+
+    rng = random.Random(2)
+    rows = [(i % 3, rng.choice([0, 59_999, 60_000, 90_000_000, 180_000_001]) + rng.randrange(3) * 1000, f"r{i:04}", rng.choice([0, 1, 5, 40])) for i in range(600)]
+    df = spark.createDataFrame(rows, "tier int, at bigint, id string, bytes bigint")
+    order = sorted(rows, key=lambda r: (r[2] != "r0000", -r[0], -r[1], [-ord(c) for c in r[2]]))
+    for budget in (0, 37, 900, 10**9):
+        want, total = {}, 0
+        for tier, at, id, size in order:
+            total += size
+            if total <= budget or id == "r0000":
+                want[id] = total
+        if rows[0][3] <= budget:
+            assert {r["id"]: r["running_bytes"] for r in rt.prune_to_budget(df, budget, "r0000").collect()} == want
+    with pytest.raises(Exception, match="alone exceeds"):
+        rt.prune_to_budget(df.withColumn("bytes", df["bytes"] + 50), 37, "r0000").collect()
 
 
 def test_interval_joins_handle_wide_and_touching_ranges(spark):
