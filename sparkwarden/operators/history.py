@@ -424,12 +424,19 @@ def active_severity_counts(h: History, since: int | None = None, project: str |
     return wide.select(F.expr(f"stack({len(schema.SEVERITIES)}, {pairs}) AS (severity, active_count)"))
 
 
-def full_summary(h: History, since: int | None = None, project: str | None = None) -> DataFrame:
-    """Counts by severity, type, rule, dismissal reason and author from one read of the findings.
+def full_summary(h: History, since: int | None = None, project: str | None = None, k: int | None = None) -> DataFrame:
+    """Counts in total and by severity, type, rule (with its type and severity), dismissal reason, author, project and day.
 
-    Grouping sets expand each row before the map-side aggregation, so the history is scanned and shuffled once.
+    One read of the findings: they are counted per run and all keys first, so what meets the runs and is then regrouped by
+    every section is as small as the distinct combinations, and a hot run or project sends one row per combination.
+    ``position`` ranks the keys of a section as its report does (most findings, then most active, then key); ``k`` keeps that
+    many of each. Deltas and feedback have rows of another kind: ``scan_delta``, ``feedback_summary``.
     """
-    rows = h.scoped(since, project).findings.select(
+    scope = h.scoped(since, project)
+    keys = ["severity", "type", "rule", "reason", "author"]
+    counts = ["count", "active_count", "dismissed_count", "false_positive_count", "high_risk_count"]
+    rows = scope.findings.select(
+        "scan_id",
         "severity",
         "type",
         F.col("detection_rule").alias("rule"),
@@ -439,17 +446,19 @@ def full_summary(h: History, since: int | None = None, project: str | None = Non
         (F.col("dismissed") & is_false_positive(F.col("dismissed_reason"))).alias("fp"),
         (~F.col("dismissed") & F.col("severity").isin(HIGH_RISK)).alias("risky"),
     )
-    sections = ["severity", "type", "rule", "reason", "author"]
-    grouped = rows.groupingSets([[F.col(s)] for s in sections], *[F.col(s) for s in sections]).agg(
-        F.grouping_id().alias("_set"),
-        *_counts(),
-        F.count_if("fp").alias("false_positive_count"),
-        F.count_if("risky").alias("high_risk_count"),
+    per_run = rows.groupBy("scan_id", *keys).agg(
+        *_counts(), F.count_if("fp").alias("false_positive_count"), F.count_if("risky").alias("high_risk_count")
     )
-    # grouping_id has a zero bit for the column that is grouped.
-    ids = {31 - 2 ** (4 - i): s for i, s in enumerate(sections)}
-    section = F.try_element_at(F.create_map(*[F.lit(x) for pair in ids.items() for x in pair]), F.col("_set").cast("int"))
-    return (
-        grouped.select(section.alias("section"), F.coalesce(*sections).alias("key"), "count", "active_count", "dismissed_count", "false_positive_count", "high_risk_count")
-        .filter(F.col("key").isNotNull())
+    label = F.coalesce(F.nullif(F.trim("project"), F.lit("")), F.lit("Unassigned"))
+    runs = scope.runs.select("scan_id", label.alias("project"), utc_day(F.col("completed_at")).cast("string").alias("day"))
+    joined = per_run.join(runs, "scan_id").withColumn("total", F.lit("all"))
+    sections = ["total", *keys, "project", "day"]
+    key = F.create_map(*[x for s in sections for x in (F.lit(s), F.col(s))])
+    named = joined.select(F.explode(key).alias("section", "key"), "type", "severity", *counts).filter(F.col("key").isNotNull())
+    of_rule = lambda c: F.when(F.col("section") == "rule", F.col(c))
+    out = named.groupBy("section", "key", of_rule("type").alias("type"), of_rule("severity").alias("severity")).agg(
+        *[F.sum(c).alias(c) for c in counts]
     )
+    best = Window.partitionBy("section").orderBy(F.desc("count"), F.desc("active_count"), "key", "type", "severity")
+    ranked = out.withColumn("position", F.row_number().over(best))
+    return ranked if k is None else ranked.filter(F.col("position") <= k)

@@ -262,16 +262,20 @@ def _(spark, sf):
     return hi.active_severity_counts(fx.history(spark, sf))
 
 
-_SECTION = lambda name, key, where="TRUE": f"""SELECT '{name}' AS section, {key} AS key, {COUNTS},
-  count(*) FILTER ({FP}) AS false_positive_count, {HIGH} AS high_risk_count FROM f WHERE {where} GROUP BY 2"""
+_SECTION = lambda name, key, where="TRUE", type="NULL", severity="NULL": f"""SELECT '{name}' AS section, {key} AS key, {type} AS type,
+  {severity} AS severity, {COUNTS}, count(*) FILTER ({FP}) AS false_positive_count, {HIGH} AS high_risk_count
+  FROM f JOIN runs USING (scan_id) WHERE {where} GROUP BY 2, 3, 4"""
 
 
 @query(
     "full_summary",
-    WITH_H + " " + " UNION ALL ".join([
-        _SECTION("severity", "severity"), _SECTION("type", "type"), _SECTION("rule", "detection_rule"),
+    WITH_H + """ SELECT *, CAST(row_number() OVER (PARTITION BY section ORDER BY count DESC, active_count DESC, key,
+      type NULLS FIRST, severity NULLS FIRST) AS INT) AS position FROM (""" + " UNION ALL ".join([
+        _SECTION("total", "'all'"), _SECTION("project", "coalesce(nullif(trim(project), ''), 'Unassigned')"),
+        _SECTION("day", "CAST(CAST(make_timestamp(completed_at * 1000) AS DATE) AS VARCHAR)"),
+        _SECTION("severity", "severity"), _SECTION("type", "type"), _SECTION("rule", "detection_rule", type="type", severity="severity"),
         _SECTION("reason", "coalesce(nullif(trim(dismissed_reason), ''), 'unspecified')", "dismissed"),
-        _SECTION("author", AUTHOR)]),
+        _SECTION("author", AUTHOR)]) + ")",
 )
 def _(spark, sf):
     return hi.full_summary(fx.history(spark, sf))

@@ -398,3 +398,22 @@ def _(spark, sf):
     )
     index = spark.createDataFrame([("npm", "kept")], "registry string, package_name string")
     return ix.apply_changes(index, rg.npm_changes(feeds))
+
+
+@query(
+    "replacement_candidates",
+    """WITH n AS (SELECT event_id, CASE WHEN user_id % 2 = 0 THEN event_type ELSE event_type || '-' || user_id END AS original,
+      [event_type, trim(' ' || event_type || '-' || user_id || ' '), 'two words', trim(event_type || ' '), '@scope/' || event_type,
+       'bad\\name', repeat('x', 257), ''] AS listed FROM events)
+    SELECT event_id, array_to_string(list_filter(listed, lambda x, i: list_position(listed, x) = i AND x <> original
+      AND length(x) BETWEEN 1 AND 256 AND regexp_full_match(x, '[A-Za-z0-9@._/+:-]+')), ',') AS candidates FROM n""",
+)
+def _(spark, sf):
+    kind, user = F.col("event_type"), F.col("user_id").cast("string")
+    listed = F.array(
+        kind, F.concat(F.lit(" "), kind, F.lit("-"), user, F.lit(" ")), F.lit("two words"), F.concat(kind, F.lit(" ")),
+        F.concat(F.lit("@scope/"), kind), F.lit("bad\\name"), F.repeat(F.lit("x"), 257), F.lit(""),
+    )
+    original = F.when(F.col("user_id") % 2 == 0, kind).otherwise(F.concat(kind, F.lit("-"), user))
+    rows = fx.table(spark, sf, "events")
+    return rows.select("event_id", F.array_join(pk.replacement_candidates(listed, original), ",").alias("candidates"))
