@@ -313,34 +313,45 @@ def audit_activity(audit: DataFrame) -> DataFrame:
 
 
 def compliance_report(
-    h: History, audit: DataFrame, generated_at: int, since: int | None = None, project: str | None = None
+    h: History, audit: DataFrame, generated_at: int, since: int | None = None, project: str | None = None, k: int | None = 100
 ) -> DataFrame:
     """One nested row: window, totals, newest delta, reasons, rules, activity and controls.
 
-    Every nested list is a report of fixed or limited size (reasons and actions are vocabularies of the history).
+    Free texts of the history (reasons, actions, rules) make lists of any length, so a list holds its ``k`` foremost entries
+    (``None``: all). The sections meet in one union and one aggregation; nothing is joined.
     """
-
-    def nested(df: DataFrame, name: str) -> DataFrame:
-        numbered = df.withColumn("_i", F.monotonically_increasing_id())
-        packed = F.sort_array(F.collect_list(F.struct("_i", F.struct(*df.columns).alias("v"))))
-        return numbered.agg(F.transform(packed, lambda x: x["v"]).alias(name))
-
-    report = history_stats(h, since, project).select(
+    reasons = dismissal_reasons(h, since, project).select(F.col("key").alias("reason"), F.col("dismissed_count").alias("count"))
+    rules = top_rules(h, None, since, project).drop("type", "severity", "dismissed_count")
+    parts = [
+        ("_totals", history_stats(h, since, project), []),
+        ("latest_scan_delta", latest_scan_delta(h, since, project), []),
+        ("dismissal_reasons", reasons, [F.desc("count"), F.col("reason")]),
+        ("top_rules", rules, [F.desc("count"), F.desc("active_count"), F.col("key")]),
+        ("activity", audit_activity(audit), [F.desc("count"), F.col("action"), F.col("outcome")]),
+        ("controls", compliance_controls(h, FRAMEWORKS, since, project), [F.col("framework"), F.col("control")]),
+    ]
+    nested = []
+    for name, df, order in parts:
+        entries = df.orderBy(*order) if order else df
+        entries = entries.limit(k) if order and k is not None else entries
+        place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) if order else F.lit(1)
+        nested.append((name, entries.select(place.alias("_i"), F.struct(*df.columns).alias(name))))
+    kinds = {name: df.schema[name].dataType for name, df in nested}
+    rows = None
+    for name, df in nested:
+        wide = df.select("_i", *[F.col(n) if n == name else F.lit(None).cast(kind).alias(n) for n, kind in kinds.items()])
+        rows = wide if rows is None else rows.unionByName(wide)
+    packed = lambda n: F.transform(
+        F.sort_array(F.collect_list(F.when(F.col(n).isNotNull(), F.struct("_i", F.col(n).alias("v"))))), lambda x: x["v"]
+    )
+    report = rows.agg(*[packed(n).alias(n) for n in kinds])
+    return report.select(
         F.lit(generated_at).cast("bigint").alias("generated_at"),
         F.lit(since).cast("bigint").alias("since"),
         F.lit(project).cast("string").alias("project"),
-        "*",
-    )
-    parts = [
-        (latest_scan_delta(h, since, project), "latest_scan_delta"),
-        (dismissal_reasons(h, since, project).select(F.col("key").alias("reason"), F.col("dismissed_count").alias("count")), "dismissal_reasons"),
-        (top_rules(h, None, since, project).drop("type", "severity", "dismissed_count"), "top_rules"),
-        (audit_activity(audit), "activity"),
-        (compliance_controls(h, FRAMEWORKS, since, project).orderBy("framework", "control"), "controls"),
-    ]
-    for part, name in parts:
-        report = report.join(nested(part, name), F.lit(True))
-    return report
+        F.col("_totals")[0].alias("_totals"),
+        *[n for n in kinds if n != "_totals"],
+    ).select("generated_at", "since", "project", "_totals.*", *[n for n in kinds if n != "_totals"])
 
 
 def risk_posture(h: History, per_project: bool = False, since: int | None = None, project: str | None = None) -> DataFrame:

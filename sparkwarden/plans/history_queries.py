@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..operators import findings as fo
 from ..operators import history as hi
-from .registry import query
+from .registry import ORACLES, query
 
 WITH_H = "WITH " + fx.H_SQL
 SINCE = 1_704_844_800_000  # 2024-01-10
@@ -193,9 +193,39 @@ def _(spark, sf):
     return hi.audit_activity(audit(spark, sf))
 
 
-@query("compliance_report")
+_DELTA_ALL = WITH_H + ",\n" + DELTA.format(part="1", where="", same="", project="") + " ORDER BY current_completed_at DESC, current_scan_id DESC LIMIT 1"
+_LISTED = [
+    ("finding_count", "''", "finding_count", ORACLES["history_stats"]),
+    ("introduced", "current_scan_id", "introduced_count", _DELTA_ALL),
+    ("resolved", "current_scan_id", "resolved_count", _DELTA_ALL),
+    ("reason", "key", "dismissed_count", ORACLES["dismissal_reasons"]),
+    ("rule", "key", "count", ORACLES["top_rules"]),
+    ("activity", "action || '|' || outcome", "count", ORACLES["audit_activity"]),
+    ("control", "framework || '|' || control || '|' || status", "active_finding_count", ORACLES["compliance_controls"]),
+]
+
+
+@query(
+    "compliance_report",
+    " UNION ALL ".join(f"SELECT '{name}' AS section, {key} AS key, CAST({value} AS BIGINT) AS value FROM ({sql})" for name, key, value, sql in _LISTED),
+)
 def _(spark, sf):
-    return hi.compliance_report(fx.history(spark, sf), audit(spark, sf), 1_710_000_000_000)
+    """The report's lists as rows."""
+    report = hi.compliance_report(fx.history(spark, sf), audit(spark, sf), 1_710_000_000_000)
+
+    def entry(section, key, value):
+        return F.struct(F.lit(section).alias("section"), key.cast("string").alias("key"), value.cast("bigint").alias("value"))
+
+    lists = [
+        F.array(entry("finding_count", F.lit(""), F.col("finding_count"))),
+        F.transform("latest_scan_delta", lambda x: entry("introduced", x["current_scan_id"], x["introduced_count"])),
+        F.transform("latest_scan_delta", lambda x: entry("resolved", x["current_scan_id"], x["resolved_count"])),
+        F.transform("dismissal_reasons", lambda x: entry("reason", x["reason"], x["count"])),
+        F.transform("top_rules", lambda x: entry("rule", x["key"], x["count"])),
+        F.transform("activity", lambda x: entry("activity", F.concat_ws("|", x["action"], x["outcome"]), x["count"])),
+        F.transform("controls", lambda x: entry("control", F.concat_ws("|", x["framework"], x["control"], x["status"]), x["active_finding_count"])),
+    ]
+    return report.select(F.explode(F.concat(*lists)).alias("e")).select("e.*")
 
 
 @query(
