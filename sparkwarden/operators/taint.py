@@ -51,19 +51,22 @@ def visible_bindings(bindings: DataFrame) -> DataFrame:
 
 
 def propagate_taint(bindings: DataFrame, language: str = "javascript") -> DataFrame:
-    """Bindings that hold untrusted input: ``bindings(file, id, name, value, start, scope_start, scope_end)``.
+    """Bindings that hold untrusted input: ``bindings(file, id, name, value, start, scope_start, scope_end)``; ``round`` is
+    the number of assignments between a binding and the nearest read of a source.
 
-    Edges are fixed, so taint spreads along them from the seeds; each round handles only what the last one added and is
-    checkpointed, which keeps the plan short and survives lost executors.
+    Reach doubles: after k rounds all bindings within ``2**k`` assignments of a source are known, and the edges have been
+    joined with themselves to jumps of ``2**k`` assignments. A binding comes after its sources, so the jumps run out after as
+    many rounds as the longest chain has binary digits. Each round is checkpointed.
     """
     ensure_checkpoint_dir(bindings.sparkSession)
-    edges = visible_bindings(bindings).checkpoint()
+    jumps = visible_bindings(bindings).checkpoint()
     seeds = bindings.filter(F.col("value").rlike(java_regex(SOURCES[language]))).select("file", "id", F.lit(0).alias("round"))
-    tainted = seeds.checkpoint()
-    frontier, step = tainted, 0
-    while not frontier.isEmpty():
-        step += 1
-        reached = edges.join(frontier.select("file", F.col("id").alias("source_id")), ["file", "source_id"]).select("file", "id").distinct()
-        frontier = reached.join(tainted, ["file", "id"], "left_anti").withColumn("round", F.lit(step)).checkpoint()
-        tainted = tainted.unionByName(frontier)
+    tainted, length = seeds.distinct().checkpoint(), 1
+    while not jumps.isEmpty():
+        known = tainted.select("file", F.col("id").alias("source_id"), "round")
+        reached = jumps.join(known, ["file", "source_id"]).select("file", "id", (F.col("round") + length).alias("round"))
+        tainted = tainted.unionByName(reached).groupBy("file", "id").agg(F.min("round").alias("round")).checkpoint()
+        further = jumps.select("file", F.col("id").alias("source_id"), F.col("source_id").alias("_next"))
+        jumps = jumps.join(further, ["file", "source_id"]).select("file", "id", F.col("_next").alias("source_id")).distinct().checkpoint()
+        length *= 2
     return tainted
