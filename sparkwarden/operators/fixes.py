@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import bisect
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -54,6 +54,29 @@ def mechanical_replacement(rule: Column, evidence: Column, source: Column | None
 _PLAN = "file string, id string, outcome string"
 
 
+class _Taken:
+    """Edited places of a file: disjoint half-open ranges in order, and empty edits as points. Lookups are logarithmic."""
+
+    def __init__(self) -> None:
+        self.starts: list[tuple] = []
+        self.ends: list[tuple] = []
+        self.points: list[tuple] = []
+
+    def free(self, start: tuple, end: tuple) -> bool:
+        last = bisect.bisect_left(self.starts, end) - 1
+        point = bisect.bisect_right(self.points, start)
+        return not (last >= 0 and self.ends[last] > start) and not (point < len(self.points) and self.points[point] < end)
+
+    def add(self, start: tuple, end: tuple) -> None:
+        if start == end:
+            bisect.insort(self.points, start)
+            return
+        low, high = bisect.bisect_right(self.ends, start), bisect.bisect_left(self.starts, end)
+        if low < high:  # edits of one fix may overlap each other
+            start, end = min(start, self.starts[low]), max(end, self.ends[high - 1])
+        self.starts[low:high], self.ends[low:high] = [start], [end]
+
+
 def plan_fixes(findings: DataFrame, reviewed_layer3: bool = False) -> DataFrame:
     """Choose non-overlapping fixes per file: ``outcome`` is safe, reviewable, skipped or excluded.
 
@@ -74,15 +97,15 @@ def plan_fixes(findings: DataFrame, reviewed_layer3: bool = False) -> DataFrame:
     candidates = ready if reviewed_layer3 else ready.filter(~F.col("generated"))
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
-        taken: list[tuple] = []
+        taken = _Taken()
         outcomes = []
         ordered = group.sort_values(["generated", "rank", "line", "column", "id"], kind="stable")
         for row in ordered.itertuples(index=False):
             spans = [((e[0], e[1]), (e[2], e[3])) for e in row.edits]
             sound = all(s[0] >= 1 and s[1] >= 1 and s <= e for s, e in spans)
-            free = all(not (s < te and ts < e) for s, e in spans for ts, te in taken)
-            if sound and free:
-                taken.extend(spans)
+            if sound and all(taken.free(s, e) for s, e in spans):
+                for s, e in spans:
+                    taken.add(s, e)
                 outcomes.append("reviewable" if row.generated else "safe")
             else:
                 outcomes.append("skipped")
