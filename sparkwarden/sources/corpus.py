@@ -26,12 +26,20 @@ def is_source_path(path):
     return ~skipped & (F.lower(basename(path)).isin(FILE_NAMES) | extension(path).isin(EXTENSIONS))
 
 
+def _any_case(name: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in name)
+
+
+NAME_GLOB = "{" + ",".join([f"*.{_any_case(e)}" for e in EXTENSIONS] + [_any_case(n) for n in FILE_NAMES]) + "}"
+
+
 def read_corpus(spark: SparkSession, root: str) -> DataFrame:
-    """Every supported file below ``root`` as ``(file, text, language)``.
+    """Every supported file below ``root`` as ``(file, text, language)``; ``file`` is the path below the root.
 
-    The path test runs before the content is decoded. ``file`` is the path below the root.
+    Names are matched while files are listed, so images, archives and other files are never opened. Files of skipped folders
+    with a source name are opened and dropped by their path.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", NAME_GLOB).load(root)
     base = root.rstrip("/").split("://")[-1]
     relative = F.substring_index(F.col("path"), base + "/", -1)
     return (
