@@ -14,7 +14,7 @@ from ..rules import Rule
 from ..rules.ai_patterns import AI_PATTERN_RULES
 from ..rules.config import CONFIG_RULES
 from ..rules.sast import SAST_RULES
-from .fixes import mechanical_replacement
+from .fixes import mechanical_replacement, secret_environment_fix
 from .secrets import LITERAL_RULE, SECRET_RULES, judge_secrets, plausible_secret, redacted_evidence, suppress_overlaps
 from .spans import rule_spans, to_findings
 
@@ -43,7 +43,12 @@ def scan_secrets(corpus: DataFrame, now: int, kinds: Sequence[int] = (0, 1, 2))
     """Provider signatures (0), sensitive assignments (1) and random literals (2), evidence redacted."""
     matches = rule_spans(corpus, SECRET_RULES, groups=2, where=plausible_secret, context_rules=[LITERAL_RULE])
     spans = suppress_overlaps(judge_secrets(matches)).filter(F.col("kind").isin(list(kinds)))
-    return to_findings(spans, now, evidence=redacted_evidence(F.col("name"), F.col("value")), detector=SECRETS)
+    return to_findings(spans, now, evidence=redacted_evidence(F.col("name"), F.col("value")), fix=_environment_fix(), detector=SECRETS)
+
+
+def _environment_fix() -> Column:
+    asked = F.when(F.col("kind") == 1, F.col("match"))
+    return secret_environment_fix(F.col("file"), F.col("name"), F.col("value"), asked)
 
 
 def scan_catalogue(
@@ -80,7 +85,8 @@ def scan_catalogue(
     shown = F.when(F.col("kind").isNotNull(), redacted_evidence(F.col("name"), F.col("value"))).otherwise(
         tx.compact_evidence(F.col("match"))
     ) if "L1" in layers else None
-    out = to_findings(judged, now, evidence=shown, fix=F.col("_fix"), detector=F.col("_number"))
+    fix = F.coalesce("_fix", _environment_fix()) if "L1" in layers else F.col("_fix")
+    out = to_findings(judged, now, evidence=shown, fix=fix, detector=F.col("_number"))
     return out
 
 

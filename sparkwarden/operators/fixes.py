@@ -117,19 +117,22 @@ def plan_fixes(findings: DataFrame, reviewed_layer3: bool = False) -> DataFrame:
     return planned.unionByName(ready.filter("generated").select("file", "id", F.lit("excluded").alias("outcome")))
 
 
-def secret_environment_fix(spans: DataFrame) -> DataFrame:
-    """Fix for a secret assigned to a plain name: read it from the environment instead.
+def secret_environment_fix(file: Column, name: Column, value: Column, match: Column) -> Column:
+    """New text for a secret assigned to a plain name: read it from the environment instead; null where no fix is known.
 
-    Known for script and Python files, for values assigned with ``=``; a bearer value keeps no fix.
+    Known for script and Python files, for values assigned with ``=``; a bearer value keeps no fix. ``match`` ends with the
+    quoted ``value``.
     """
-    python = F.lower(F.col("file")).endswith(".py")
-    script = F.lower(F.col("file")).rlike(r"\.(?:js|jsx|ts|tsx|mjs|cjs)\z")
+    python = F.lower(file).endswith(".py")
+    script = F.lower(file).rlike(r"\.(?:js|jsx|ts|tsx|mjs|cjs)\z")
     # camelCase and dashes become the upper-case form of an environment variable.
-    variable = F.upper(F.regexp_replace(F.regexp_replace("name", r"([a-z0-9])([A-Z])", "$1_$2"), "-", "_"))
+    variable = F.upper(F.regexp_replace(F.regexp_replace(name, r"([a-z0-9])([A-Z])", "$1_$2"), "-", "_"))
     new = F.when(python, F.concat(F.lit('os.getenv("'), variable, F.lit('", "")'))).when(
         script, F.concat(F.lit("process.env."), variable, F.lit(' ?? ""'))
     )
-    return spans.withColumn("replacement", new)
+    lead = F.left(match, F.length(match) - F.length(value) - 2)
+    known = lead.rlike(r"=\s*\z") & ~F.lower(F.trim(value)).rlike(r"^(?:bearer|token)\s")
+    return F.when(known, F.concat(lead, new))
 
 
 def verify_fix(findings: DataFrame, current: DataFrame) -> DataFrame:

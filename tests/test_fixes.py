@@ -3,7 +3,8 @@
 import random
 
 from sparkwarden import schema
-from sparkwarden.operators.fixes import _Taken, plan_fixes
+from sparkwarden.operators.detect import scan_catalogue, scan_secrets
+from sparkwarden.operators.fixes import _Taken, plan_fixes, verify_fix
 
 SEVERITIES = ["critical", "high", "medium", "low", "info"]
 
@@ -47,3 +48,17 @@ def test_plans_equal_the_plain_walk(spark):
             taken += spans if good else []
         plain |= {r[1]: "excluded" for r in own if r[5] == "L3"}
     assert {r["id"]: r["outcome"] for r in plan_fixes(spark.createDataFrame(rows, ddl)).collect()} == plain
+
+
+def test_secret_fixes_are_made_and_verified(spark):
+    ddl = "file string, text string, language string"
+    before = [("a.py", "x = 1\napiToken = 'mF9qT2vL8zP4xR7cN1bY'\n", None), ("b.ts", 'const dbPassword = "hunter2hunter";', None),
+              ("c.yml", 'password: "hunter2hunter"', None), ("d.py", "authToken = 'Bearer mF9qT2vL8zP4xR7cN1bY'", None)]
+    found = scan_secrets(spark.createDataFrame(before, ddl), 0)
+    fixes = {r["file"]: r["fix"] and r["fix"]["edits"][0]["newText"] for r in found.collect()}
+    assert fixes == {"a.py": 'apiToken = os.getenv("API_TOKEN", "")', "b.ts": 'dbPassword = process.env.DB_PASSWORD ?? ""', "c.yml": None, "d.py": None}
+    assert {r["file"]: r["fix"] and r["fix"]["edits"][0]["newText"] for r in scan_catalogue(spark.createDataFrame(before, ddl), 0).collect()
+            if r["type"] == "hardcoded_secret"} == fixes
+    after = [("a.py", before[0][1] + "y = 2\n", None), ("b.ts", "\n" + before[1][1], None), *before[2:]]
+    valid = {r["file"]: r["still_valid"] for r in verify_fix(found, scan_secrets(spark.createDataFrame(after, ddl), 0)).collect()}
+    assert valid == {"a.py": True, "b.ts": False, "c.yml": False, "d.py": False}
