@@ -14,9 +14,11 @@ included. Text is taken as UTF-8 of whatever code points it holds. Special token
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import sys
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -35,8 +37,9 @@ WIDE_WHITE = (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F
 #: Letters that follow the apostrophe of a contraction.
 SHORT_ENDS, LONG_ENDS = "stmd", ("re", "ve", "ll")
 _STRIP = 128
-#: A piece of up to so many bytes is kept in the cache, which starts anew when it holds so many pieces.
-CACHED_BYTES, CACHED_PIECES = 48, 500_000
+_ID_BITS = 20
+#: A piece of up to so many bytes is kept in the cache. When the young half holds so many pieces it becomes the old half.
+CACHED_BYTES, CACHED_PIECES = 48, 100_000
 #: Texts are split in blocks of about so many bytes, as the arrays take some forty bytes a character.
 BLOCK_BYTES = 1 << 20
 #: Longer pieces are merged with a heap.
@@ -184,27 +187,38 @@ def split_texts(texts: list[str]) -> list[list[bytes]]:
     return out
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+def merge(piece: bytes, ranks: dict[bytes, int], joins: dict[int, int]) -> list[int]:
     """Token ids of a piece: the pair of lowest rank merges first, the leftmost of equal ones."""
     if (whole := ranks.get(piece)) is not None:
         return [whole]
-    size = len(piece)
-    return merge_short(piece, ranks) if size <= SHORT_BYTES else merge_long(piece, ranks)
+    return merge_short(piece, ranks, joins) if len(piece) <= SHORT_BYTES else merge_long(piece, ranks)
+
+
+def pair_table(ranks: dict[bytes, int]) -> dict[int, int]:
+    """Two token ids side by side -> the token they join to, for every way to cut a token into two."""
+    out = {}
+    for token, rank in ranks.items():
+        for cut in range(1, len(token)):
+            left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+            if left is not None and right is not None:
+                out[left << _ID_BITS | right] = rank
+    return out
 
 
-def merge_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+def merge_short(piece: bytes, ranks: dict[bytes, int], joins: dict[int, int]) -> list[int]:
     """Quadratic in the piece, but with little work per step."""
-    find, none = ranks.get, 1 << 40
-    cuts = list(range(len(piece) + 1))
-    pairs = [find(piece[i : i + 2], none) for i in range(len(piece) - 1)]
+    find, none = joins.get, 1 << 40
+    ids = [ranks[piece[i : i + 1]] for i in range(len(piece))]
+    pairs = [find(a << _ID_BITS | b, none) for a, b in zip(ids, ids[1:])]
     while pairs and (low := min(pairs)) != none:
         i = pairs.index(low)
-        del cuts[i + 1], pairs[i]
+        ids[i] = low
+        del ids[i + 1], pairs[i]
         if i < len(pairs):
-            pairs[i] = find(piece[cuts[i] : cuts[i + 2]], none)
+            pairs[i] = find(low << _ID_BITS | ids[i + 1], none)
         if i:
-            pairs[i - 1] = find(piece[cuts[i - 1] : cuts[i + 1]], none)
-    return [ranks[piece[a:b]] for a, b in zip(cuts, cuts[1:])]
+            pairs[i - 1] = find(ids[i - 1] << _ID_BITS | low, none)
+    return ids
 
 
 def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -247,14 +261,17 @@ class Vocabulary:
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
         self.lengths = np.array([len(t or b"") for t in self.tokens], np.int64)
+        self.joins = pair_table(self.ranks)
         self.pieces: dict[bytes, bytes] = {}
+        self.old_pieces: dict[bytes, bytes] = {}
 
     def ids_of(self, piece: bytes) -> bytes:
         if (ids := self.pieces.get(piece)) is None:
-            ids = np.array(merge(piece, self.ranks), "<u4").tobytes()
+            if (ids := self.old_pieces.get(piece)) is None:
+                ids = array("I", merge(piece, self.ranks, self.joins)).tobytes()
             if len(piece) <= CACHED_BYTES:
                 if len(self.pieces) >= CACHED_PIECES:
-                    self.pieces.clear()
+                    self.old_pieces, self.pieces = self.pieces, {}
                 self.pieces[piece] = ids
         return ids
 
@@ -300,3 +317,21 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
         return dict(zip(fields, [doc_ids, counts, ids, ends, decoded]))
 
     return map_blocks(encoded, {name: F.col(name) for name in FIELDS}, fields, block, BLOCK_BYTES)
+
+
+def round_trip(df: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256``: texts are encoded and their ids decoded in one task, by digests.
+
+    The same as ``encode`` and ``decode`` after each other, without carrying ids and bytes between two Python workers.
+    """
+    fields = {"doc_id": "long", "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
+
+    def block(ids: list, texts: list) -> dict[str, list]:
+        known = vocabulary(ranks_path)
+        coded = known.encode([t or "" for t in texts])
+        return {
+            "doc_id": ids, "n_tokens": [len(c) for c in coded], "ids_sha256": [hashlib.sha256(c.tobytes()).hexdigest() for c in coded],
+            "decoded_sha256": [hashlib.sha256(known.decode(c)).hexdigest() for c in coded],
+        }
+
+    return map_blocks(df, {"doc_id": F.col(id_col).cast("long"), "text": F.col(text_col)}, fields, block, BLOCK_BYTES)

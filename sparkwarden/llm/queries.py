@@ -57,9 +57,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = ranks_path()
-    decoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), ranks), ranks)
-    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.round_trip(table(spark, sf_dir, "documents"), ranks_path())
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

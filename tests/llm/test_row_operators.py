@@ -241,6 +241,23 @@ def test_bpe_classes_equal_the_library():
         assert ids.tolist() == plain.encode_ordinary(text), ascii(text)
 
 
+def test_bpe_round_trip_equals_encode_then_decode(spark):
+    path = queries.ranks_path()
+    apart = {r["doc_id"]: r for r in bpe.decode(bpe.encode(hard_table(spark), path), path).filter("doc_id <> 3").collect()}
+    for row in bpe.round_trip(hard_table(spark), path).filter("doc_id <> 3").collect():
+        other = apart[row["doc_id"]]
+        assert row["n_tokens"] == other["n_tokens"] and row["ids_sha256"] == hashlib.sha256(other["ids"]).hexdigest()
+        assert row["decoded_sha256"] == hashlib.sha256(other["decoded"]).hexdigest()
+
+
+def test_bpe_merges_agree_for_short_and_long_pieces(monkeypatch):
+    known = bpe.vocabulary(queries.ranks_path())
+    rng = random.Random(12)
+    for _ in range(2000):
+        piece = bytes(rng.choice(b" etaoinshrdluTHE\xc3\xa9") for _ in range(rng.randint(2, 60)))
+        assert bpe.merge_short(piece, known.ranks, known.joins) == bpe.merge_long(piece, known.ranks)
+
+
 def test_bpe_long_texts_are_cut_where_tokens_start(monkeypatch):
     known = bpe.vocabulary(queries.ranks_path())
     text = "it's  a  long 'text'  with\n spaces " * 40
