@@ -63,6 +63,18 @@ def filter_blocks(df: DataFrame, text_col: str, keep: Callable[[list], list[bool
     return df.mapInArrow(run, df.schema)
 
 
+def replace_text(df: DataFrame, text_col: str, new: Callable[[list], list], block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``df`` with ``text_col`` as ``new`` makes it of a block's texts; rows and other columns pass as they are."""
+    place = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, block_bytes):
+            texts = pa.array(new(batch.column(place).to_pylist()), batch.schema.field(place).type)
+            yield batch.set_column(place, batch.schema.field(place), texts)
+
+    return df.mapInArrow(run, df.schema)
+
+
 def share(key: Column, part: int, of: int) -> Column:
     """True for rows whose crc32 of the key, as text, leaves ``part`` modulo ``of``; false for null keys."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % of == part, F.lit(False))

@@ -42,7 +42,7 @@ LEAST = 85
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BLOCK = 2 << 20
-_PART = 1 << 20
+_PART = 1 << 18
 _MIXERS = [_U(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F)]
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, 9, 10, 11, 12, 13]] = True
