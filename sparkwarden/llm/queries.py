@@ -127,5 +127,43 @@ WITH parts AS (
   FROM scores
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+""",
+    "op10_url_filter": r"""
+WITH rules(verdict, host, path) AS (
+  VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+), cut AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT page_id, row_number() OVER () AS row_id,
+    translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM cut
+), fits AS (
+  SELECT p.row_id, max_by(r.host || r.path, length(r.host || r.path)) AS rule, max_by(r.verdict, length(r.host || r.path)) AS verdict
+  FROM parts p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY p.row_id
+), base AS (
+  SELECT p.*, f.rule, f.verdict, list_filter(list_distinct(list_concat(
+      list_transform(list_reverse(string_split(host, '.')), lambda x, i: 'h' || least(i - 1, 3) || ':' || x),
+      list_transform(regexp_split_to_array(path, '[/._-]+'), lambda x: 'p:' || regexp_replace(x, '[0-9]+', '#', 'g')))),
+    lambda x: NOT regexp_full_match(x, '[hp0-9]+:') AND NOT list_contains(['h0:com', 'h0:net', 'h1:example', 'h2:www', 'p:en', 'p:es', 'p:fr'], x)) AS tokens
+  FROM parts p LEFT JOIN fits f USING (row_id)
+), held AS (SELECT row_id, verdict, unnest(tokens) AS t FROM base WHERE rule IS NOT NULL
+), least_count AS (SELECT ceil(0.002 * count(*)) AS n FROM base WHERE rule IS NOT NULL
+), combos AS (
+  SELECT [t] AS needs, verdict FROM held
+  UNION ALL SELECT [a.t, b.t], a.verdict FROM held a JOIN held b ON a.row_id = b.row_id AND a.t < b.t
+  UNION ALL SELECT [a.t, b.t, c.t], a.verdict FROM held a JOIN held b ON a.row_id = b.row_id AND a.t < b.t JOIN held c ON c.row_id = a.row_id AND b.t < c.t
+), counted AS (SELECT needs, verdict, count(*) AS support, sum(count(*)) OVER (PARTITION BY needs) AS total FROM combos GROUP BY needs, verdict
+), strong AS (
+  SELECT needs, verdict, support, support / total AS confidence FROM counted, least_count WHERE support >= n AND support / total >= 0.9
+), mined AS (
+  SELECT s.* FROM strong s WHERE NOT EXISTS (SELECT 1 FROM strong w WHERE w.verdict = s.verdict AND len(w.needs) < len(s.needs)
+    AND list_has_all(s.needs, w.needs) AND w.confidence >= s.confidence)
+), found AS (
+  SELECT b.row_id, arg_max(m.verdict, [m.confidence, m.support, (m.verdict = 'block')::INT]) AS verdict
+  FROM base b JOIN mined m ON b.rule IS NULL AND list_has_all(b.tokens, m.needs) GROUP BY b.row_id
+)
+SELECT b.page_id, b.host, b.path, b.rule, coalesce(b.verdict, f.verdict, 'allow') AS verdict, f.verdict IS NOT NULL AS mined
+FROM base b LEFT JOIN found f USING (row_id)
 """,
 }
