@@ -30,15 +30,14 @@ _QUERIES = 256
 _LONG = (1 << 63) - 1
 
 
-def quantised(vector: Column) -> Column:
-    """floor(256 * x) of every component as double; null if the vector takes no part."""
-    scaled = F.transform(vector, lambda x: F.floor(x.cast("double") * SCALE).cast("double"))
+def scaled(vector: Column) -> Column:
+    """256 * x of every component, as double (floored where the matrices are built); null if the vector takes no part."""
     usable = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * SCALE) < math.inf))
-    exact = F.transform(vector, lambda x: x.cast("double") * SCALE)
-    return F.when(F.coalesce(usable, F.lit(False)), F.when(F.forall(exact, lambda x: F.abs(x) < 2.0**62), scaled).otherwise(exact))
+    return F.when(F.coalesce(usable, F.lit(False)), F.transform(vector, lambda x: x.cast("double") * SCALE))
 
 
 def _matrix(rows: list, width: int) -> np.ndarray:
+    """Whole numbers floor(256 * x), a row per vector, short ones filled with zeros."""
     out = np.zeros((len(rows), width))
     for i, row in enumerate(rows):
         out[i, : len(row)] = row
@@ -107,7 +106,7 @@ def exact_top_k(
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k candidates of highest integer inner product, ties to the smaller id."""
     spark = df.sparkSession
-    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), quantised(F.col(vector_col)).alias("v"), is_query.alias("q"))
+    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), scaled(F.col(vector_col)).alias("v"), is_query.alias("q"))
     rows = rows.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
     queries = rows.filter("q").groupBy("vec_id").agg(F.min("v").alias("v"))
     blocks = -(-queries.count() // query_block)
