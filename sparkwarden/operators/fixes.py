@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions.text import java_regex
+from ..session import share_code
 
 _EXECUTE = (
     r"^(\s*(?:(?:[A-Za-z_][A-Za-z0-9_]*\s*\.)+)?execute\s*\(\s*)f([\"'])([^\"'{}]*)\{([A-Za-z_][A-Za-z0-9_]*)\}"
@@ -111,6 +112,7 @@ def plan_fixes(findings: DataFrame, reviewed_layer3: bool = False) -> DataFrame:
                 outcomes.append("skipped")
         return pd.DataFrame({"file": ordered["file"], "id": ordered["id"], "outcome": outcomes})
 
+    share_code(findings.sparkSession)
     planned = candidates.groupBy("file").applyInPandas(walk, _PLAN)
     if reviewed_layer3:
         return planned

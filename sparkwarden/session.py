@@ -27,6 +27,15 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
     return spark
 
 
+def share_code(spark: SparkSession) -> None:
+    """Let Python workers import this package from the place where the driver found it, also when it is not installed."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's ``spark.checkpoint.dir``; fall back to a scratch folder only in local mode."""
     if spark.sparkContext.getCheckpointDir() is not None:

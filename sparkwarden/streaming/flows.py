@@ -18,6 +18,7 @@ from ..operators.findings import POSITION, unique_findings
 from ..operators.history import History
 from ..operators.retention import BUCKET_KEYS, feedback_buckets
 from ..plans.scan import ScanOptions, scan_corpus
+from ..session import share_code
 from ..sources.ingest import SCHEMA_TAG, read_ingest
 
 # Quiet gaps before work starts, and the feedback limit.
@@ -110,6 +111,7 @@ def rate_limit(events: DataFrame, limit: int = MAX_PER_WINDOW, window_ms: int =
                 verdicts.append(used <= limit)
             yield pdf.assign(allowed=verdicts)
 
+    share_code(events.sparkSession)
     columns = events.select("source", "at", "id")
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in columns.schema.fields)
     ordered = columns.repartition("source").sortWithinPartitions("source", "at", "id")
@@ -136,6 +138,7 @@ def _admit(limit: int, window_ms: int):
 def rate_limit_stream(events: DataFrame, limit: int = MAX_PER_WINDOW, window_ms: int = WINDOW_MS) -> DataFrame:
     """``rate_limit`` on a stream. The state of a source is two numbers; its rows of one micro-batch are read together, so
     the trigger bounds memory. Events of an earlier micro-batch count as earlier."""
+    share_code(events.sparkSession)
     return events.select("source", "at", "id").groupBy("source").applyInPandasWithState(
         _admit(limit, window_ms), "source string, at bigint, id bigint, allowed boolean", "opened bigint, used int", "append",
         GroupStateTimeout.NoTimeout,
@@ -170,6 +173,7 @@ def _first_shown(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState)
 
 def first_seen_stream(scans: DataFrame) -> DataFrame:
     """Alerts of ``scans(document, at, ids)``, one row per scan with its active critical identifiers."""
+    share_code(scans.sparkSession)
     return scans.select("document", "at", "ids").groupBy("document").applyInPandasWithState(
         _first_shown, "document string, at bigint, finding_id string", "newest bigint, ids array<string>", "append", GroupStateTimeout.NoTimeout
     )
