@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import share_code
+
 _ARROW = {
     "long": pa.int64(),
     "int": pa.int32(),
@@ -30,6 +32,12 @@ def ddl(fields: dict[str, str]) -> str:
     return ", ".join(f"`{name}` {kind}" for name, kind in fields.items())
 
 
+def in_tasks(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` in workers that can import this package."""
+    share_code(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def slices(batches: Iterator[pa.RecordBatch], block_bytes: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches cut so that a slice holds about ``block_bytes``; a single larger row stays whole."""
     for batch in batches:
@@ -49,7 +57,7 @@ def map_blocks(
             out = block(*(column.to_pylist() for column in batch.columns))
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
 
-    return df.select(*(c.alias(name) for name, c in columns.items())).mapInArrow(run, ddl(fields))
+    return in_tasks(df.select(*(c.alias(name) for name, c in columns.items())), run, ddl(fields))
 
 
 def filter_blocks(df: DataFrame, text_col: str, keep: Callable[[list], list[bool]], block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -60,7 +68,7 @@ def filter_blocks(df: DataFrame, text_col: str, keep: Callable[[list], list[bool
         for batch in slices(batches, block_bytes):
             yield batch.filter(pa.array(keep(batch.column(place).to_pylist()), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return in_tasks(df, run, df.schema)
 
 
 def replace_text(df: DataFrame, text_col: str, new: Callable[[list], list], block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -72,7 +80,7 @@ def replace_text(df: DataFrame, text_col: str, new: Callable[[list], list], bloc
             texts = pa.array(new(batch.column(place).to_pylist()), batch.schema.field(place).type)
             yield batch.set_column(place, batch.schema.field(place), texts)
 
-    return df.mapInArrow(run, df.schema)
+    return in_tasks(df, run, df.schema)
 
 
 def share(key: Column, part: int, of: int) -> Column:

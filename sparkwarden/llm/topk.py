@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import arrow_schema, ddl
+from .blocks import arrow_schema, ddl, in_tasks
 
 SCALE = 256.0
 _FIELDS = {"query_id": "long", "vec_id": "long", "score": "long"}
@@ -115,7 +115,7 @@ def exact_top_k(
         part = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).collect()
         if not part:
             continue
-        hits = rows.select("vec_id", "v").mapInArrow(_search([r[0] for r in part], [r[1] for r in part], k), ddl(_FIELDS))
+        hits = in_tasks(rows.select("vec_id", "v"), _search([r[0] for r in part], [r[1] for r in part], k), ddl(_FIELDS))
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
