@@ -5,12 +5,15 @@ hashes of its 5-word shingles, or of its whole word sequence if that is shorter.
 buckets; a bucket keeps, of its smallest remainder, the count of leading zeros and ``MANTISSA`` further bits. Documents with
 equal sets are one class, represented by its smallest id; only representatives go on.
 
-Candidates. Runs of seven registers (empty ones borrow from the next filled one) are hashed to 36 bands. Two sets of
-similarity 0.85 miss each other in all bands with a chance below 1e-6. A band shared by many does not emit its pairs: the
+Threshold. Two documents are linked from ``least`` hundredths of similarity on; all below follows from that number.
+
+Candidates. Runs of registers (empty ones borrow from the next filled one) are hashed to bands: as many registers a band as
+let two sets at the threshold miss each other in all bands with a chance below 1e-6 (``band_shape``: 36 bands of seven at 85,
+51 of five at 80). A band shared by many does not emit its pairs: the
 member met in the largest bands becomes its hub, and every member is compared with the hub alone. That comparison, over full
 sets, gives the link with the hub and the difference from it. Members that the hub does not link are then paired through
-these differences: two sets x, y with ``85 |x or y| <= 100 |x and y|`` have differences D(x), D(y) from the hub with
-``|D(x) xor D(y)| <= 15/185 (|x| + |y|)``, so in any fixed order of elements their prefixes of length
+these differences: two sets x, y with ``least |x or y| <= 100 |x and y|`` have differences D(x), D(y) from the hub with
+``|D(x) xor D(y)| <= s (|x| + |y|)``, ``s = (100 - least) / (100 + least)``, so in any fixed order of elements their prefixes of length
 ``|D| - least overlap + 1`` meet. Elements the hub lacks come first, as they are rare. So no link is lost to the hub, and
 what is emitted stays near the links there are. Prefix pairs are first judged by the registers (matches less the chance
 collisions of compressed registers, with six standard deviations of slack) and then confirmed on full sets.
@@ -36,9 +39,9 @@ from .blocks import map_blocks
 SHINGLE = 5
 BUCKETS = 256
 MANTISSA = 10
-ROWS, BANDS = 7, 36
-#: 100 * intersection >= LEAST * union links two documents.
+#: 100 * intersection >= least * union links two documents; this is the least of op2_near_duplicates.
 LEAST = 85
+MISSED = 1e-6
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BLOCK = 2 << 20
@@ -126,16 +129,24 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(table: np.ndarray) -> np.ndarray:
-    """rows x BANDS keys of a rows x BUCKETS table of registers, none of them all empty."""
+@cache
+def band_shape(least: int) -> tuple[int, int]:
+    """Registers a band and bands: the longest bands that miss a pair at the threshold with a chance below ``MISSED``."""
+    rows = max((r for r in range(1, 65) if (1 - (least / 100) ** r) ** (BUCKETS // r) < MISSED), default=1)
+    return rows, BUCKETS // rows
+
+
+def band_keys(table: np.ndarray, least: int = LEAST) -> np.ndarray:
+    """rows x bands keys of a rows x BUCKETS table of registers, none of them all empty."""
+    length, count = band_shape(least)
     filled = np.concatenate([table, table], axis=1) > 0
     place = np.where(filled, np.arange(2 * BUCKETS), 4 * BUCKETS)
     nearest = np.minimum.accumulate(place[:, ::-1], axis=1)[:, ::-1][:, :BUCKETS]
     distance = nearest - np.arange(BUCKETS)
     value = np.take_along_axis(table, nearest % BUCKETS, axis=1).astype(_U) | (distance.astype(_U) << _U(20))
-    value = value[:, : ROWS * BANDS].reshape(len(table), BANDS, ROWS)
-    key = np.broadcast_to(mix(np.arange(1, BANDS + 1, dtype=_U)), (len(table), BANDS)).copy()
-    for i in range(ROWS):
+    value = value[:, : length * count].reshape(len(table), count, length)
+    key = np.broadcast_to(mix(np.arange(1, count + 1, dtype=_U)), (len(table), count)).copy()
+    for i in range(length):
         key = mix(key ^ value[:, :, i])
     return key.view(np.int64)
 
@@ -152,22 +163,22 @@ def chance_match(n: int, m: int) -> float:
     return float((zeros(n) * zeros(m)).sum() / (1 << MANTISSA))
 
 
-def estimate(a: np.ndarray, b: np.ndarray, n: int, m: int) -> tuple[float, float]:
+def estimate(a: np.ndarray, b: np.ndarray, n: int, m: int, least: int = LEAST) -> tuple[float, float]:
     """Collision-corrected similarity and its standard deviation at the link threshold."""
     either = int(((a > 0) | (b > 0)).sum())
     if not either:
         return 0.0, 1.0
     agree = int(((a == b) & (a > 0)).sum())
-    return (agree - either * chance_match(n, m)) / either, (0.85 * 0.15 / either) ** 0.5
+    return (agree - either * chance_match(n, m)) / either, (least * (100 - least) / 10_000 / either) ** 0.5
 
 
-def linked(common: int, n: int, m: int) -> bool:
-    return 100 * common >= LEAST * (n + m - common)
+def linked(common: int, n: int, m: int, least: int = LEAST) -> bool:
+    return 100 * common >= least * (n + m - common)
 
 
-def _slack(n: int, m: int) -> float:
-    """Largest symmetric difference of linked sets of these sizes."""
-    return (100 - LEAST) / (100 + LEAST) * (n + m)
+def _spread(least: int) -> float:
+    """Largest symmetric difference of linked sets, as a share of the sum of their sizes."""
+    return (100 - least) / (100 + least)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -184,15 +195,15 @@ def signatures(docs: DataFrame) -> DataFrame:
     return map_blocks(docs, {"doc_id": F.col("doc_id"), "text": F.col("text")}, fields, block, _BLOCK)
 
 
-def bands(classes: DataFrame) -> DataFrame:
+def bands(classes: DataFrame, least: int = LEAST) -> DataFrame:
     """``band, id``: one row per band of every class representative."""
     fields = {"band": "long", "id": "long"}
 
     def block(ids: list, regs: list) -> dict[str, list]:
         if not ids:
             return {"band": [], "id": []}
-        keys = band_keys(np.frombuffer(b"".join(regs), np.uint16).reshape(len(ids), BUCKETS))
-        return {"band": keys.reshape(-1), "id": np.repeat(np.array(ids, np.int64), BANDS)}
+        keys = band_keys(np.frombuffer(b"".join(regs), np.uint16).reshape(len(ids), BUCKETS), least)
+        return {"band": keys.reshape(-1), "id": np.repeat(np.array(ids, np.int64), keys.shape[1])}
 
     return map_blocks(classes, {"id": F.col("id"), "regs": F.col("regs")}, fields, block, 1 << 20)
 
@@ -215,7 +226,7 @@ def with_texts(pairs: DataFrame, texts: DataFrame, left: str, right: str) -> Dat
     return pairs.join(b, right).join(a, left)
 
 
-def compare_with_hub(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def compare_with_hub(pairs: DataFrame, texts: DataFrame, least: int = LEAST) -> DataFrame:
     """``hub, id, linked, n, gap, prefix``: sizes of the set and of its difference from the hub's, and as much of the
     difference, in the fixed order, as any link may need."""
     fields = {"hub": "long", "id": "long", "linked": "boolean", "n": "long", "gap": "long", "prefix": "array<long>"}
@@ -229,15 +240,15 @@ def compare_with_hub(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             own = shingle_set(text)
             added, lost = np.setdiff1d(own, hub, assume_unique=True), np.setdiff1d(hub, own, assume_unique=True)
             gap = len(added) + len(lost)
-            # partners of a link hold at most 100/85 as many shingles, so this many elements suffice for every one of them
-            need = int(_slack(len(own), len(own) * 100 // LEAST + 1)) + 2
-            out["linked"].append(linked(len(own) - len(added), len(own), len(hub)))
+            # partners of a link hold at most 100/least as many shingles, so this many elements suffice for every one of them
+            need = int(_spread(least) * (len(own) + len(own) * 100 // least + 1)) + 2
+            out["linked"].append(linked(len(own) - len(added), len(own), len(hub), least))
             out["n"].append(len(own))
             out["gap"].append(gap)
             if out["linked"][-1]:
                 # Its partners are not linked with the hub, so they lie beyond the slack towards it, which is at most
-                # 15/185 of the gap less than the slack towards this set: they share over 0.45 of the gap.
-                need = min(need, int(0.55 * gap) + 2)
+                # s of the gap less than the slack towards this set: they share over (1 - s) / 2 of the gap.
+                need = min(need, int((1 + _spread(least)) / 2 * gap) + 2)
             out["prefix"].append(np.concatenate([added, lost])[:need].view(np.int64))
         return out
 
@@ -246,20 +257,20 @@ def compare_with_hub(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_blocks(joined, columns, fields, block, _BLOCK)
 
 
-def prefix_pairs(compared: DataFrame) -> DataFrame:
+def prefix_pairs(compared: DataFrame, least: int = LEAST) -> DataFrame:
     """``a, b``: pairs whose differences from a common hub can belong to a link; at least one is not linked with the hub."""
     members = compared.groupBy("hub").agg(F.count(F.lit(1)).alias("members"), F.count_if(~F.col("linked")).alias("open"))
     open_hubs = members.filter("members > 1 AND open > 0").select("hub")
     rows = compared.join(open_hubs, "hub").select("hub", "id", "linked", "n", "gap", F.posexplode("prefix").alias("at", "element"))
     a = rows.filter(~F.col("linked")).select("hub", "element", *(F.col(c).alias(f"a_{c}") for c in ("id", "n", "gap", "at")))
     b = rows.select("hub", "element", F.col("linked").alias("b_linked"), *(F.col(c).alias(f"b_{c}") for c in ("id", "n", "gap", "at")))
-    overlap = F.ceil((F.col("a_gap") + F.col("b_gap") - (100 - LEAST) / (100 + LEAST) * (F.col("a_n") + F.col("b_n"))) / 2 - 1e-6)
+    overlap = F.ceil((F.col("a_gap") + F.col("b_gap") - _spread(least) * (F.col("a_n") + F.col("b_n"))) / 2 - 1e-6)
     on = (
         (a["hub"] == b["hub"])
         & (a["element"] == b["element"])
         & (F.col("a_id") != F.col("b_id"))
         & (F.col("b_linked") | (F.col("a_id") < F.col("b_id")))
-        & (100 * F.least("a_n", "b_n") >= LEAST * F.greatest("a_n", "b_n"))
+        & (100 * F.least("a_n", "b_n") >= least * F.greatest("a_n", "b_n"))
         & (F.col("a_at") <= F.col("a_gap") - overlap)
         & (F.col("b_at") <= F.col("b_gap") - overlap)
     )
@@ -267,15 +278,15 @@ def prefix_pairs(compared: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("hits")).select("a", "b")
 
 
-def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def likely(pairs: DataFrame, classes: DataFrame, least: int = LEAST) -> DataFrame:
     """Pairs whose registers do not speak clearly against a link."""
     fields = {"a": "long", "b": "long"}
 
     def block(a_ids: list, b_ids: list, a_n: list, b_n: list, a_regs: list, b_regs: list) -> dict[str, list]:
         keep = []
         for i, (n, m, x, y) in enumerate(zip(a_n, b_n, a_regs, b_regs)):
-            value, deviation = estimate(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16), n, m)
-            if value >= LEAST / 100 - 6 * deviation:
+            value, deviation = estimate(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16), n, m, least)
+            if value >= least / 100 - 6 * deviation:
                 keep.append(i)
         return {"a": [a_ids[i] for i in keep], "b": [b_ids[i] for i in keep]}
 
@@ -285,7 +296,7 @@ def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return map_blocks(joined, {c: F.col(c) for c in ("a", "b", "a_n", "b_n", "a_regs", "b_regs")}, fields, block)
 
 
-def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def confirm(pairs: DataFrame, texts: DataFrame, least: int = LEAST) -> DataFrame:
     """``a, b`` of the pairs whose full sets are linked."""
     fields = {"a": "long", "b": "long"}
 
@@ -293,7 +304,7 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         keep = []
         for i, (x, y) in enumerate(zip(a_texts, b_texts)):
             x, y = shingle_set(x), shingle_set(y)
-            if linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)):
+            if linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), least):
                 keep.append(i)
         return {"a": [a_ids[i] for i in keep], "b": [b_ids[i] for i in keep]}
 
@@ -318,18 +329,18 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row."""
     ensure_checkpoint_dir(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = signatures(docs).checkpoint()
     named = signed.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     classes = named.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("regs").alias("regs")).checkpoint()
-    pairs = hub_pairs(bands(classes)).checkpoint()
+    pairs = hub_pairs(bands(classes, least)).checkpoint()
     wanted = pairs.select(F.col("hub").alias("doc_id")).unionByName(pairs.select(F.col("id").alias("doc_id"))).distinct()
     texts = docs.join(wanted, "doc_id").select(F.col("doc_id").alias("id"), "text").checkpoint()
-    compared = compare_with_hub(pairs, texts).checkpoint()
-    more = confirm(likely(prefix_pairs(compared), classes), texts)
+    compared = compare_with_hub(pairs, texts, least).checkpoint()
+    more = confirm(likely(prefix_pairs(compared, least), classes, least), texts, least)
     same_id = named.select("doc_id", "key").join(classes.select("key", "id"), "key").filter("doc_id <> id")
     links = compared.filter("linked").select(F.col("hub").alias("a"), F.col("id").alias("b")).unionByName(more)
     links = links.unionByName(same_id.select(F.col("doc_id").alias("a"), F.col("id").alias("b")))
@@ -339,9 +350,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """The rows of ``df`` with the smallest id of their component, one row an id; rows with null ids all stay."""
-    found = near_duplicates(df, id_col, text_col).filter(F.col("kept") & F.col("doc_id").isNotNull())
+    found = near_duplicates(df, id_col, text_col, least).filter(F.col("kept") & F.col("doc_id").isNotNull())
     found = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
     named = df.join(found, df[id_col].cast("long") == found["doc_id"], "left_semi").dropDuplicates([id_col])
     return named.unionByName(df.filter(F.col(id_col).isNull()))

@@ -88,6 +88,47 @@ def test_near_duplicates_equal_brute_force(spark):
             assert row["kept"] == (row["doc_id"] == row["component_id"])
 
 
+def plain_components_at(rows, least):
+    """Like ``plain_components``, at any threshold; no null ids."""
+    sets, low = [(i, plain_set(t)) for i, t in rows], {i: i for i, _ in rows}
+
+    def root(i):
+        while low[i] != i:
+            i = low[i]
+        return i
+
+    for k, (i, x) in enumerate(sets):
+        for j, y in sets[:k]:
+            if x and y and 100 * len(x & y) >= least * len(x | y):
+                a, b = root(i), root(j)
+                low[max(a, b)] = min(a, b)
+    return {i: root(i) for i in low}
+
+
+@pytest.mark.parametrize("least", [80, 85])
+def test_near_duplicates_at_a_threshold_equal_brute_force(spark, least):
+    rows = [(i, t) for i, t in near_rows() if i is not None]
+    expected = plain_components_at(rows, least)
+    assert plain_components_at(rows, 80) != plain_components_at(rows, 85)
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(table, least=least).collect()} == expected
+
+
+def test_bands_follow_the_threshold():
+    assert near_dedup.band_shape(85) == (7, 36) and near_dedup.band_shape(80) == (5, 51)
+
+
+def test_pipeline_drops_near_copies_between_80_and_85(spark):
+    ensure_checkpoint_dir(spark)
+    words = [f"w{i}" for i in range(104)]
+    changed = lambda *at: " ".join("other" if i in at else w for i, w in enumerate(words))
+    rows = [(1, " ".join(words)), (2, changed(10, 50)), (3, changed(10, 40, 70))]
+    share = [len(plain_set(rows[0][1]) & plain_set(t)) / len(plain_set(rows[0][1]) | plain_set(t)) for _, t in rows[1:]]
+    assert 0.80 <= share[0] < 0.85 and share[1] < 0.80
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == [1, 3]
+
+
 def test_near_duplicates_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert near_dedup.near_duplicates(empty).count() == 0
