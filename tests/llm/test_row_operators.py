@@ -1,5 +1,6 @@
 """Operators that judge one row at a time: against plain forms of their definitions, and on the hard rows."""
 
+import base64
 import hashlib
 import random
 import re
@@ -185,6 +186,25 @@ def test_language_rejects_what_is_far_from_every_centroid():
     assert language.predict_texts(["aaa bbb", "日本語のテキスト"], model)[2] == [False, True]
 
 
+def test_language_rejects_other_languages_and_junk_but_keeps_short_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").filter("doc_id < 100000")
+    other = [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve kardeşçe davranırlar.",
+        "Tất cả mọi người sinh ra đều được tự do và bình đẳng về nhân phẩm và quyền. Mọi con người đều được ban cho lý trí.",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+        base64.b64encode(random.Random(6).randbytes(200)).decode(),
+        " ".join("".join(random.Random(i).choices("bcdfghjklmnpqrstvwxz", k=6)) for i in range(40)),
+    ]
+    short = ["Die.", "The", "La que", "Et des", "und der", "los de la", "the of and", "Die Die Die Die Die Die Die Die"]
+    extra = spark.createDataFrame([(200_000 + i, t, None) for i, t in enumerate(other + short)], docs.schema)
+    out = by_id(language.identify(docs.unionByName(extra), ~queries.share(queries.F.col("doc_id"), 2, 4), queries.share(queries.F.col("doc_id"), 2, 4)))
+    assert [out[200_000 + i][0]["rejected"] for i in range(len(other))] == [True] * len(other)
+    assert [out[200_000 + len(other) + i][0]["rejected"] for i in range(len(short))] == [False] * len(short)
+    own = [r[0] for i, r in out.items() if i is not None and i < 200_000 and r[0]["lang_pred"] != "und"]
+    assert sum(r["rejected"] for r in own) <= 0.002 * len(own)
+
+
 def test_factorisation_identity():
     rng = np.random.default_rng(3)
     model = quality.Machine(0.3, rng.normal(size=quality.SLOTS), rng.normal(size=(quality.SLOTS, 4)))
