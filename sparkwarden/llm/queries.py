@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, language, license_scan, near_dedup, pii, quality, secret_scan
+from . import bpe, decontam, language, license_scan, merkle, near_dedup, pii, quality, secret_scan, twins
 from .blocks import share
 from .topk import exact_top_k
 from .url_rules import UrlRule, filter_urls
@@ -77,6 +77,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.document_manifest(table(spark, sf_dir, "documents"), share(F.col("doc_id"), 0, 3))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_near_duplicates": op2_near_duplicates,
@@ -88,9 +92,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_secret_scan": op9_secret_scan,
     "op10_url_filter": op10_url_filter,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 ORACLES: dict[str, str] = {
+    "op12_merkle_manifest": twins.MERKLE,
     "op2_near_duplicates": r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(
