@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, language, license_scan, merkle, near_dedup, packing, pii, quality, secret_scan, twins
+from . import bpe, decontam, language, license_scan, merkle, near_dedup, packing, pii, prefix_trie, quality, secret_scan, twins
 from .blocks import share
 from .topk import exact_top_k
 from .url_rules import UrlRule, filter_urls
@@ -83,6 +83,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = prefix_trie.turn_lists(table(spark, sf_dir, "conversations"))
+    conv = F.col("conv_id")
+    return prefix_trie.trie(prefix_trie.regrafted(lists, conv - conv % 100, F.crc32(conv.cast("string").cast("binary")) % 6, 5))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.document_manifest(table(spark, sf_dir, "documents"), share(F.col("doc_id"), 0, 3))
 
@@ -103,11 +109,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_secret_scan": op9_secret_scan,
     "op10_url_filter": op10_url_filter,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_packing": op13_packing,
 }
 
 ORACLES: dict[str, str] = {
+    "op11_prefix_trie": twins.TRIE,
     "op12_merkle_manifest": twins.MERKLE,
     "op2_near_duplicates": r"""
 WITH RECURSIVE words AS (

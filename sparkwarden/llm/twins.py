@@ -56,3 +56,29 @@ WITH RECURSIVE rows_ AS (SELECT *, row_number() OVER () AS rid FROM documents
 SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded_root, folded_root = root AS verified
 FROM base JOIN subroots ON lang_key = grp JOIN found USING (rid), root
 """
+
+TRIE = f"""
+WITH turns AS (
+  SELECT conv_id, turn, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, length(coalesce(text, '')) AS chars
+  FROM conversations WHERE conv_id IS NOT NULL
+), lists AS (SELECT conv_id, list(struct_pack(k, chars) ORDER BY turn NULLS FIRST, k) AS l FROM turns GROUP BY conv_id
+), shared AS (SELECT conv_id, l, {crc32_sql('conv_id::VARCHAR')} % 6 AS h FROM lists
+), rebuilt AS (
+  SELECT s.conv_id, list_concat(coalesce(b.l[1:s.h], []), s.l[s.h + 1:]) AS l FROM shared s LEFT JOIN lists b ON b.conv_id = s.conv_id - s.conv_id % 100
+), steps AS (SELECT conv_id, len(l) AS n, unnest(range(0, len(l) + 1)) AS depth, l FROM rebuilt
+), prefixes AS (SELECT conv_id, n, depth, list_transform(l[1:depth], lambda t: t.k) AS path, CASE WHEN depth > 0 THEN l[depth].chars ELSE 0 END AS chars FROM steps
+), nodes AS (
+  SELECT array_to_string(path, ',') AS key, array_to_string(path[1:depth - 1], ',') AS parent, path, depth, any_value(chars) AS chars, count(*) AS n_convs,
+    min(conv_id) AS conv_id, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE n = depth), '')) AS ends_sha256
+  FROM prefixes GROUP BY path, depth
+), children AS (SELECT parent AS key, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY parent
+), own AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN children USING (key)
+), spread AS (SELECT *, unnest(range(0, depth + 1)) AS top_depth FROM own
+), sums AS (
+  SELECT array_to_string(path[1:top_depth], ',') AS key, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n_convs - 1) * chars) AS saved_tokens
+  FROM spread GROUP BY 1
+)
+SELECT o.conv_id, o.depth, CASE WHEN o.depth > 0 THEN p.conv_id END AS parent_conv_id, o.n_convs, o.n_children, s.n_leaves, s.saved_tokens::BIGINT AS saved_tokens,
+  o.ends_sha256
+FROM own o JOIN sums s USING (key) LEFT JOIN own p ON p.key = o.parent
+"""
