@@ -161,7 +161,9 @@ def pack(tokens: DataFrame, context: int = CONTEXT) -> DataFrame:
     after them by its document's place in the table and its own place in the document, which leaves gaps.
     """
     ensure_checkpoint_dir(tokens.sparkSession)
-    ranked = numbered(tokens.withColumn("rest", F.col("n") % context), ["rest"], ["doc_id", "n"], "rank", position="place").checkpoint()
+    held = tokens.select("doc_id", "n", "ids").withColumn("at", F.monotonically_increasing_id()).checkpoint()
+    sizes = held.select("at", "doc_id", "n", (F.col("n") % context).alias("rest"))  # ids stay where they are until their place is known
+    ranked = numbered(sizes, ["rest"], ["doc_id", "n"], "rank", position="place").select("at", "n", "rest", "rank", "place")
     counted = ranked.groupBy("rest").agg(F.count(F.lit(1)).alias("docs"), F.max(F.floor(F.col("n") / context)).alias("wholes")).collect()
     plan = Plan({r["rest"]: r["docs"] for r in counted if r["rest"]}, context)  # at most one row per length below the context
     each = max((r["wholes"] for r in counted), default=0)
@@ -182,7 +184,8 @@ def pack(tokens: DataFrame, context: int = CONTEXT) -> DataFrame:
                     out[name].append(value)
         return out
 
-    return map_blocks(ranked, {c: F.col(c) for c in ("doc_id", "n", "ids", "rest", "rank", "place")}, fields, block, 1 << 20)
+    placed = held.join(ranked.drop("n"), "at")
+    return map_blocks(placed, {c: F.col(c) for c in ("doc_id", "n", "ids", "rest", "rank", "place")}, fields, block, 1 << 20)
 
 
 def pack_documents(docs: DataFrame, path: str, context: int = CONTEXT, end_id: int = END_ID) -> DataFrame:

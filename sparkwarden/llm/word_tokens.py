@@ -1,12 +1,12 @@
 """Token ids of a word-level tokenizer of the ``tokenizers`` library, with one lookup per word instead of one run per text.
 
 The vocabulary files meant here normalise (NFC, white space, lower case), split texts into runs of letters, single digits, runs of
-other signs and English endings, and then merge inside each such word, so a word's ids never depend on its neighbours. Words met
-before come from a bounded cache; new words of a block are encoded by the library in one batch.
+other signs and English endings, and then merge inside each such word. So the ids of what stands between white space never depend
+on what stands around it, and those met before come from a bounded cache; the new ones of a block are encoded in one batch.
 
-A text takes that way piece by piece between white space: pieces of signs that are classed and lower-cased alike by every Unicode
-version in use (those that Unicode 3.2 had, except the capital sigma, whose lower case depends on its place, and four separators)
-are split here; other pieces go to the library as they are. Strings of special tokens in a text are ordinary text.
+New pieces of signs that are classed and lower-cased alike by every Unicode version in use (those that Unicode 3.2 had, except the
+capital sigma, whose lower case depends on its place, and four separators) are split into words here, and their words are looked up
+too; other pieces go to the library as they are. Strings of special tokens in a text are ordinary text.
 
 Defined results: null texts count as empty and have no ids. Very long texts are encoded in parts that end before white space.
 """
@@ -15,17 +15,18 @@ from __future__ import annotations
 
 import os
 import re
-import sys
 import unicodedata
 from functools import cache
 
 import numpy as np
 
 _PART = 1 << 18
-_CACHED = 400_000
+_BLOCK = 1 << 20
+_CACHED = 600_000
 _LONGEST_CACHED = 48
 _BREAK = re.compile(r"[ \t\n\r\f\v]")
 _GAPS = re.compile(r"[ \t\n\r\f\v]+")
+_SEPARATORS = "\x1c\x1d\x1e\x1f"  # white space to Python, not to the library
 
 
 def _char_class(kept) -> str:
@@ -70,50 +71,81 @@ class WordTokenizer:
         self._library = Tokenizer.from_file(path)
         self._library.encode_special_tokens = True
         self._settled, self._words = _patterns()
+        vocabulary = self._library.get_vocab()
+        self._ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.dtype = np.dtype("<u2" if self._library.get_vocab_size() <= 1 << 16 else "<u4")
-        self._known: dict[str, bytes] = {}
+        self._piece_ids: dict[str, bytes] = {}
+        self._word_ids: dict[str, bytes] = {}
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         found = self._library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, self.dtype).tobytes() for x in found]
 
-    def _learn(self, words: list[str], beside: dict[str, bytes]) -> None:
-        known = self._known
-        new = [w for w in set(words) if w not in known and w not in beside]
-        for word, ids in zip(new, self._encoded(new)):
-            if len(word) <= _LONGEST_CACHED:
-                known[sys.intern(word)] = ids
-            else:
-                beside[word] = ids
-
-    def _split(self, text: str) -> list[str]:
-        """Words whose ids, one after the other, are those of the text."""
-        if self._settled.fullmatch(text):
-            return self._words.findall(unicodedata.normalize("NFC", text).lower())
+    def _encoded_words(self, words: list[str]) -> list[bytes]:
+        """Like ``_encoded`` for single words: one run over many of them, told apart by the ids that end a word."""
         out = []
-        for piece in _GAPS.split(text):
-            if self._settled.fullmatch(piece):
-                out += self._words.findall(unicodedata.normalize("NFC", piece).lower())
-            elif piece:
-                out.append(piece)
+        for start in range(0, len(words), 1000):
+            some = words[start : start + 1000]
+            ids = np.array(self._library.encode(" ".join(some), add_special_tokens=False).ids, self.dtype)
+            ends = np.flatnonzero(self._ends_word[ids]) + 1
+            if len(ends) != len(some):
+                out += self._encoded(some)
+                continue
+            raw, size, at = ids.tobytes(), self.dtype.itemsize, 0
+            for end in (ends * size).tolist():
+                out.append(raw[at:end])
+                at = end
         return out
 
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """The ids of pieces not known; short ones are kept."""
+        words, whole = {}, []
+        for piece in pieces:
+            if self._settled.fullmatch(piece):
+                words[piece] = self._words.findall(unicodedata.normalize("NFC", piece).lower())
+            else:
+                whole.append(piece)
+        known = self._word_ids
+        new = [w for w in {w for ws in words.values() for w in ws} if w not in known]
+        fresh = dict(zip(new, self._encoded_words(new)))
+        known.update((w, ids) for w, ids in fresh.items() if len(w) <= _LONGEST_CACHED)
+        found = {p: b"".join([known[w] if w in known else fresh[w] for w in ws]) for p, ws in words.items()}
+        found.update(zip(whole, self._encoded(whole)))
+        self._piece_ids.update((p, ids) for p, ids in found.items() if len(p) <= _LONGEST_CACHED)
+        return found
+
+    def _joined(self, lists: list[list[str]]) -> list[bytes]:
+        known = self._piece_ids
+        new = [p for p in set().union(*lists) if p not in known]
+        fresh = self._learn(new)
+        if not any(len(p) > _LONGEST_CACHED for p in new):
+            return [b"".join(map(known.__getitem__, pieces)) for pieces in lists]
+        return [b"".join([known[p] if p in known else fresh[p] for p in pieces]) for pieces in lists]
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self._known) > _CACHED:
-            self._known.clear()
-        out = []
-        for text in texts:
-            ids = []
+        for kept in (self._piece_ids, self._word_ids):
+            if len(kept) > _CACHED:
+                kept.clear()
+        out, lists = [[] for _ in texts], []
+        owners: list[int] = []
+        waiting = 0
+
+        def flush() -> None:
+            for owner, ids in zip(owners, self._joined(lists)):
+                out[owner].append(ids)
+            lists.clear(), owners.clear()
+
+        for i, text in enumerate(texts):
             for part in parts(text or ""):
-                words = self._split(part)
-                try:
-                    ids.append(b"".join(map(self._known.__getitem__, words)))
-                except KeyError:
-                    beside: dict[str, bytes] = {}
-                    self._learn(words, beside)
-                    ids.append(b"".join([beside[w] if w in beside else self._known[w] for w in words]))
-            out.append(np.frombuffer(b"".join(ids), self.dtype))
-        return out
+                lists.append(_GAPS.split(part) if any(c in part for c in _SEPARATORS) else part.split())
+                owners.append(i)
+                waiting += len(part)
+                if waiting > _BLOCK:
+                    flush()
+                    waiting = 0
+        flush()
+        return [np.frombuffer(b"".join(ids), self.dtype) for ids in out]
 
 
 @cache
