@@ -22,6 +22,7 @@ _ARROW = {
     "array<string>": pa.list_(pa.string()),
 }
 BLOCK_BYTES = 8 << 20
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def arrow_schema(fields: dict[str, str]) -> pa.Schema:
@@ -33,8 +34,11 @@ def ddl(fields: dict[str, str]) -> str:
 
 
 def in_tasks(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``mapInArrow`` in workers that can import this package."""
+    """``mapInArrow`` in workers that can import this package. Batches are bounded in bytes where the session sets no bound itself:
+    Spark's own bound is eight times as large, and it is held by JVM and worker for every task at once."""
     share_code(df.sparkSession)
+    if df.sparkSession.conf.get(_BATCH_BYTES, None) is None:
+        df.sparkSession.conf.set(_BATCH_BYTES, str(BLOCK_BYTES))
     return df.mapInArrow(run, schema)
 
 

@@ -13,10 +13,13 @@ let two sets at the threshold miss each other in all bands with a chance below 1
 member met in the largest bands becomes its hub, and every member is compared with the hub alone. That comparison, over full
 sets, gives the link with the hub and the difference from it. Members that the hub does not link are then paired through
 these differences: two sets x, y with ``least |x or y| <= 100 |x and y|`` have differences D(x), D(y) from the hub with
-``|D(x) xor D(y)| <= s (|x| + |y|)``, ``s = (100 - least) / (100 + least)``, so in any fixed order of elements their prefixes of length
-``|D| - least overlap + 1`` meet. Elements the hub lacks come first, as they are rare. So no link is lost to the hub, and
-what is emitted stays near the links there are. Prefix pairs are first judged by the registers (matches less the chance
-collisions of compressed registers, with six standard deviations of slack) and then confirmed on full sets.
+``|D(x) xor D(y)| <= s (|x| + |y|)``, ``s = (100 - least) / (100 + least)``, so in any order of elements that is the same for all
+members of a hub their prefixes of length ``|D| - least overlap + 1`` meet. The order is by how many members hold an element,
+rarest first: what nearly all members have against the hub, such as the hub's own edits, comes last, and what one member alone has
+pairs nothing and is left out. Holders are counted in hashed slots, a table per hub that fits its members' differences; a slot never
+counts less than its elements have holders. So no link is lost to the hub, and what is emitted stays near the links there are.
+Prefix pairs are first judged by the registers (matches less the chance collisions of compressed registers, with six standard
+deviations of slack) and then confirmed on full sets. Texts travel compressed, once for every distinct set.
 
 Components are found by spreading the smallest id over the links, with pointer jumping.
 
@@ -27,14 +30,17 @@ has a null component and is kept. Empty tables give no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .blocks import map_blocks
+from .blocks import arrow_schema, ddl, in_tasks, map_blocks
 
 SHINGLE = 5
 BUCKETS = 256
@@ -42,6 +48,8 @@ MANTISSA = 10
 #: 100 * intersection >= least * union links two documents; this is the least of op2_near_duplicates.
 LEAST = 85
 MISSED = 1e-6
+#: Slots of a hub's table of holders: a power of two near the elements of its members' differences, within these bounds.
+_SLOTS = (64, 1 << 20)
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BLOCK = 2 << 20
@@ -181,15 +189,24 @@ def _spread(least: int) -> float:
     return (100 - least) / (100 + least)
 
 
+def packed(text: str) -> bytes:
+    return zstandard.ZstdCompressor().compress(text.encode("utf-8", "surrogatepass"))
+
+
+def packed_set(text: bytes) -> np.ndarray:
+    return shingle_set(zstandard.ZstdDecompressor().decompress(text).decode("utf-8", "surrogatepass"))
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """``doc_id, n, key, regs`` of every row of ``docs`` (doc_id, text)."""
-    fields = {"doc_id": "long", "n": "long", "key": "binary", "regs": "binary"}
+    """``doc_id, n, key, regs, text`` (packed) of every row of ``docs`` (doc_id, text)."""
+    fields = {"doc_id": "long", "n": "long", "key": "binary", "regs": "binary", "text": "binary"}
 
     def block(ids: list, texts: list) -> dict[str, list]:
         sets = [shingle_set(t) for t in texts]
         return {
             "doc_id": ids, "n": [len(s) for s in sets], "key": [set_key(s) for s in sets],
             "regs": [registers(s).tobytes() if len(s) else None for s in sets],
+            "text": [packed(t) if len(s) else None for s, t in zip(sets, texts)],
         }
 
     return map_blocks(docs, {"doc_id": F.col("doc_id"), "text": F.col("text")}, fields, block, _BLOCK)
@@ -216,7 +233,7 @@ def hub_pairs(filed: DataFrame) -> DataFrame:
     weighed = members.select("band", "id").join(weight, "id")
     hubs = weighed.groupBy("band").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("hub"))
     pairs = members.select("band", "id").join(hubs, "band").filter("id <> hub")
-    return pairs.groupBy("hub", "id").agg(F.count(F.lit(1)).alias("bands")).select("hub", "id")
+    return pairs.distinct()
 
 
 def with_texts(pairs: DataFrame, texts: DataFrame, left: str, right: str) -> DataFrame:
@@ -227,29 +244,22 @@ def with_texts(pairs: DataFrame, texts: DataFrame, left: str, right: str) -> Dat
 
 
 def compare_with_hub(pairs: DataFrame, texts: DataFrame, least: int = LEAST) -> DataFrame:
-    """``hub, id, linked, n, gap, prefix``: sizes of the set and of its difference from the hub's, and as much of the
-    difference, in the fixed order, as any link may need."""
-    fields = {"hub": "long", "id": "long", "linked": "boolean", "n": "long", "gap": "long", "prefix": "array<long>"}
+    """``hub, id, linked, n, gap, lacks``: sizes of the set and of its difference from the hub's, and the difference."""
+    fields = {"hub": "long", "id": "long", "linked": "boolean", "n": "long", "gap": "long", "lacks": "binary"}
 
     def block(hubs: list, ids: list, hub_texts: list, id_texts: list) -> dict[str, list]:
-        out: dict[str, list] = {"hub": hubs, "id": ids, "linked": [], "n": [], "gap": [], "prefix": []}
+        out: dict[str, list] = {"hub": hubs, "id": ids, "linked": [], "n": [], "gap": [], "lacks": []}
         last, hub = None, None
         for hub_id, hub_text, text in zip(hubs, hub_texts, id_texts):
             if last != (hub_id, hub_text):
-                last, hub = (hub_id, hub_text), shingle_set(hub_text)
-            own = shingle_set(text)
-            added, lost = np.setdiff1d(own, hub, assume_unique=True), np.setdiff1d(hub, own, assume_unique=True)
-            gap = len(added) + len(lost)
-            # partners of a link hold at most 100/least as many shingles, so this many elements suffice for every one of them
-            need = int(_spread(least) * (len(own) + len(own) * 100 // least + 1)) + 2
-            out["linked"].append(linked(len(own) - len(added), len(own), len(hub), least))
+                last, hub = (hub_id, hub_text), packed_set(hub_text)
+            own = packed_set(text)
+            difference = np.setxor1d(own, hub, assume_unique=True)
+            common = (len(own) + len(hub) - len(difference)) // 2
+            out["linked"].append(linked(common, len(own), len(hub), least))
             out["n"].append(len(own))
-            out["gap"].append(gap)
-            if out["linked"][-1]:
-                # Its partners are not linked with the hub, so they lie beyond the slack towards it, which is at most
-                # s of the gap less than the slack towards this set: they share over (1 - s) / 2 of the gap.
-                need = min(need, int((1 + _spread(least)) / 2 * gap) + 2)
-            out["prefix"].append(np.concatenate([added, lost])[:need].view(np.int64))
+            out["gap"].append(len(difference))
+            out["lacks"].append(difference.tobytes())
         return out
 
     joined = with_texts(pairs, texts, "hub", "id")
@@ -257,25 +267,116 @@ def compare_with_hub(pairs: DataFrame, texts: DataFrame, least: int = LEAST) ->
     return map_blocks(joined, columns, fields, block, _BLOCK)
 
 
+def _slot(elements: np.ndarray, slots: int) -> np.ndarray:
+    return (elements >> _U(20)).astype(np.int64) & (slots - 1)
+
+
+def holders(members: DataFrame) -> DataFrame:
+    """``hub, slots, counts``: per hub and slot, how many of ``members`` (hub, slots, lacks) hold an element that falls there.
+
+    Members of a hub stand together after the join that made them; each run of them is counted first, then the runs are added up.
+    """
+    fields = {"hub": "long", "slots": "long", "at": "binary", "counts": "binary"}
+    schema = arrow_schema(fields)
+
+    def summed(hub: int, slots: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[int, int, bytes, bytes]:
+        total = np.bincount(np.concatenate([at for at, _ in parts]), np.concatenate([n for _, n in parts]), slots).astype(np.uint32)
+        at = np.flatnonzero(total).astype(np.uint32)
+        return hub, slots, at.tobytes(), total[at].tobytes()
+
+    def counting(read, flush: int):
+        """Rows of one hub after the other; ``read`` gives slots and counts of a row."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, parts, held, out, size = None, [], 0, [], 0
+            for batch in batches:
+                for row in zip(*(column.to_pylist() for column in batch.columns)):
+                    if now is not None and (now[0] != row[0] or held > flush):
+                        if now[0] != row[0]:
+                            out.append(summed(*now, parts))
+                            size += len(out[-1][2])
+                            parts, held = [], 0
+                        else:  # a hot hub: add up what there is and go on
+                            _, _, at, counts = summed(*now, parts)
+                            parts, held = [(np.frombuffer(at, np.uint32), np.frombuffer(counts, np.uint32))], 0
+                    now = row[:2]
+                    parts.append(read(*row[1:]))
+                    held += len(parts[-1][0])
+                if size > _BLOCK:
+                    yield _rows(out, schema)
+                    out, size = [], 0
+            if now is not None:
+                out.append(summed(*now, parts))
+            yield _rows(out, schema)
+
+        return run
+
+    def of_member(slots: int, lacks: bytes) -> tuple[np.ndarray, np.ndarray]:
+        at = _slot(np.frombuffer(lacks, _U), slots)
+        return at, np.ones(len(at), np.uint32)
+
+    def of_part(slots: int, at: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(at, np.uint32), np.frombuffer(counts, np.uint32)
+
+    first = in_tasks(members.select("hub", "slots", "lacks"), counting(of_member, 1 << 21), ddl(fields))
+    return in_tasks(first.repartition("hub").sortWithinPartitions("hub"), counting(of_part, 1 << 21), ddl(fields))
+
+
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def prefixes(members: DataFrame, least: int = LEAST) -> DataFrame:
+    """``element, id, linked, n, gap, at`` of every place in a member's prefix that another member of its hub may share."""
+    fields = {"element": "long", "id": "long", "linked": "boolean", "n": "long", "gap": "long", "at": "long"}
+
+    def block(hubs: list, ids: list, flags: list, sizes: list, gaps: list, lacks: list, slots: list, ats: list, counts: list) -> dict[str, list]:
+        out: dict[str, list] = {name: [np.zeros(0, np.int64)] for name in fields}
+        last, table = None, None
+        for hub, id_, flag, n, gap, raw, size, at, count in zip(hubs, ids, flags, sizes, gaps, lacks, slots, ats, counts):
+            if last != hub:
+                last, table = hub, np.zeros(size, np.uint32)
+                table[np.frombuffer(at, np.uint32)] = np.frombuffer(count, np.uint32)
+            elements = np.frombuffer(raw, _U)
+            held = table[_slot(elements, size)]
+            # partners of a link hold at most 100/least as many shingles, so this many elements suffice for every one of them
+            need = int(_spread(least) * (n + n * 100 // least + 1)) + 2
+            if flag:
+                # Its partners are not linked with the hub, so they lie beyond the slack towards it, which is at most
+                # s of the gap less than the slack towards this set: they share over (1 - s) / 2 of the gap.
+                need = min(need, int((1 + _spread(least)) / 2 * gap) + 2)
+            order = np.lexsort((elements, held))[:need]
+            shared = np.flatnonzero(held[order] > 1)
+            out["element"].append(mix(elements[order[shared]] ^ mix(np.full(1, hub, np.int64).view(_U))).view(np.int64))
+            out["at"].append(shared)
+            for name, value in (("id", id_), ("linked", flag), ("n", n), ("gap", gap)):
+                out[name].append(np.full(len(shared), value))
+        return {name: np.concatenate(parts).astype(bool if name == "linked" else np.int64) for name, parts in out.items()}
+
+    columns = ("hub", "id", "linked", "n", "gap", "lacks", "slots", "at", "counts")
+    joined = members.join(holders(members).drop("slots"), "hub")
+    return map_blocks(joined, {c: F.col(c) for c in columns}, fields, block, _BLOCK)
+
+
 def prefix_pairs(compared: DataFrame, least: int = LEAST) -> DataFrame:
     """``a, b``: pairs whose differences from a common hub can belong to a link; at least one is not linked with the hub."""
-    members = compared.groupBy("hub").agg(F.count(F.lit(1)).alias("members"), F.count_if(~F.col("linked")).alias("open"))
-    open_hubs = members.filter("members > 1 AND open > 0").select("hub")
-    rows = compared.join(open_hubs, "hub").select("hub", "id", "linked", "n", "gap", F.posexplode("prefix").alias("at", "element"))
-    a = rows.filter(~F.col("linked")).select("hub", "element", *(F.col(c).alias(f"a_{c}") for c in ("id", "n", "gap", "at")))
-    b = rows.select("hub", "element", F.col("linked").alias("b_linked"), *(F.col(c).alias(f"b_{c}") for c in ("id", "n", "gap", "at")))
+    hubs = compared.groupBy("hub").agg(F.count(F.lit(1)).alias("members"), F.count_if(~F.col("linked")).alias("open"), F.sum("gap").alias("elements"))
+    slots = F.pow(F.lit(2), F.ceil(F.log2(F.col("elements") + 1))).cast("long")
+    open_hubs = hubs.filter("members > 1 AND open > 0").select("hub", F.greatest(F.lit(_SLOTS[0]), F.least(F.lit(_SLOTS[1]), slots)).cast("long").alias("slots"))
+    rows = prefixes(compared.join(open_hubs, "hub"), least)
+    a = rows.filter(~F.col("linked")).select("element", *(F.col(c).alias(f"a_{c}") for c in ("id", "n", "gap", "at")))
+    b = rows.select("element", F.col("linked").alias("b_linked"), *(F.col(c).alias(f"b_{c}") for c in ("id", "n", "gap", "at")))
     overlap = F.ceil((F.col("a_gap") + F.col("b_gap") - _spread(least) * (F.col("a_n") + F.col("b_n"))) / 2 - 1e-6)
     on = (
-        (a["hub"] == b["hub"])
-        & (a["element"] == b["element"])
+        (a["element"] == b["element"])
         & (F.col("a_id") != F.col("b_id"))
         & (F.col("b_linked") | (F.col("a_id") < F.col("b_id")))
         & (100 * F.least("a_n", "b_n") >= least * F.greatest("a_n", "b_n"))
         & (F.col("a_at") <= F.col("a_gap") - overlap)
         & (F.col("b_at") <= F.col("b_gap") - overlap)
     )
-    pairs = a.join(b, on).select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("hits")).select("a", "b")
+    return a.join(b, on).select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
 
 
 def likely(pairs: DataFrame, classes: DataFrame, least: int = LEAST) -> DataFrame:
@@ -303,7 +404,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, least: int = LEAST) -> DataFrame
     def block(a_ids: list, b_ids: list, a_texts: list, b_texts: list) -> dict[str, list]:
         keep = []
         for i, (x, y) in enumerate(zip(a_texts, b_texts)):
-            x, y = shingle_set(x), shingle_set(y)
+            x, y = packed_set(x), packed_set(y)
             if linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), least):
                 keep.append(i)
         return {"a": [a_ids[i] for i in keep], "b": [b_ids[i] for i in keep]}
@@ -333,12 +434,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """``doc_id, n_shingles, component_id, kept`` for every row."""
     ensure_checkpoint_dir(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = signatures(docs).checkpoint()
+    signed = signatures(docs).checkpoint()  # hashing texts is the dearest step: once
     named = signed.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    classes = named.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("regs").alias("regs")).checkpoint()
-    pairs = hub_pairs(bands(classes, least)).checkpoint()
-    wanted = pairs.select(F.col("hub").alias("doc_id")).unionByName(pairs.select(F.col("id").alias("doc_id"))).distinct()
-    texts = docs.join(wanted, "doc_id").select(F.col("doc_id").alias("id"), "text").checkpoint()
+    same = [F.first(c).alias(c) for c in ("n", "regs", "text")]
+    classes = named.groupBy("key").agg(F.min("doc_id").alias("id"), *same).checkpoint()
+    pairs, texts = hub_pairs(bands(classes, least)).checkpoint(), classes.select("id", "text")
     compared = compare_with_hub(pairs, texts, least).checkpoint()
     more = confirm(likely(prefix_pairs(compared, least), classes, least), texts, least)
     same_id = named.select("doc_id", "key").join(classes.select("key", "id"), "key").filter("doc_id <> id")

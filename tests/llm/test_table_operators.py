@@ -25,7 +25,7 @@ def plain_set(text):
 
 
 def plain_components(rows):
-    """id -> smallest id reachable, over all pairs."""
+    """id -> smallest id reachable, over all pairs, at the contract's threshold."""
     sets = [(i, plain_set(t)) for i, t in rows if i is not None]
     low = {i: i for i, _ in sets}
 
@@ -114,6 +114,29 @@ def test_near_duplicates_at_a_threshold_equal_brute_force(spark, least):
     assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(table, least=least).collect()} == expected
 
 
+def near_group(members, seed=9):
+    """Near copies of one text, most of them linked with few others."""
+    rng = random.Random(seed)
+    base = [f"b{rng.randrange(10**6)}" for _ in range(200)]
+    return [(i + 1, " ".join(varied(rng, base, rng.randint(1, 7)))) for i in range(members)]
+
+
+@pytest.mark.parametrize("members", [200, 400, 800])
+def test_pairs_of_a_large_group_stay_near_its_links(spark, members):
+    ensure_checkpoint_dir(spark)
+    rows = near_group(members)
+    signed = near_dedup.signatures(spark.createDataFrame(rows, "doc_id long, text string"))
+    texts = signed.select(F.col("doc_id").alias("id"), "text").checkpoint()
+    pairs = spark.createDataFrame([(1, i) for i, _ in rows[1:]], "hub long, id long")
+    compared = near_dedup.compare_with_hub(pairs, texts, 80).checkpoint()
+    emitted = {tuple(r) for r in near_dedup.prefix_pairs(compared, 80).collect()}
+    hub_links = {r["id"] for r in compared.filter("linked").collect()}
+    sets = {i: plain_set(t) for i, t in rows[1:]}
+    links = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert {(a, b) for a, b in links if not (a in hub_links and b in hub_links)} <= emitted
+    assert len(emitted) <= 8 * len(links) + 4 * members
+
+
 def test_bands_follow_the_threshold():
     assert near_dedup.band_shape(85) == (7, 36) and near_dedup.band_shape(80) == (5, 51)
 
@@ -272,7 +295,7 @@ def pipeline_rows():
     rows += [(200, "123 456 !", None, "s", 9), (201, None, "en", "s", None), (202, "", None, None, 0)]
     rows += [(300 + i, rows[i][1] + " end", rows[i][2], "s", 1) for i in range(10)] + [rows[4], rows[4]]
     rows += [(400, rows[20][1] + " a secret benchmark passage of the highest order " + rows[21][1], "de", "s", 1)]
-    rows += [(500, "the house and the river, mail ann@mail.example.com or +1 (555) 010-2233 " + rows[31][1], "en", "s", 1), (None, "the house with the river and the thing", "en", "s", 1)]
+    rows += [(500, "the house and the river, mail ann@mail.example.com or +1 (555) 010-2233 " + " ".join(rng.choices(words["en"], k=60)), "en", "s", 1), (None, "the house with the river and the thing", "en", "s", 1)]
     return rows
 
 
@@ -290,7 +313,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     plain = [(i, t) for i, t, *_ in rows]
     after = [r for r in plain if re.search(r"[^\W\d_]", r[1] or "")]
     assert kept["language"] == sorted(after, key=repr)
-    low = plain_components(after)
+    low = plain_components_at([r for r in after if r[0] is not None], corpus_pipeline.NEAR)
     after = [*{r[0]: r for r in after if r[0] is not None and low[r[0]] == r[0]}.values(), *(r for r in after if r[0] is None)]
     assert kept["near_dedup"] == sorted(after, key=repr)
     after = [r for r in after if "secret benchmark passage" not in r[1]]
