@@ -4,9 +4,10 @@ The vocabulary files meant here normalise (NFC, white space, lower case), split
 other signs and English endings, and then merge inside each such word. So the ids of what stands between white space never depend
 on what stands around it, and those met before come from a bounded cache; the new ones of a block are encoded in one batch.
 
-New pieces of signs that are classed and lower-cased alike by every Unicode version in use (those that Unicode 3.2 had, except the
-capital sigma, whose lower case depends on its place, and four separators) are split into words here, and their words are looked up
-too; other pieces go to the library as they are. Strings of special tokens in a text are ordinary text.
+Texts of signs that are classed and lower-cased alike by every Unicode version in use (those that Unicode 3.2 had, except the
+capital sigma, whose lower case depends on its place, and four separators) are normalised here as a whole, and their new pieces are
+split into words here; of other texts the pieces with other signs go to the library as they are. Strings of special tokens in a
+text are ordinary text.
 
 Defined results: null texts count as empty and have no ids. Very long texts are encoded in parts that end before white space.
 """
@@ -22,11 +23,11 @@ import numpy as np
 
 _PART = 1 << 18
 _BLOCK = 1 << 20
-_CACHED = 600_000
+_CACHED = 800_000
 _LONGEST_CACHED = 48
 _BREAK = re.compile(r"[ \t\n\r\f\v]")
 _GAPS = re.compile(r"[ \t\n\r\f\v]+")
-_SEPARATORS = "\x1c\x1d\x1e\x1f"  # white space to Python, not to the library
+_STOPS = re.compile(r"(?<=[a-z])[.,](?=\s)")
 
 
 def _char_class(kept) -> str:
@@ -75,8 +76,7 @@ class WordTokenizer:
         self._ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self._ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.dtype = np.dtype("<u2" if self._library.get_vocab_size() <= 1 << 16 else "<u4")
-        self._piece_ids: dict[str, bytes] = {}
-        self._word_ids: dict[str, bytes] = {}
+        self._known: dict[str, bytes] = {}
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         found = self._library.encode_batch_fast(texts, add_special_tokens=False)
@@ -98,25 +98,35 @@ class WordTokenizer:
                 at = end
         return out
 
+    def _pieces(self, part: str) -> list[str]:
+        """What stands between white space, normalised where that is settled; a full stop or comma after a word stands alone."""
+        if self._settled.fullmatch(part):
+            return _STOPS.sub(r" \g<0>", unicodedata.normalize("NFC", part).lower()).split()
+        pieces = (p for p in _GAPS.split(part) if p)
+        return [unicodedata.normalize("NFC", p).lower() if self._settled.fullmatch(p) else p for p in pieces]
+
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
         """The ids of pieces not known; short ones are kept."""
+        single = [p for p in pieces if p.isalpha() and self._settled.fullmatch(p)]
+        fresh = dict(zip(single, self._encoded_words(single)))
         words, whole = {}, []
         for piece in pieces:
+            if piece in fresh:
+                continue
             if self._settled.fullmatch(piece):
-                words[piece] = self._words.findall(unicodedata.normalize("NFC", piece).lower())
+                words[piece] = self._words.findall(piece)
             else:
                 whole.append(piece)
-        known = self._word_ids
-        new = [w for w in {w for ws in words.values() for w in ws} if w not in known]
-        fresh = dict(zip(new, self._encoded_words(new)))
-        known.update((w, ids) for w, ids in fresh.items() if len(w) <= _LONGEST_CACHED)
-        found = {p: b"".join([known[w] if w in known else fresh[w] for w in ws]) for p, ws in words.items()}
-        found.update(zip(whole, self._encoded(whole)))
-        self._piece_ids.update((p, ids) for p, ids in found.items() if len(p) <= _LONGEST_CACHED)
-        return found
+        known = self._known
+        new = [w for w in {w for ws in words.values() for w in ws} if w not in known and w not in fresh]
+        fresh.update(zip(new, self._encoded_words(new)))
+        fresh.update({p: b"".join([known[w] if w in known else fresh[w] for w in ws]) for p, ws in words.items()})
+        fresh.update(zip(whole, self._encoded(whole)))
+        known.update((p, ids) for p, ids in fresh.items() if len(p) <= _LONGEST_CACHED)
+        return fresh
 
     def _joined(self, lists: list[list[str]]) -> list[bytes]:
-        known = self._piece_ids
+        known = self._known
         new = [p for p in set().union(*lists) if p not in known]
         fresh = self._learn(new)
         if not any(len(p) > _LONGEST_CACHED for p in new):
@@ -124,9 +134,8 @@ class WordTokenizer:
         return [b"".join([known[p] if p in known else fresh[p] for p in pieces]) for pieces in lists]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        for kept in (self._piece_ids, self._word_ids):
-            if len(kept) > _CACHED:
-                kept.clear()
+        if len(self._known) > _CACHED:
+            self._known.clear()
         out, lists = [[] for _ in texts], []
         owners: list[int] = []
         waiting = 0
@@ -138,7 +147,7 @@ class WordTokenizer:
 
         for i, text in enumerate(texts):
             for part in parts(text or ""):
-                lists.append(_GAPS.split(part) if any(c in part for c in _SEPARATORS) else part.split())
+                lists.append(self._pieces(part))
                 owners.append(i)
                 waiting += len(part)
                 if waiting > _BLOCK:
