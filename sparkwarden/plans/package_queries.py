@@ -161,9 +161,10 @@ SEED_VALUES = ", ".join(f"('{n}')" for n in KNOWN_PACKAGES["npm"])
     "suggest_from_seed",
     f"""WITH {REFS}, s(candidate) AS (VALUES {SEED_VALUES}), p AS (
       SELECT package_name AS q, candidate, lower(candidate) AS c, list_last(list_filter(string_split_regex(lower(candidate), '[/:]'), lambda x: x <> '')) AS cl FROM refs, s),
-    d AS (SELECT *, levenshtein(q, c) AS fd, levenshtein(q, cl) AS ld, least(levenshtein(q, c), levenshtein(q, cl)) AS distance,
+    b AS (SELECT *, regexp_replace(q, '[^\x00-\x7F]', '~', 'g') AS qb FROM p),  -- levenshtein counts bytes here; no candidate holds a tilde
+    d AS (SELECT *, levenshtein(qb, c) AS fd, least(levenshtein(qb, c), levenshtein(qb, cl)) AS distance,
       greatest(length(q), length(cl)) AS ml, greatest(length(q), length(c)) AS mf,
-      contains(c, q) OR contains(q, c) OR contains(cl, q) OR contains(q, cl) AS inside FROM p WHERE q <> c),
+      contains(c, q) OR contains(q, c) OR contains(cl, q) OR contains(q, cl) AS inside FROM b WHERE q <> c),
     t AS (SELECT *, CAST(distance AS DOUBLE) / ml + CAST(fd AS DOUBLE) / mf + CASE WHEN inside THEN CAST(-0.35 AS DOUBLE) ELSE 0 END
       + CASE WHEN starts_with(c, left(q, 3)) OR starts_with(cl, left(q, 3)) THEN CAST(-0.15 AS DOUBLE) ELSE 0 END AS score
       FROM d WHERE distance <= greatest(2, floor(ml * 0.35)) OR fd <= greatest(3, floor(mf * 0.28)) OR inside)
@@ -187,13 +188,12 @@ def suggest(spark, sf):
 
 @query(
     "import_index",
-    f"""WITH {IDX}, {REFS} SELECT * FROM (SELECT 'pypi' AS registry, package_name FROM idx UNION SELECT registry, package_name FROM refs
-      WHERE package_name >= 'm' UNION SELECT registry, package_name FROM idx WHERE FALSE)""",
+    f"""WITH {IDX}, {REFS} SELECT * FROM (SELECT 'pypi' AS registry, package_name FROM idx UNION SELECT registry, package_name FROM refs)""",
 )
 def _(spark, sf):
     idx = word_index(spark, sf)
     both = idx.unionByName(idx.withColumn("registry", F.lit("pypi")))
-    names = word_references(spark, sf).filter("package_name >= 'm'").withColumn("package_name", F.translate("package_name", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+    names = word_references(spark, sf).withColumn("package_name", F.translate("package_name", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
     return ix.import_index(both, names, "full")
 
 

@@ -148,25 +148,38 @@ def _(spark, sf):
     return en.detect_framework(template_corpus(spark, sf, ROUTES)).select("file", "framework")
 
 
+# What a reviewer says about a file of each template: evidence to be found in the text, and a line to be quoted.
+REVIEWS = [("db.query", 6), ("request.form", 5), ("JsonResponse", 9), ("repository.find", 6), ("here", 1)]
+_BODIES = expected_sql([(i, f, body, *REVIEWS[i]) for i, (f, body, _, _) in enumerate(ROUTES)], "fname, body, evidence, quoted")
+
+
 @query(
     "normalize_review_responses",
-    f"""WITH {fx.E_SQL}, t AS (SELECT 'e' || event_id || '/a' || lpad(CAST(k AS VARCHAR), 2, '0') || '.ts' AS file, * FROM e WHERE event_id % {len(ROUTES)} = 0)
-    SELECT file, 4 AS line, 3 AS "column", 'high' AS severity, 'm' || user_id AS message, 'db.query' AS evidence, 'l3_llm_sql_inj' AS detection_rule, 'safe()' AS new_text FROM t
-    UNION ALL SELECT file, 6, 1, 'medium', 'n', 'router.get("/user/' || lpad(CAST(k AS VARCHAR), 2, '0') || '", async (req,res) => {{', 'l3_x', NULL FROM t""",
+    f"""WITH {_BODIES}, t AS (SELECT 'e' || event_id || '/' || {fill_sql('fname')} AS file, {fill_sql('body')} AS text, evidence, quoted, user_id
+      FROM e JOIN x ON event_id % {len(ROUTES)} = template),
+    said AS (SELECT file, text, 'high' AS severity, 'm' || user_id AS message, evidence, 'l3_llm_sql_inj' AS detection_rule, 'safe()' AS new_text FROM t
+      UNION ALL SELECT file, text, 'medium', 'n', trim(string_split(text, chr(10))[quoted]), 'l3_x', NULL FROM t),
+    found AS (SELECT *, instr(text, evidence) AS place FROM said),
+    cut AS (SELECT *, left(text, place - 1) AS head FROM found)
+    SELECT file, CAST(length(head) - length(replace(head, chr(10), '')) + 1 AS INT) AS line, CAST(length(list_last(string_split(head, chr(10)))) + 1 AS INT) AS "column",
+      severity, message, evidence, detection_rule, new_text FROM cut""",
 )
 def _(spark, sf):
     corpus = template_corpus(spark, sf, ROUTES)
-    events = fx.events(spark, sf).filter(F.col("event_id") % len(ROUTES) == 0)
-    first = F.concat(F.lit('{"message":"m'), F.col("user_id").cast("string"), F.lit('","evidence":"db.query","line":3,"severity":"high","ruleId":"SQL Inj!","replacement":"safe()"}'))
-    items = F.concat(F.lit('{"findings":['), first, F.lit(',{"message":"n","line":6,"severity":"urgent","rule_id":"L3_X"},{"evidence":"x"}]}'))
-    body = F.when(F.col("k") % 3 == 0, items).when(F.col("k") % 3 == 1, F.concat(F.lit("Sure:\n```json\n"), items, F.lit("\n```"))).otherwise(F.concat(F.lit("Here: "), items, F.lit(" done")))
-    answers = events.select(
-        F.col("event_id").cast("string").alias("response_id"), body.alias("body"),
-        filled(F.concat(F.lit("e"), F.col("event_id").cast("string"), F.lit("/a{k}.ts")), F.col("user_id"), F.col("k")).alias("file"),
+    events = fx.events(spark, sf)
+    of_template = lambda values: F.get(F.array(*[F.lit(v) for v in values]), (F.col("event_id") % len(ROUTES)).cast("int"))
+    first = F.concat(
+        F.lit('{"message":"m'), F.col("user_id").cast("string"), F.lit('","evidence":"'), of_template([e for e, _ in REVIEWS]),
+        F.lit('","line":3,"severity":"high","ruleId":"SQL Inj!","replacement":"safe()"}'),
     )
+    second = F.concat(F.lit(',{"message":"n","line":'), of_template([n for _, n in REVIEWS]).cast("string"), F.lit(',"severity":"urgent","rule_id":"L3_X"},{"evidence":"x"}]}'))
+    items = F.concat(F.lit('{"findings":['), first, second)
+    body = F.when(F.col("k") % 3 == 0, items).when(F.col("k") % 3 == 1, F.concat(F.lit("Sure:\n```json\n"), items, F.lit("\n```"))).otherwise(F.concat(F.lit("Here: "), items, F.lit(" done")))
+    file = F.concat(F.lit("e"), F.col("event_id").cast("string"), F.lit("/"), of_template([f for f, *_ in ROUTES]))
+    answers = events.select(F.col("event_id").cast("string").alias("response_id"), body.alias("body"), filled(file, F.col("user_id"), F.col("k")).alias("file"))
     found = rv.normalize_review_responses(answers, corpus, NOW)
     new = F.col("fix.edits")[0]["newText"]
-    return found.select("file", "line", F.when(F.col("detection_rule") == "l3_x", 1).otherwise(F.col("column")).alias("column"), "severity", "message", "evidence", "detection_rule", new.alias("new_text"))
+    return found.select("file", "line", "column", "severity", "message", "evidence", "detection_rule", new.alias("new_text"))
 
 
 TAINT = """b AS (SELECT 'f' || user_id AS file, CAST(event_id AS VARCHAR) AS id, event_type || (k % 3) AS name, event_id AS start,

@@ -151,47 +151,54 @@ def _(spark, sf):
     return re_.prune_counts(fx.history(spark, sf), audit(spark, sf), buckets, CUT)
 
 
-BUDGET = 200_000
-SIZES_SQL = f"""sizes AS (
-  SELECT 0 AS tier, completed_at AS "at", scan_id AS id, length(scan_id) * 40 + finding_count * 100 AS bytes FROM p
-  UNION ALL SELECT 1, occurred_at, event_id, length(details) * 10 FROM a
-  UNION ALL SELECT 2, last_received_at, concat_ws('|', day, rule_fingerprint, source, scope, finding_type, detection_layer, severity), event_count * 7 FROM buckets)"""
+def _json_length(columns: dict[str, str]) -> str:
+    """The length of a record as JSON, without its null members."""
+    members = ", ".join(f"""CASE WHEN {c} IS NOT NULL THEN '"{n}":' || {v} END""" for n, (c, v) in columns.items())
+    return f"length(array_to_string(list_filter([{members}], lambda m: m IS NOT NULL), ',')) + 2"
 
 
-@query(
-    "prune_to_budget",
-    f"""WITH {fx.H_SQL}, {FEEDBACK_SQL}, {AUDIT_CTE}, {PER_SCAN}, {SIZES_SQL},
-    t AS (SELECT *, id = 'p1_2024-01-02' AS protected, sum(bytes) OVER (
-      ORDER BY CASE WHEN id = 'p1_2024-01-02' THEN 0 ELSE 1 END, tier DESC, "at" DESC, id DESC) AS running FROM sizes)
-    SELECT tier, "at", id, bytes, CAST(running AS BIGINT) AS running_bytes, protected FROM t WHERE running <= {BUDGET} OR protected""",
+def _members(names: str, plain: str = "") -> dict[str, tuple[str, str]]:
+    """Members as JSON texts; ``plain`` ones are numbers and booleans."""
+    quoted = {n: (f'"{n}"', f'CAST(to_json("{n}") AS VARCHAR)') for n in names.split()}
+    return quoted | {n: (f'"{n}"', f'CAST("{n}" AS VARCHAR)') for n in plain.split()}
+
+
+_RUN = _members("scan_id project", "started_at completed_at file_count") | {"cwd": ("true", """'"/work"'"""), "target_paths": ("true", """'["src"]'""")}
+_FINDING = _members(
+    "scan_id finding_id type severity message file_path evidence suggestion detection_layer detection_rule dismissed_reason author_name author_email",
+    "line column timestamp dismissed",
 )
+_BUCKET_KEY = "day rule_fingerprint source scope finding_type detection_layer severity"
+SIZES_SQL = f"""per_run AS (SELECT scan_id, sum({_json_length(_FINDING)}) AS bytes FROM f GROUP BY scan_id),
+  sizes AS (
+  SELECT 0 AS tier, completed_at AS "at", scan_id AS id, CAST({_json_length(_RUN)} + coalesce(bytes, 0) AS BIGINT) AS bytes FROM runs LEFT JOIN per_run USING (scan_id)
+  UNION ALL SELECT 1, occurred_at, event_id, {_json_length(_members("event_id action outcome details", "occurred_at"))} FROM a
+  UNION ALL SELECT 2, last_received_at, concat_ws('|', {', '.join(_BUCKET_KEY.split())}),
+    {_json_length(_members(_BUCKET_KEY, "event_count first_received_at last_received_at"))} FROM buckets)"""
+
+
+def record_sizes(spark, sf):
+    """Runs with their findings, audit events and feedback buckets, each with its length as JSON."""
+    return re_.history_sizes(fx.history(spark, sf), audit(spark, sf).drop("user_id"), re_.feedback_buckets(feedback(spark, sf)))
+
+
+@query("history_sizes", f"WITH {fx.H_SQL}, {FEEDBACK_SQL}, {AUDIT_CTE}, {SIZES_SQL} SELECT * FROM sizes")
 def _(spark, sf):
-    runs = hs.run_report(fx.history(spark, sf)).select(
-        F.lit(0).alias("tier"), F.col("completed_at").alias("at"), F.col("scan_id").alias("id"),
-        (F.length("scan_id") * 40 + F.col("finding_count") * 100).alias("bytes"),
-    )
-    events = audit(spark, sf).select(
-        F.lit(1).alias("tier"), F.col("occurred_at").alias("at"), F.col("event_id").alias("id"),
-        (F.length("details") * 10).cast("bigint").alias("bytes"),
-    )
-    key = ["day", "rule_fingerprint", "source", "scope", "finding_type", "detection_layer", "severity"]
-    buckets = re_.feedback_buckets(feedback(spark, sf)).select(
-        F.lit(2).alias("tier"), F.col("last_received_at").alias("at"), F.concat_ws("|", *key).alias("id"),
-        (F.col("event_count") * 7).cast("bigint").alias("bytes"),
-    )
-    return re_.prune_to_budget(runs.unionByName(events).unionByName(buckets), BUDGET, protected="p1_2024-01-02")
+    return record_sizes(spark, sf)
+
+
+BUDGET = 1_000_000
 
 
 @query(
-    "history_sizes",
-    f"""WITH {fx.H_SQL}, {FEEDBACK_SQL}, {AUDIT_CTE}
-    SELECT 0 AS tier, completed_at AS "at", scan_id AS id, true AS sized FROM runs
-    UNION ALL SELECT 1, occurred_at, event_id, true FROM a
-    UNION ALL SELECT 2, last_received_at, concat_ws('|', day, rule_fingerprint, source, scope, finding_type, detection_layer, severity), true FROM buckets""",
+    "prune_to_budget",
+    f"""WITH {fx.H_SQL}, {FEEDBACK_SQL}, {AUDIT_CTE}, {SIZES_SQL},
+    t AS (SELECT *, id = 'p1_2024-01-02' AS protected, sum(bytes) OVER (
+      ORDER BY CASE WHEN id = 'p1_2024-01-02' THEN 0 ELSE 1 END, tier DESC, "at" DESC, id DESC) AS running FROM sizes)
+    SELECT tier, "at", id, bytes, CAST(running AS BIGINT) AS running_bytes, protected FROM t WHERE running <= {BUDGET} OR protected""",
 )
 def _(spark, sf):
-    sizes = re_.history_sizes(fx.history(spark, sf), audit(spark, sf).drop("user_id"), re_.feedback_buckets(feedback(spark, sf)))
-    return sizes.select("tier", "at", "id", (F.col("bytes") > 0).alias("sized"))
+    return re_.prune_to_budget(record_sizes(spark, sf), BUDGET, protected="p1_2024-01-02")
 
 
 @query(
