@@ -19,7 +19,7 @@ rarest first: what nearly all members have against the hub, such as the hub's ow
 pairs nothing and is left out. Holders are counted in hashed slots, a table per hub that fits its members' differences; a slot never
 counts less than its elements have holders. So no link is lost to the hub, and what is emitted stays near the links there are.
 Prefix pairs are first judged by the registers (matches less the chance collisions of compressed registers, with six standard
-deviations of slack) and then confirmed on full sets. Texts travel compressed, once for every distinct set.
+deviations of slack) and then confirmed on full sets. Texts travel compressed, and only those that a hub is compared with.
 
 Components are found by spreading the smallest id over the links, with pointer jumping.
 
@@ -198,20 +198,28 @@ def packed_set(text: bytes) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """``doc_id, n, key, regs, text`` (packed) of every row of ``docs`` (doc_id, text)."""
-    fields = {"doc_id": "long", "n": "long", "key": "binary", "regs": "binary", "text": "binary"}
+    """``doc_id, n, key, regs`` of every row of ``docs`` (doc_id, text)."""
+    fields = {"doc_id": "long", "n": "long", "key": "binary", "regs": "binary"}
 
     def block(ids: list, texts: list) -> dict[str, list]:
         sets = [shingle_set(t) for t in texts]
         return {
             "doc_id": ids, "n": [len(s) for s in sets], "key": [set_key(s) for s in sets],
             "regs": [registers(s).tobytes() if len(s) else None for s in sets],
-            "text": [packed(t) if len(s) else None for s, t in zip(sets, texts)],
         }
 
     return map_blocks(docs, {"doc_id": F.col("doc_id"), "text": F.col("text")}, fields, block, _BLOCK)
 
 
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """``id, text`` with texts compressed, so that what joins carry stays small."""
+
+    def block(ids: list, texts: list) -> dict[str, list]:
+        return {"id": ids, "text": [packed(t or "") for t in texts]}
+
+    return map_blocks(docs, {"id": F.col("doc_id"), "text": F.col("text")}, {"id": "long", "text": "binary"}, block, _BLOCK)
+
+
 def bands(classes: DataFrame, least: int = LEAST) -> DataFrame:
     """``band, id``: one row per band of every class representative."""
     fields = {"band": "long", "id": "long"}
@@ -436,9 +444,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = signatures(docs).checkpoint()  # hashing texts is the dearest step: once
     named = signed.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    same = [F.first(c).alias(c) for c in ("n", "regs", "text")]
-    classes = named.groupBy("key").agg(F.min("doc_id").alias("id"), *same).checkpoint()
-    pairs, texts = hub_pairs(bands(classes, least)).checkpoint(), classes.select("id", "text")
+    classes = named.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("regs").alias("regs")).checkpoint()
+    pairs = hub_pairs(bands(classes, least)).checkpoint()
+    wanted = pairs.select(F.col("hub").alias("id")).unionByName(pairs.select("id")).distinct()
+    texts = packed_texts(docs).join(wanted, "id").checkpoint()
     compared = compare_with_hub(pairs, texts, least).checkpoint()
     more = confirm(likely(prefix_pairs(compared, least), classes, least), texts, least)
     same_id = named.select("doc_id", "key").join(classes.select("key", "id"), "key").filter("doc_id <> id")

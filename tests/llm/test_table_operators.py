@@ -125,8 +125,7 @@ def near_group(members, seed=9):
 def test_pairs_of_a_large_group_stay_near_its_links(spark, members):
     ensure_checkpoint_dir(spark)
     rows = near_group(members)
-    signed = near_dedup.signatures(spark.createDataFrame(rows, "doc_id long, text string"))
-    texts = signed.select(F.col("doc_id").alias("id"), "text").checkpoint()
+    texts = near_dedup.packed_texts(spark.createDataFrame(rows, "doc_id long, text string")).checkpoint()
     pairs = spark.createDataFrame([(1, i) for i, _ in rows[1:]], "hub long, id long")
     compared = near_dedup.compare_with_hub(pairs, texts, 80).checkpoint()
     emitted = {tuple(r) for r in near_dedup.prefix_pairs(compared, 80).collect()}
