@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..rules import Rule
 from ..rules import secrets as voc
-from .spans import rule_spans
+from .spans import rule_spans, running, spans_in_row
 
 _ASSIGNMENT_MESSAGE = 'Sensitive value "%s" is assigned a literal value.'
 _ENTROPY_MESSAGE = 'Sensitive value "%s" is assigned a high-entropy literal.'
@@ -66,9 +66,7 @@ SECRET_RULES = [
 ]
 
 
-def plausible_secret(match: Column) -> Column:
-    """Cheap test of one match inside the array, so that ordinary quoted text never becomes a row."""
-    id = F.col("rule.id")
+def _plausible(id: Column, match: Column) -> Column:
     real = lambda v: ~is_placeholder(v) & ~is_environment_reference(v)
     return (
         F.when(id == ASSIGNMENT_RULE, real(payload(match["g2"])))
@@ -78,6 +76,29 @@ def plausible_secret(match: Column) -> Column:
     )
 
 
+def plausible_secret(match: Column) -> Column:
+    """Cheap test of one match inside the array, so that ordinary quoted text never becomes a row."""
+    return _plausible(F.col("rule.id"), match)
+
+
+def _line_around(text: Column, start: Column) -> Column:
+    """The line of ``text`` in which the value of a literal that opens at ``start`` stands."""
+    at = start + 1
+    return F.concat(F.substring_index(F.left(text, at), "\n", -1), F.substring_index(F.substr(text, at + 1), "\n", 1))
+
+
+def _names_credential(line: Column) -> Column:
+    return line.rlike(tx.java_regex(voc.SECRET_CONTEXT, "i"))
+
+
+def _credible(secret: Column, line: Column, ctx: Column) -> Column:
+    """Whether a literal in its line may be a secret."""
+    hexadecimal = (F.length(secret) >= 32) & secret.rlike(r"^[0-9A-Fa-f]+\z")
+    benign = secret.rlike(voc.UUID_LITERAL) | (~ctx & (hexadecimal | line.rlike(tx.java_regex(voc.BENIGN_CONTEXT, "i"))))
+    standalone = (F.length(secret) >= 32) & (tx.character_classes(secret) >= 3) & (tx.entropy(secret) >= 4.8)
+    return is_high_entropy(secret, ctx) & ~benign & (ctx | standalone)
+
+
 def judge_secrets(spans: DataFrame) -> DataFrame:
     """Turn matches of ``SECRET_RULES`` into reported secrets; rows of other rules pass unchanged with a null ``kind``.
 
@@ -88,23 +109,15 @@ def judge_secrets(spans: DataFrame) -> DataFrame:
     provider = id.isin([r.id for r in voc.PROVIDER_RULES])
     value = F.when(assigned, F.col("g2")).when(literal, F.col("g1")).when(provider, F.col("match"))
     secret = payload(F.col("value"))
-    start = F.col("start") + 1
-    line = F.concat(
-        F.substring_index(F.left("context", start), "\n", -1), F.substring_index(F.substr("context", start + 1), "\n", 1)
-    )
+    line = _line_around(F.col("context"), F.col("start"))
     rows = (
         spans.withColumn("kind", F.when(provider, 0).when(assigned, 1).when(literal, 2))
         .withColumn("name", F.when(assigned, F.col("g1")))
         .withColumn("value", value)
         .withColumn("_line", F.when(literal, line))
-        .withColumn("_ctx", F.when(literal, F.col("_line").rlike(tx.java_regex(voc.SECRET_CONTEXT, "i"))))
-    )
-    hexadecimal = (F.length(secret) >= 32) & secret.rlike(r"^[0-9A-Fa-f]+\z")
-    benign = secret.rlike(voc.UUID_LITERAL) | (
-        ~F.col("_ctx") & (hexadecimal | F.col("_line").rlike(tx.java_regex(voc.BENIGN_CONTEXT, "i")))
+        .withColumn("_ctx", F.when(literal, _names_credential(F.col("_line"))))
     )
-    standalone = (F.length(secret) >= 32) & (tx.character_classes(secret) >= 3) & (tx.entropy(secret) >= 4.8)
-    credible = is_high_entropy(secret, F.col("_ctx")) & ~benign & (F.col("_ctx") | standalone)
+    credible = _credible(secret, F.col("_line"), F.col("_ctx"))
     rows = rows.filter(F.when(F.col("kind") == 2, credible).otherwise(True))
 
     rule = F.col("rule")
@@ -190,28 +203,71 @@ def redacted_evidence(name: Column, value: Column) -> Column:
 REDACTION_MARK = "REDACTED_SECRET"
 
 
+_VALUE = "struct<kind:int,start:int,end:int,value_start:int,value_end:int>"
+
+
+def _strongest(df: DataFrame, kind: int) -> DataFrame:
+    """``_secrets`` without values of ``kind`` that a stronger one overlaps; both sides meet in one sorted array of the row."""
+    rows = f"""array_sort(transform(_secrets, s -> named_struct(
+        'at', if(s.kind = {kind}, s.value_end - 1, s.value_start), 'asked', if(s.kind = {kind}, 1, 0), 'reach', if(s.kind < {kind}, s.value_end, -1), 's', s)))"""
+    emit = "named_struct('covered', e.asked = 1 and st > e.s.value_start, 's', e.s)"
+    out = running(
+        df.withColumn("_sorted", F.expr(rows)), "_sorted", "_judged", ("-1", "int"), "greatest(st, e.reach)", emit, f"struct<covered:boolean,s:{_VALUE}>"
+    )
+    return out.withColumn("_secrets", F.expr("transform(filter(_judged, j -> not j.covered), j -> j.s)")).drop("_sorted", "_judged")
+
+
+def secrets_in_row(corpus: DataFrame) -> DataFrame:
+    """``corpus`` with ``_blocks``, the spans of private keys, and ``_secrets``: what ``secret_spans`` reports, beside the text.
+
+    The same tests as there, on the elements of an array; the stronger detector wins by a running maximum over the sorted
+    array. One read, no exchange.
+    """
+    block = Rule("private_key_block", voc.PRIVATE_KEY_BLOCK, "", "critical", "hardcoded_secret", "", "", "L1", ("PRIVATE KEY-----",), ("-",))
+    found = spans_in_row(corpus, [*SECRET_RULES, block], groups=2)
+
+    def read(e: Column) -> Column:
+        line = F.when(e["id"] == LITERAL_RULE, _line_around(F.col("text"), e["start"]))
+        value = F.when(e["id"] == ASSIGNMENT_RULE, e["g2"]).when(e["id"] == LITERAL_RULE, e["g1"]).otherwise(e["match"])
+        kind = F.when(e["id"] == ASSIGNMENT_RULE, 1).when(e["id"] == LITERAL_RULE, 2).otherwise(0)
+        return F.struct(kind.alias("kind"), e["start"].alias("start"), e["end"].alias("end"), value.alias("value"), line.alias("line"))
+
+    def kept(e: Column) -> Column:
+        return F.when(e["kind"] == 2, _credible(payload(e["value"]), e["line"], _names_credential(e["line"]))).otherwise(True)
+
+    def placed(e: Column) -> Column:
+        inner = F.when(e["kind"] == 2, 1).otherwise(0)
+        value_end = e["end"] - F.when(e["kind"] == 0, 0).otherwise(1)
+        return F.struct(
+            e["kind"].alias("kind"), (e["start"] + inner).alias("start"), (e["end"] - inner).alias("end"),
+            (value_end - F.length(e["value"])).alias("value_start"), value_end.alias("value_end"),
+        )
+
+    is_block = lambda e: e["id"] == block.id
+    values = F.transform(F.filter("_spans", lambda e: ~is_block(e) & _plausible(e["id"], e)), read)
+    out = found.select(*corpus.columns, F.filter("_spans", is_block).alias("_blocks"), values.alias("_values"))
+    out = out.select(*corpus.columns, "_blocks", F.transform(F.filter("_values", kept), placed).alias("_secrets"))
+    return _strongest(_strongest(out, 1), 2)
+
+
 def redact_corpus(corpus: DataFrame, mark: str = REDACTION_MARK) -> DataFrame:
     """The corpus with every secret and private-key block replaced by ``mark``; line breaks stay, so lines keep numbers.
 
-    Key blocks are found in the same scan as the secrets. The corpus is read twice: for the spans, and to be joined with
-    them; texts in which nothing was found pass as they are.
+    Spans stay beside their text: one read, no exchange. ``redactions`` counts the distinct spans. The pieces between and of
+    the spans are joined once, so many secrets in one text cost no more than its length.
     """
-    block = Rule("private_key_block", voc.PRIVATE_KEY_BLOCK, "", "critical", "hardcoded_secret", "", "", "L1", ("PRIVATE KEY-----",), ("-",))
-    matches = rule_spans(corpus, [*SECRET_RULES, block], groups=2, where=plausible_secret, context_rules=[LITERAL_RULE])
-    spans = suppress_overlaps(judge_secrets(matches)).select("file", "start", "end").filter("end > start")
-    per_file = spans.groupBy("file").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_spans"))
-    all_texts = corpus.join(per_file, "file", "left")
-    # Spans come sorted; one pass keeps the text before each span, then the mark and the span's own line breaks.
-    rebuilt = F.expr(
-        f"""aggregate(_spans, named_struct('upto', 0, 'done', ''),
-              (acc, s) -> if(s.end <= acc.upto, acc, named_struct(
-                'upto', s.end,
-                'done', concat(acc.done,
-                  if(s.start < acc.upto, '', substr(text, acc.upto + 1, s.start - acc.upto)),
-                  if(s.start <= acc.upto and acc.upto > 0, '', '{mark}'),
-                  regexp_replace(substr(text, greatest(s.start, acc.upto) + 1, s.end - greatest(s.start, acc.upto)), '[^\\\\r\\\\n]+', '')))),
-              acc -> concat(acc.done, substr(text, acc.upto + 1)))"""
-    )
-    found = F.col("_spans").isNotNull()
-    redacted = all_texts.withColumn("text", F.when(found, rebuilt).otherwise(F.col("text")))
-    return redacted.withColumn("redactions", F.when(found, F.size("_spans")).otherwise(0)).drop("_spans")
+    spans = """array_sort(array_distinct(transform(filter(concat(
+        transform(_blocks, b -> named_struct('start', b.start, 'end', b.end)), transform(_secrets, s -> named_struct('start', s.start, 'end', s.end))),
+        s -> s.end > s.start), s -> s)))"""
+    found = secrets_in_row(corpus).withColumn("_all", F.expr(spans)).drop("_blocks", "_secrets")
+    # Before each span comes the text since the furthest end so far; a span that touches the last one has no mark of its own.
+    emit = """if(e.end <= st, '', concat(
+        if(e.start < st, '', substr(text, st + 1, e.start - st)),
+        if(e.start <= st and st > 0, '', '{mark}'),
+        regexp_replace(substr(text, greatest(e.start, st) + 1, e.end - greatest(e.start, st)), '[^\\\\r\\\\n]+', '')))"""
+    quoted = mark.replace("\\", "\\\\").replace("'", "\\'")
+    pieces = running(found, "_all", "_pieces", ("0", "int"), "greatest(st, e.end)", emit.replace("{mark}", quoted), "string")
+    rebuilt = F.expr("concat(array_join(_pieces, ''), substr(text, array_max(transform(_all, s -> s.end)) + 1))")
+    hit = F.size("_all") > 0
+    out = pieces.withColumn("text", F.when(hit, rebuilt).otherwise(F.col("text"))).withColumn("redactions", F.when(hit, F.size("_all")).otherwise(0))
+    return out.select(*corpus.columns, "redactions")

@@ -185,29 +185,19 @@ def rule_array(rules: Sequence[Rule]) -> Column:
     return F.from_json(F.lit(json.dumps(rows)), _RULE_TYPE)
 
 
-def rule_spans(
-    corpus: DataFrame,
-    rules: Sequence[Rule],
-    groups: int = 0,
-    where: Callable[[Column], Column] | None = None,
-    context_rules: Sequence[str] = (),
-) -> DataFrame:
-    """Matches of every rule in one pass over ``corpus(file, text, language)``.
+def applicable(corpus: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """``corpus(file, text, language, ...)`` with ``_rules``: the rules whose symbols, anchors and languages fit the row's text.
 
-    A text reaches a regular expression only if it holds one of that rule's symbols and anchor strings, so most texts
-    cost a few substring searches. No shuffle: each row is scanned where it was read. Rules that name languages apply to
-    texts of that language, extension or file name. The text itself stays on the rows of ``context_rules`` only.
+    Most texts cost a few substring searches. Rules that name languages apply to texts of that language, extension or file
+    name.
     """
     use_languages = any(r.languages for r in rules)
     symbols = sorted({s for r in rules for s in r.symbols})
     folded = sorted({s for r in rules if "i" in r.flags for s in r.symbols})
     literal = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
-    base = corpus.select(
-        "file",
-        "text",
-        F.array_compact(F.array(F.lower("language"), tx.extension(F.col("file")), F.lower(tx.basename(F.col("file"))))).alias("_kinds"),
-        F.filter(literal(symbols), lambda s: F.contains(F.col("text"), s)).alias("_symbols"),
-    ).withColumn("_lower", F.when(F.arrays_overlap("_symbols", literal(folded)), F.lower("text")))
+    kinds = F.array_compact(F.array(F.lower("language"), tx.extension(F.col("file")), F.lower(tx.basename(F.col("file")))))
+    base = corpus.select("*", kinds.alias("_kinds"), F.filter(literal(symbols), lambda s: F.contains(F.col("text"), s)).alias("_symbols"))
+    base = base.withColumn("_lower", F.when(F.arrays_overlap("_symbols", literal(folded)), F.lower("text")))
 
     def applies(rule: Column) -> Column:
         found = lambda a: F.when(rule["folded"], F.contains(F.col("_lower"), a)).otherwise(F.contains(F.col("text"), a))
@@ -218,7 +208,22 @@ def rule_spans(
             return anchored
         return ((F.size(rule["languages"]) == 0) | F.arrays_overlap(rule["languages"], F.col("_kinds"))) & anchored
 
-    candidates = base.select("file", "text", F.explode(F.filter(rule_array(rules), applies)).alias("rule"))
+    return base.select(*corpus.columns, F.filter(rule_array(rules), applies).alias("_rules"))
+
+
+def rule_spans(
+    corpus: DataFrame,
+    rules: Sequence[Rule],
+    groups: int = 0,
+    where: Callable[[Column], Column] | None = None,
+    context_rules: Sequence[str] = (),
+) -> DataFrame:
+    """Matches of every rule in one pass over ``corpus(file, text, language)``.
+
+    No shuffle: each row is scanned where it was read, and a text meets only the patterns of its ``applicable`` rules. The
+    text itself stays on the rows of ``context_rules`` only.
+    """
+    candidates = applicable(corpus.select("file", "text", "language"), rules).select("file", "text", F.explode("_rules").alias("rule"))
     keep = ["file", "rule"]
     if context_rules:
         candidates = candidates.withColumn("context", F.when(F.col("rule.id").isin(list(context_rules)), F.col("text")))
@@ -226,6 +231,60 @@ def rule_spans(
     return regex_spans(candidates, rule_patterns(rules, groups), groups=groups, keep=keep, where=where)
 
 
+def running(df: DataFrame, items: str, out: str, state: tuple[str, str], step: str, emit: str, kind: str) -> DataFrame:
+    """``df`` with ``out``, an array: for every element ``e`` of the array ``items``, in order, ``emit`` of the state ``st`` before it.
+
+    ``state`` is the first state and its type, ``step`` the state after ``e``, ``kind`` the type of an emitted element. The
+    array is walked in chunks, whose first states are found beforehand, so that long arrays stay near-linear.
+    """
+    numbers = f"slice(sequence(0, size({items}) div {_CHUNK}), 1, int((size({items}) + {_CHUNK - 1}) div {_CHUNK}))"
+    chunks = f"transform({numbers}, c -> slice({items}, int(c * {_CHUNK} + 1), {_CHUNK}))"
+    first, held = state
+    starts = (
+        f"aggregate(_chunks, named_struct('st', {first}, 'out', cast(array() as array<{held}>)), (acc, ch) -> named_struct("
+        f"'st', aggregate(ch, acc.st, (st, e) -> {step}), 'out', array_append(acc.out, acc.st)), acc -> acc.out)"
+    )
+    bind = lambda expression: f"transform(array(acc.st), st -> {expression})[0]"
+    walk = (
+        f"aggregate(ch, named_struct('st', st0, 'out', cast(array() as array<{kind}>)), (acc, e) -> named_struct("
+        f"'st', {bind(step)}, 'out', array_append(acc.out, {bind(emit)})), acc -> acc.out)"
+    )
+    walked = df.withColumn("_chunks", F.expr(chunks)).withColumn("_starts", F.expr(starts))
+    return walked.withColumn(out, F.expr(f"flatten(zip_with(_chunks, _starts, (ch, st0) -> {walk}))")).drop("_chunks", "_starts")
+
+
+def spans_in_row(corpus: DataFrame, rules: Sequence[Rule], groups: int = 0) -> DataFrame:
+    """``corpus`` with ``_spans``, the matches of all rules beside the text they stand in: ``id``, ``match``, ``start``, ``end``, ``g1..gN``.
+
+    Nothing is exploded and nothing shuffled, so a result that needs text and matches together costs one read and no join.
+    """
+    patterns = rule_patterns(rules, groups)
+    quote = lambda p: "'" + p.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    per_rule = lambda call: "CASE c.rule.ordinal " + " ".join(f"WHEN {i} THEN {call(quote(p))}" for i, p in patterns.items()) + " END"
+    extract = lambda group: per_rule(lambda p: f"regexp_extract_all(`text`, {p}, {group})")
+    pieces = (
+        f"if(contains(`text`, '{_MARK}'), {per_rule(lambda p: f'split(`text`, {p}, -1)')}, "
+        f"split({per_rule(lambda p: f'regexp_replace(`text`, {p}, {chr(39)}{_MARK}{chr(39)})')}, '{_MARK}', -1))"
+    )
+    names = [f"g{i}" for i in range(1, groups + 1)]
+    cut = applicable(corpus, rules).withColumn("_cut", F.expr("transform(_rules, r -> named_struct('rule', r))"))
+    cut = cut.withColumn("_cut", F.expr(f"filter(transform(_cut, c -> named_struct('rule', c.rule, 'm', {extract(0)})), c -> size(c.m) > 0)"))
+    captured = "".join(f", '{g}', {extract(i + 1)}" for i, g in enumerate(names))
+    cut = cut.withColumn("_cut", F.expr(f"transform(_cut, c -> named_struct('rule', c.rule, 'm', c.m, 's', {pieces}{captured}))"))
+    each = "".join(f", '{g}', c.{g}[i]" for g in names)
+    items = (
+        "flatten(transform(_cut, c -> transform(c.m, (x, i) -> named_struct('first', i = 0, 'id', c.rule.id, 'match', x, "
+        f"'gap', length(c.s[i]), 'len', length(x){each}))))"
+    )
+    cut = cut.withColumn("_items", F.expr(items))
+    copied = "".join(f", '{g}', e.{g}" for g in names)
+    begin = "if(e.first, 0, st) + e.gap"
+    emit = f"named_struct('id', e.id, 'match', e.match, 'start', {begin}, 'end', {begin} + e.len{copied})"
+    kind = "struct<id:string,match:string,start:int,end:int" + "".join(f",{g}:string" for g in names) + ">"
+    found = running(cut, "_items", "_spans", ("0", "int"), f"{begin} + e.len", emit, kind)
+    return found.drop("_rules", "_cut", "_items")
+
+
 def to_findings(
     spans: DataFrame,
     now: int | Column,
