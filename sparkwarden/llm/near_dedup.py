@@ -19,7 +19,10 @@ rarest first: what nearly all members have against the hub, such as the hub's ow
 pairs nothing and is left out. Holders are counted in hashed slots, a table per hub that fits its members' differences; a slot never
 counts less than its elements have holders. So no link is lost to the hub, and what is emitted stays near the links there are.
 Prefix pairs are first judged by the registers (matches less the chance collisions of compressed registers, with six standard
-deviations of slack) and then confirmed on full sets. Texts travel compressed, and only those that a hub is compared with.
+deviations of slack) and then confirmed on full sets. In a large group of near copies most pairs may be links, though far fewer
+hold it together: so before prefixes are joined, the members that the hub does not link are compared with one member after the
+other of those that hang together with it, a fixed number of times. A member linked there is settled. Links between two settled
+members change no component, so only the others look for partners, among all members. Texts travel compressed, and only those that a hub is compared with.
 
 Components are found by spreading the smallest id over the links, with pointer jumping.
 
@@ -48,6 +51,8 @@ MANTISSA = 10
 #: 100 * intersection >= least * union links two documents; this is the least of op2_near_duplicates.
 LEAST = 85
 MISSED = 1e-6
+#: Members that stand in for a hub, one after the other, as long as it leaves more than ``_BUSY`` members open.
+_STANDINS, _BUSY = 8, 16
 #: Slots of a hub's table of holders: a power of two near the elements of its members' differences, within these bounds.
 _SLOTS = (64, 1 << 20)
 _U = np.uint64
@@ -336,13 +341,13 @@ def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def prefixes(members: DataFrame, least: int = LEAST) -> DataFrame:
-    """``element, id, linked, n, gap, at`` of every place in a member's prefix that another member of its hub may share."""
-    fields = {"element": "long", "id": "long", "linked": "boolean", "n": "long", "gap": "long", "at": "long"}
+    """``element, id, settled, n, gap, at`` of every place in a member's prefix that another member of its hub may share."""
+    fields = {"element": "long", "id": "long", "settled": "boolean", "n": "long", "gap": "long", "at": "long"}
 
-    def block(hubs: list, ids: list, flags: list, sizes: list, gaps: list, lacks: list, slots: list, ats: list, counts: list) -> dict[str, list]:
+    def block(hubs: list, ids: list, flags: list, settled: list, sizes: list, gaps: list, lacks: list, slots: list, ats: list, counts: list) -> dict[str, list]:
         out: dict[str, list] = {name: [np.zeros(0, np.int64)] for name in fields}
         last, table = None, None
-        for hub, id_, flag, n, gap, raw, size, at, count in zip(hubs, ids, flags, sizes, gaps, lacks, slots, ats, counts):
+        for hub, id_, flag, done, n, gap, raw, size, at, count in zip(hubs, ids, flags, settled, sizes, gaps, lacks, slots, ats, counts):
             if last != hub:
                 last, table = hub, np.zeros(size, np.uint32)
                 table[np.frombuffer(at, np.uint32)] = np.frombuffer(count, np.uint32)
@@ -358,28 +363,65 @@ def prefixes(members: DataFrame, least: int = LEAST) -> DataFrame:
             shared = np.flatnonzero(held[order] > 1)
             out["element"].append(mix(elements[order[shared]] ^ mix(np.full(1, hub, np.int64).view(_U))).view(np.int64))
             out["at"].append(shared)
-            for name, value in (("id", id_), ("linked", flag), ("n", n), ("gap", gap)):
+            for name, value in (("id", id_), ("settled", done), ("n", n), ("gap", gap)):
                 out[name].append(np.full(len(shared), value))
-        return {name: np.concatenate(parts).astype(bool if name == "linked" else np.int64) for name, parts in out.items()}
+        return {name: np.concatenate(parts).astype(bool if name == "settled" else np.int64) for name, parts in out.items()}
 
-    columns = ("hub", "id", "linked", "n", "gap", "lacks", "slots", "at", "counts")
+    columns = ("hub", "id", "linked", "settled", "n", "gap", "lacks", "slots", "at", "counts")
     joined = members.join(holders(members).drop("slots"), "hub")
     return map_blocks(joined, {c: F.col(c) for c in columns}, fields, block, _BLOCK)
 
 
-def prefix_pairs(compared: DataFrame, least: int = LEAST) -> DataFrame:
-    """``a, b``: pairs whose differences from a common hub can belong to a link; at least one is not linked with the hub."""
-    hubs = compared.groupBy("hub").agg(F.count(F.lit(1)).alias("members"), F.count_if(~F.col("linked")).alias("open"), F.sum("gap").alias("elements"))
+def settle(compared: DataFrame, texts: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
+    """``hub, id`` of members that hang together, and the links that say so, the hub's own included.
+
+    Those linked with the hub are settled. Each round compares the open members of every busy hub with one settled member, drawn
+    by a hash, or with any member if none is settled; that is one comparison a member and round, whatever the size of the group. Hubs
+    whose last rounds settled few members leave.
+    """
+    state, found = compared.select("hub", "id", F.col("linked").alias("settled")).checkpoint(), []
+    for turn in range(_STANDINS):
+        drawn = F.max(F.struct("settled", F.xxhash64("id", F.lit(turn)).alias("draw"), "id"))["id"]
+        standins = state.groupBy("hub").agg(F.count_if(~F.col("settled")).alias("open"), drawn.alias("standin"))
+        standins = standins.filter(F.col("open") > _BUSY)
+        if turn > 1:  # go on where the last one settled an eighth or more
+            standins = standins.join(before, "hub").filter(8 * F.col("open") <= 7 * F.col("last")).drop("last")
+        standins = standins.checkpoint()
+        if standins.isEmpty():
+            break
+        before = standins.select("hub", F.col("open").alias("last"))
+        standins = standins.select("hub", "standin")
+        asked = state.filter(~F.col("settled")).join(standins, "hub").select("hub", "id", "standin").checkpoint()
+        others = asked.filter("id <> standin").select(F.col("standin").alias("a"), F.col("id").alias("b")).distinct()
+        links = confirm(others, texts, least).checkpoint()
+        found.append(links)
+        linked_now = asked.join(links, (F.col("standin") == F.col("a")) & (F.col("id") == F.col("b"))).select("hub", "id")
+        now = linked_now.unionByName(asked.filter("id = standin").select("hub", "id")).distinct().withColumn("now", F.lit(True))
+        state = state.join(now, ["hub", "id"], "left").select("hub", "id", (F.col("settled") | F.coalesce("now", F.lit(False))).alias("settled")).checkpoint()
+    links = compared.filter("linked").select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    for more in found:
+        links = links.unionByName(more)
+    return state.filter("settled").select("hub", "id"), links
+
+
+def prefix_pairs(compared: DataFrame, least: int = LEAST, settled: DataFrame | None = None) -> DataFrame:
+    """``a, b``: pairs whose differences from a common hub can belong to a link; at least one is not ``settled`` (by default:
+    linked with the hub)."""
+    if settled is None:
+        compared = compared.withColumn("settled", F.col("linked"))
+    else:
+        compared = compared.join(settled.withColumn("settled", F.lit(True)), ["hub", "id"], "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
+    hubs = compared.groupBy("hub").agg(F.count(F.lit(1)).alias("members"), F.count_if(~F.col("settled")).alias("open"), F.sum("gap").alias("elements"))
     slots = F.pow(F.lit(2), F.ceil(F.log2(F.col("elements") + 1))).cast("long")
     open_hubs = hubs.filter("members > 1 AND open > 0").select("hub", F.greatest(F.lit(_SLOTS[0]), F.least(F.lit(_SLOTS[1]), slots)).cast("long").alias("slots"))
     rows = prefixes(compared.join(open_hubs, "hub"), least)
-    a = rows.filter(~F.col("linked")).select("element", *(F.col(c).alias(f"a_{c}") for c in ("id", "n", "gap", "at")))
-    b = rows.select("element", F.col("linked").alias("b_linked"), *(F.col(c).alias(f"b_{c}") for c in ("id", "n", "gap", "at")))
+    a = rows.filter(~F.col("settled")).select("element", *(F.col(c).alias(f"a_{c}") for c in ("id", "n", "gap", "at")))
+    b = rows.select("element", F.col("settled").alias("b_settled"), *(F.col(c).alias(f"b_{c}") for c in ("id", "n", "gap", "at")))
     overlap = F.ceil((F.col("a_gap") + F.col("b_gap") - _spread(least) * (F.col("a_n") + F.col("b_n"))) / 2 - 1e-6)
     on = (
         (a["element"] == b["element"])
         & (F.col("a_id") != F.col("b_id"))
-        & (F.col("b_linked") | (F.col("a_id") < F.col("b_id")))
+        & (F.col("b_settled") | (F.col("a_id") < F.col("b_id")))
         & (100 * F.least("a_n", "b_n") >= least * F.greatest("a_n", "b_n"))
         & (F.col("a_at") <= F.col("a_gap") - overlap)
         & (F.col("b_at") <= F.col("b_gap") - overlap)
@@ -449,9 +491,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     wanted = pairs.select(F.col("hub").alias("id")).unionByName(pairs.select("id")).distinct()
     texts = packed_texts(docs).join(wanted, "id").checkpoint()
     compared = compare_with_hub(pairs, texts, least).checkpoint()
-    more = confirm(likely(prefix_pairs(compared, least), classes, least), texts, least)
+    settled, standing = settle(compared, texts, least)
+    more = confirm(likely(prefix_pairs(compared, least, settled), classes, least), texts, least)
     same_id = named.select("doc_id", "key").join(classes.select("key", "id"), "key").filter("doc_id <> id")
-    links = compared.filter("linked").select(F.col("hub").alias("a"), F.col("id").alias("b")).unionByName(more)
+    links = standing.unionByName(more)
     links = links.unionByName(same_id.select(F.col("doc_id").alias("a"), F.col("id").alias("b")))
     found = components(links).select(F.col("id").alias("doc_id"), "component")
     out = signed.select("doc_id", F.col("n").alias("n_shingles")).join(found, "doc_id", "left")
