@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions.text import utc_day
 from .findings import is_false_positive, rule_fingerprint
+from .ranks import numbered
 
 HIGH_RISK = ["critical", "high"]
 
@@ -179,10 +180,9 @@ def scan_delta(h: History, per_project: bool = True) -> DataFrame:
     """
     scope = ["_project"] if per_project else []
     label = F.coalesce("project", F.lit("\u0000")) if per_project else F.lit("")
-    numbered = h.runs.withColumn("_project", label).withColumn(
-        "_n", F.row_number().over(Window.partitionBy("_project").orderBy("completed_at", "scan_id"))
-    )
-    runs = numbered.select("scan_id", "_project", "_n", "completed_at", "project")
+    # One project may hold most runs, and its runs most findings: numbers come from ranges of the run table.
+    runs = numbered(h.runs.withColumn("_project", label), ["_project"], ["completed_at", "scan_id"], "_n")
+    runs = runs.select("scan_id", "_project", (F.col("_n") + 1).alias("_n"), "completed_at", "project")
     active = h.findings.filter(~F.col("dismissed")).select("scan_id", "finding_id").join(
         runs.select("scan_id", "_project", "_n"), "scan_id"
     )
@@ -202,8 +202,8 @@ def scan_delta(h: History, per_project: bool = True) -> DataFrame:
     counted = events.groupBy("_project", "_n").agg(
         *[F.count_if(F.col("what") == w).alias(f"{w}_count") for w in ("introduced", "resolved", "persistent")]
     )
-    previous = F.lag("scan_id").over(Window.partitionBy("_project").orderBy("_n"))
-    pairs = runs.withColumn("previous_scan_id", previous).filter(F.col("previous_scan_id").isNotNull())
+    previous = runs.select("_project", (F.col("_n") + 1).alias("_n"), F.col("scan_id").alias("previous_scan_id"))
+    pairs = runs.join(previous, ["_project", "_n"])
     return (
         pairs.join(counted, ["_project", "_n"], "left")
         .fillna(0, ["introduced_count", "resolved_count", "persistent_count"])

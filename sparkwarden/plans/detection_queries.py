@@ -413,3 +413,18 @@ def _(spark, sf):
     c = code_corpus(spark, sf)
     found = de.scan_config_rules(c, NOW).unionByName(de.scan_sast_patterns(c, NOW))
     return fi.plan_fixes(found)
+
+
+@query("verify_fix", f"WITH {fx.E_SQL} SELECT 'e' || event_id || '.py' AS file, event_id % 4 < 2 AS still_valid FROM e")
+def _(spark, sf):
+    """Stored fixes against today's texts: unchanged, with more below, moved by a line, and fixed meanwhile."""
+    id = F.col("event_id")
+    secret = F.concat(F.lit("import os\napiToken = 'mF9qT2vL8zP4xR7c"), F.lpad(id.cast("string"), 8, "0"), F.lit("'\n"))
+    now = F.when(id % 4 == 0, secret).when(id % 4 == 1, F.concat(secret, F.lit("y = 2\n"))).when(id % 4 == 2, F.concat(F.lit("# moved\n"), secret))
+    files = fx.events(spark, sf).select(
+        F.concat(F.lit("e"), id.cast("string"), F.lit(".py")).alias("file"), secret.alias("before"),
+        F.coalesce(now, F.lit('import os\napiToken = os.getenv("API_TOKEN", "")\n')).alias("after"), F.lit(None).cast("string").alias("language"),
+    )
+    stored = de.scan_secrets(files.withColumnRenamed("before", "text"), NOW)
+    current = de.scan_secrets(files.withColumnRenamed("after", "text"), NOW)
+    return fi.verify_fix(stored, current).select("file", "still_valid")

@@ -12,6 +12,7 @@ from ..streaming import flows
 from .detection_queries import NOW, assigned_sql
 from .history_queries import WITH_H
 from .registry import query
+from .source_queries import payloads
 from .store_queries import WITH_FB
 from .scan import ScanOptions
 
@@ -143,3 +144,26 @@ def _(spark, sf):
     corpus = source(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("file"), "text", F.col("lang").alias("language"))
     flows.scan_stream(corpus, f"{base}/out", f"{base}/ckpt", NOW, ScanOptions(packages="off")).awaitTermination()
     return flows.current_findings(spark, f"{base}/out").groupBy("file", "detection_rule").agg(F.count("*").alias("n"))
+
+
+@query(
+    "ingest_stream",
+    """SELECT event_type || '_' || user_id AS scan_id, count(*) AS findings, 1::BIGINT AS audits, CASE WHEN user_id % 2 = 0 THEN 2 ELSE 0 END::BIGINT AS refused
+    FROM events WHERE user_id % 7 = 0 GROUP BY event_type, user_id""",
+)
+def _(spark, sf):
+    """Payloads in several batches; those of even users come twice in one and once more in another."""
+    base = scratch(spark)
+    all_ = payloads(spark, sf).repartition(4, "payload_id")
+    even = all_.filter(F.substring_index("payload_id", "_", -1).cast("int") % 2 == 0)
+    even.unionByName(even.withColumn("payload_id", F.concat("payload_id", F.lit("_again")))).coalesce(1).write.parquet(f"{base}/in")
+    all_.write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(all_.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    flows.ingest_stream(stream, f"{base}/out", f"{base}/ckpt").awaitTermination()
+    history = flows.read_ingested(spark, f"{base}/out")
+    audits = spark.read.parquet(f"{base}/out/audit_event").groupBy(F.substring("event_id", 7, 1000).alias("scan_id")).agg(F.count("*").alias("audits"))
+    refused = spark.read.parquet(f"{base}/out/rejected").filter(F.array_contains("errors", "duplicate_scan"))
+    refused = refused.groupBy(F.regexp_replace("payload_id", "_again$", "").alias("scan_id")).agg(F.count("*").alias("refused"))
+    counts = history.findings.groupBy("scan_id").agg(F.count("*").alias("findings"))
+    out = history.runs.select("scan_id").join(counts, "scan_id").join(audits, "scan_id", "left").join(refused, "scan_id", "left")
+    return out.select("scan_id", "findings", "audits", F.coalesce("refused", F.lit(0)).alias("refused"))

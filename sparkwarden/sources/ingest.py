@@ -93,12 +93,40 @@ def validate_payloads(payloads: DataFrame, tag: str = SCHEMA_TAG) -> DataFrame:
     return p.withColumn("errors", errors)
 
 
+def _scan_id() -> Column:
+    return F.coalesce(F.col("p.scan")["scanId"], F.concat(F.lit("scan_"), F.col("payload_id").cast("string")))
+
+
+def claim_scans(checked: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """``scan_id, payload_id, body_digest``: of valid payloads, the one that brings each scan; ``known(scan_id)`` are taken.
+
+    Of several payloads of a scan the smallest id wins, then the smallest digest, so the choice does not depend on their order.
+    """
+    good = checked.filter(F.size("errors") == 0).select(_scan_id().alias("scan_id"), F.struct("payload_id", F.sha2("body", 256).alias("body_digest")).alias("by"))
+    first = good.groupBy("scan_id").agg(F.min("by").alias("by")).select("scan_id", "by.*")
+    return first if known is None else first.join(known.select("scan_id"), "scan_id", "left_anti")
+
+
+def claimed_payloads(checked: DataFrame, claims: DataFrame) -> DataFrame:
+    """The valid payloads that hold a claim, one row each, and the others with the error ``duplicate_scan``."""
+    marked = checked.withColumn("body_digest", F.sha2("body", 256)).join(
+        claims.select("payload_id", "body_digest", F.lit(True).alias("_claimed")), ["payload_id", "body_digest"], "left"
+    )
+    late = (F.size("errors") == 0) & F.col("_claimed").isNull()
+    marked = marked.withColumn("errors", F.when(late, F.array(F.lit("duplicate_scan"))).otherwise(F.col("errors")))
+    taken = marked.filter(F.size("errors") == 0).dropDuplicates(["payload_id", "body_digest"])
+    return taken.unionByName(marked.filter(F.size("errors") > 0)).drop("body_digest", "_claimed")
+
+
 def read_ingest(payloads: DataFrame, tag: str = SCHEMA_TAG) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(scan_run, finding_result, rejected)`` of landed payloads."""
-    checked = validate_payloads(payloads, tag)
+    return ingested(validate_payloads(payloads, tag))
+
+
+def ingested(checked: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(scan_run, finding_result, rejected)`` of validated payloads."""
     good = checked.filter(F.size("errors") == 0)
-    s = F.col("p.scan")
-    scan_id = F.coalesce(s["scanId"], F.concat(F.lit("scan_"), F.col("payload_id").cast("string")))
+    s, scan_id = F.col("p.scan"), _scan_id()
     runs = good.select(
         scan_id.alias("scan_id"), s["startedAt"].cast("bigint").alias("started_at"),
         F.coalesce(s["completedAt"], s["startedAt"]).cast("bigint").alias("completed_at"),

@@ -16,10 +16,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.findings import POSITION, unique_findings
 from ..operators.history import History
+from ..operators.ranks import numbered
 from ..operators.retention import BUCKET_KEYS, feedback_buckets
 from ..plans.scan import ScanOptions, scan_corpus
 from ..session import share_code
-from ..sources.ingest import SCHEMA_TAG, read_ingest
+from ..sources.ingest import SCHEMA_TAG, claim_scans, claimed_payloads, ingested, validate_payloads
 
 # Quiet gaps before work starts, and the feedback limit.
 DEBOUNCE = {"source_rules": "500 milliseconds", "review": "2 seconds", "packages": "600 milliseconds"}
@@ -49,10 +50,19 @@ def read_rollup(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ingest_stream(payloads: DataFrame, path: str, checkpoint: str, tag: str = SCHEMA_TAG) -> StreamingQuery:
-    """Payloads to history tables, a quarantine and one audit row per accepted scan."""
+    """Payloads to history tables, a quarantine and one audit row per accepted scan.
+
+    Each batch first claims the scans it brings, against the claims of all earlier batches, and stores the claims; only payloads
+    that hold one are written. So a payload for a known scan is refused as a whole, also inside a batch, and leaves no audit row.
+    A replayed batch sees the same earlier claims and makes the same ones again.
+    """
 
     def write(df: DataFrame, n: int) -> None:
-        runs, findings, rejected = read_ingest(df.persist(), tag)
+        spark = df.sparkSession
+        checked = validate_payloads(df, tag).persist()
+        earlier = spark.read.schema("scan_id string, batch int").parquet(f"{path}/claims").filter(F.col("batch") < n) if n else None
+        _put(claim_scans(checked, earlier), f"{path}/claims", n)
+        runs, findings, rejected = ingested(claimed_payloads(checked, spark.read.parquet(f"{path}/claims/batch={n}")))
         _put(runs, f"{path}/scan_run", n)
         _put(findings, f"{path}/finding_result", n)
         _put(rejected, f"{path}/rejected", n)
@@ -61,23 +71,17 @@ def ingest_stream(payloads: DataFrame, path: str, checkpoint: str, tag: str = SC
             F.lit("ingest").alias("authentication"), F.lit("scan_ingested").alias("action"), F.lit("success").alias("outcome"), "project",
         )
         _put(audit, f"{path}/audit_event", n)
-        df.unpersist()
+        checked.unpersist()
 
     return _batches(payloads, write, checkpoint)
 
 
 def read_ingested(spark: SparkSession, path: str) -> History:
-    """History of the stream. The first batch that brings a run counts with all its findings; a later payload for a known
-    run is refused as a whole, as under a primary key."""
-
-    def first(df: DataFrame, key: list[str]) -> DataFrame:
-        rest = [F.col(c).cast("string") for c in sorted(df.columns) if c not in (*key, "batch")]
-        rank = F.row_number().over(Window.partitionBy(*key).orderBy("batch", F.xxhash64(*rest)))
-        return df.withColumn("_rn", rank).filter("_rn = 1").drop("_rn")
-
-    runs = first(spark.read.parquet(f"{path}/scan_run"), ["scan_id"])
-    findings = spark.read.parquet(f"{path}/finding_result").join(runs.select("scan_id", "batch"), ["scan_id", "batch"], "left_semi")
-    return History(runs.drop("batch"), first(findings, ["scan_id", "finding_id"]).drop("batch"))
+    """History of the stream: every scan was claimed once. Findings that repeat an id within their scan count once."""
+    findings = spark.read.parquet(f"{path}/finding_result").drop("batch")
+    rest = [F.col(c).cast("string") for c in sorted(findings.columns) if c not in ("scan_id", "finding_id")]
+    rank = F.row_number().over(Window.partitionBy("scan_id", "finding_id").orderBy(F.xxhash64(*rest)))
+    return History(spark.read.parquet(f"{path}/scan_run").drop("batch"), findings.withColumn("_rn", rank).filter("_rn = 1").drop("_rn"))
 
 
 def debounced_changes(changes: DataFrame, gap: str = DEBOUNCE["source_rules"], document: str = "document", ts: str = "ts") -> DataFrame:
@@ -147,11 +151,8 @@ def rate_limit_stream(events: DataFrame, limit: int = MAX_PER_WINDOW, window_ms:
 
 def first_seen_alerts(h: History, severity: str = "critical") -> DataFrame:
     """Active findings of a severity that the previous run of their project did not show; they alert again after a gap."""
-    project = F.coalesce("project", F.lit("\u0000"))
-    runs = h.runs.select(
-        "scan_id", project.alias("_project"),
-        F.row_number().over(Window.partitionBy(project).orderBy("completed_at", "scan_id")).alias("_n"),
-    )
+    runs = h.runs.select("scan_id", F.coalesce("project", F.lit("\u0000")).alias("_project"), "completed_at")
+    runs = numbered(runs, ["_project"], ["completed_at", "scan_id"], "_n").select("scan_id", "_project", "_n")
     active = h.findings.filter(~F.col("dismissed") & (F.col("severity") == severity)).join(runs, "scan_id")
     before = F.lag("_n").over(Window.partitionBy("_project", "finding_id").orderBy("_n"))
     return active.withColumn("_before", before).filter(F.col("_before").isNull() | (F.col("_before") < F.col("_n") - 1)).select("scan_id", "finding_id")

@@ -1,7 +1,10 @@
 """Stateful streams give the same answer as their batch forms."""
 
+import json
+
 from pyspark.sql import functions as F
 
+from sparkwarden.sources import ingest
 from sparkwarden.streaming import flows
 
 
@@ -47,3 +50,28 @@ def test_late_scans_change_nothing(spark, tmp_path):
     late.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     got = run(spark, flows.first_seen_stream(stream()), str(tmp_path))
     assert sorted(map(tuple, got.collect())) == [("d", 5, "a"), ("d", 6, "c")]
+
+
+def payload(number, scan, findings):
+    body = {"schema": ingest.SCHEMA_TAG, "scan": {
+        "scanId": scan, "startedAt": 1, "completedAt": 2, "project": "p", "cwd": "/w", "targetPaths": ["s"], "fileCount": 1,
+        "findings": [{"id": f, "type": "xss", "severity": "high", "message": "m", "file": "a.py", "line": 1, "column": 1, "evidence": "x",
+                      "detection_layer": "L1", "detection_rule": "r", "timestamp": 1, "dismissed": False} for f in findings]}}
+    return (number, json.dumps(body))
+
+
+def test_a_known_scan_is_refused_whole(spark, tmp_path):
+    ddl = "payload_id string, body string"
+    first = [payload("p2", "s1", ["2", "3"]), payload("p1", "s1", ["1"]), payload("p1", "s1", ["1"]), payload("p3", "s2", [])]
+    second = [payload("p4", "s1", ["4"]), payload("p5", "s3", ["5", "5"]), ("p6", "{broken")]
+    src = str(tmp_path / "in")
+    for rows in (first, second):
+        spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(ddl).parquet(src)
+        flows.ingest_stream(stream, f"{tmp_path}/out", f"{tmp_path}/c").awaitTermination()
+    history = flows.read_ingested(spark, f"{tmp_path}/out")
+    assert sorted(r["scan_id"] for r in history.runs.collect()) == ["s1", "s2", "s3"]
+    assert sorted((r["scan_id"], r["finding_id"]) for r in history.findings.collect()) == [("s1", "1"), ("s3", "5")]
+    assert sorted(r["event_id"] for r in spark.read.parquet(f"{tmp_path}/out/audit_event").collect()) == ["audit_s1", "audit_s2", "audit_s3"]
+    refused = sorted((r["payload_id"], r["errors"][0]) for r in spark.read.parquet(f"{tmp_path}/out/rejected").collect())
+    assert refused == [("p2", "duplicate_scan"), ("p4", "duplicate_scan"), ("p6", "invalid_json")]
