@@ -160,6 +160,28 @@ def evaluate(postfix: list[str]) -> tuple[set[str], float]:
     return values[0]
 
 
+def complete(tokens: list[str]) -> int:
+    """Tokens of the longest prefix that is an expression. What breaks a prefix breaks every longer one, so one pass tells."""
+    open_brackets, operand_next, last = 0, True, 0
+    for place, token in enumerate(tokens, 1):
+        word = token.lower()
+        if word == "(":
+            if not operand_next:
+                break
+            open_brackets += 1
+        elif word == ")":
+            if operand_next or not open_brackets:
+                break
+            open_brackets -= 1
+        elif operand_next == (word in _OPERATORS):
+            break
+        else:
+            operand_next = word in _OPERATORS
+        if not operand_next and not open_brackets:
+            last = place
+    return last
+
+
 def parse_expression(text: str) -> tuple[str, set[str], float] | None:
     """Canonical postfix form, families and permissiveness of the longest prefix of ``text`` that is an expression."""
     tokens: list[str] = []
@@ -170,14 +192,11 @@ def parse_expression(text: str) -> tuple[str, set[str], float] | None:
         if len(tokens) >= 2 and not {tokens[-1].lower(), tokens[-2].lower()} & {*_OPERATORS, "(", ")"}:
             tokens.pop()  # prose goes on behind the expression
             break
-    while tokens:
-        try:
-            postfix = to_postfix(tokens)
-        except ValueError:
-            tokens.pop()
-            continue
-        return (" ".join(postfix), *evaluate(postfix))
-    return None
+    tokens = tokens[: complete(tokens)]
+    if not tokens:
+        return None
+    postfix = to_postfix(tokens)
+    return (" ".join(postfix), *evaluate(postfix))
 
 
 @cache

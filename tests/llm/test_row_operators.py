@@ -78,6 +78,29 @@ def test_no_license_expression(text):
     assert license_scan.parse_expression(text) is None
 
 
+def plain_prefix(tokens):
+    """The longest prefix that the parser accepts, tried from the longest on."""
+    for size in range(len(tokens), 0, -1):
+        try:
+            license_scan.to_postfix(tokens[:size])
+        except ValueError:
+            continue
+        return size
+    return 0
+
+
+def test_longest_expressions_equal_trying_all_prefixes():
+    rng = random.Random(17)
+    for _ in range(3000):
+        tokens = rng.choices(["MIT", "x", "or", "AND", "with", "(", ")"], k=rng.randint(0, 14))
+        assert license_scan.complete(tokens) == plain_prefix(tokens), tokens
+
+
+def test_long_broken_expressions_take_one_pass():
+    for text in ("MIT OR " * 100_000 + ") " * 100_000, "( " * 200_000 + "MIT", "MIT OR " * 200_000):
+        assert license_scan.parse_expression(text) is None or license_scan.parse_expression(text)[1] == {"mit"}
+
+
 def test_license_tags_add_labels():
     row = license_scan.scan_text("# SPDX-License-Identifier: (MIT OR Apache-2.0) AND ISC\ncode")
     assert row[4] == "" and row[5] == "apache,isc,mit" and row[6] == 0.999875 and row[7] == "MIT Apache-2.0 or ISC and"
