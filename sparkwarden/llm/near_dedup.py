@@ -54,7 +54,7 @@ MISSED = 1e-6
 #: Members that stand in for a hub, one after the other, as long as it leaves more than ``_BUSY`` members open.
 _STANDINS, _BUSY = 8, 16
 #: Slots of a hub's table of holders: a power of two near the elements of its members' differences, within these bounds.
-_SLOTS = (64, 1 << 20)
+_SLOTS = (64, 1 << 13)
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BLOCK = 2 << 20
@@ -285,7 +285,8 @@ def _slot(elements: np.ndarray, slots: int) -> np.ndarray:
 
 
 def holders(members: DataFrame) -> DataFrame:
-    """``hub, slots, counts``: per hub and slot, how many of ``members`` (hub, slots, lacks) hold an element that falls there.
+    """``hub, ranks``: per hub a byte a slot, for how many of ``members`` (hub, slots, lacks) hold an element that falls there: 0
+    for none, 1 for one, above that twelve times the binary logarithm, and one. The bytes go to every member, so they are few.
 
     Members of a hub stand together after the join that made them; each run of them is counted first, then the runs are added up.
     """
@@ -332,7 +333,17 @@ def holders(members: DataFrame) -> DataFrame:
         return np.frombuffer(at, np.uint32), np.frombuffer(counts, np.uint32)
 
     first = in_tasks(members.select("hub", "slots", "lacks"), counting(of_member, 1 << 21), ddl(fields))
-    return in_tasks(first.repartition("hub").sortWithinPartitions("hub"), counting(of_part, 1 << 21), ddl(fields))
+    added = in_tasks(first.repartition("hub").sortWithinPartitions("hub"), counting(of_part, 1 << 21), ddl(fields))
+
+    def block(hubs: list, sizes: list, ats: list, counts: list) -> dict[str, list]:
+        ranks = []
+        for size, at, count in zip(sizes, ats, counts):
+            table = np.zeros(size, np.uint8)
+            table[np.frombuffer(at, np.uint32)] = np.minimum(np.rint(12 * np.log2(np.frombuffer(count, np.uint32))) + 1, 255)
+            ranks.append(table.tobytes())
+        return {"hub": hubs, "ranks": ranks}
+
+    return map_blocks(added, {c: F.col(c) for c in fields}, {"hub": "long", "ranks": "binary"}, block)
 
 
 def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -344,15 +355,11 @@ def prefixes(members: DataFrame, least: int = LEAST) -> DataFrame:
     """``element, id, settled, n, gap, at`` of every place in a member's prefix that another member of its hub may share."""
     fields = {"element": "long", "id": "long", "settled": "boolean", "n": "long", "gap": "long", "at": "long"}
 
-    def block(hubs: list, ids: list, flags: list, settled: list, sizes: list, gaps: list, lacks: list, slots: list, ats: list, counts: list) -> dict[str, list]:
+    def block(hubs: list, ids: list, flags: list, settled: list, sizes: list, gaps: list, lacks: list, ranks: list) -> dict[str, list]:
         out: dict[str, list] = {name: [np.zeros(0, np.int64)] for name in fields}
-        last, table = None, None
-        for hub, id_, flag, done, n, gap, raw, size, at, count in zip(hubs, ids, flags, settled, sizes, gaps, lacks, slots, ats, counts):
-            if last != hub:
-                last, table = hub, np.zeros(size, np.uint32)
-                table[np.frombuffer(at, np.uint32)] = np.frombuffer(count, np.uint32)
+        for hub, id_, flag, done, n, gap, raw, table in zip(hubs, ids, flags, settled, sizes, gaps, lacks, ranks):
             elements = np.frombuffer(raw, _U)
-            held = table[_slot(elements, size)]
+            held = np.frombuffer(table, np.uint8)[_slot(elements, len(table))]
             # partners of a link hold at most 100/least as many shingles, so this many elements suffice for every one of them
             need = int(_spread(least) * (n + n * 100 // least + 1)) + 2
             if flag:
@@ -367,8 +374,8 @@ def prefixes(members: DataFrame, least: int = LEAST) -> DataFrame:
                 out[name].append(np.full(len(shared), value))
         return {name: np.concatenate(parts).astype(bool if name == "settled" else np.int64) for name, parts in out.items()}
 
-    columns = ("hub", "id", "linked", "settled", "n", "gap", "lacks", "slots", "at", "counts")
-    joined = members.join(holders(members).drop("slots"), "hub")
+    columns = ("hub", "id", "linked", "settled", "n", "gap", "lacks", "ranks")
+    joined = members.join(holders(members), "hub")
     return map_blocks(joined, {c: F.col(c) for c in columns}, fields, block, _BLOCK)
 
 
