@@ -52,6 +52,10 @@ def comment_lines(corpus: DataFrame) -> DataFrame:
     )
 
 
+# Fixed value: the note in front of another tool's comment.
+ANNOTATION_REASON = "Deduplicated with existing SAST annotation: "
+
+
 def dedup_existing_tools(findings: DataFrame, corpus: DataFrame) -> DataFrame:
     """Dismiss active layer-2 findings that another tool's comment on the same line or the two lines before explains.
 
@@ -80,7 +84,7 @@ def dedup_existing_tools(findings: DataFrame, corpus: DataFrame) -> DataFrame:
     )
     joined = findings.join(explained, ["file", "line", "detection_rule", "type"], "left")
     hit = F.col("_note").isNotNull() & (F.col("detection_layer") == "L2") & ~F.col("dismissed")
-    reason = F.concat(F.lit("Deduplicated with existing SAST annotation: "), F.col("_note"))
+    reason = F.concat(F.lit(ANNOTATION_REASON), F.col("_note"))
     return (
         joined.withColumn("dismissed_reason", F.when(hit, reason).otherwise(F.col("dismissed_reason")))
         .withColumn("dismissed", F.col("dismissed") | hit)
@@ -116,6 +120,7 @@ def ignore_rule(entry: Mapping, file: str = "file") -> Column:
     return F.coalesce(matches, F.lit(False))
 
 
+# Fixed value: the note of a suppression rule that names no reason.
 DEFAULT_IGNORE_REASON = "Matched ignore-rules.yml"
 
 
