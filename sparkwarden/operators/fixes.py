@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import bisect
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions.text import java_regex
-from ..session import share_code
+from ..session import ensure_checkpoint_dir
+from .intervals import points_in_intervals
 
 _EXECUTE = (
     r"^(\s*(?:(?:[A-Za-z_][A-Za-z0-9_]*\s*\.)+)?execute\s*\(\s*)f([\"'])([^\"'{}]*)\{([A-Za-z_][A-Za-z0-9_]*)\}"
@@ -52,68 +50,69 @@ def mechanical_replacement(rule: Column, evidence: Column, source: Column | None
     return chosen
 
 
-_PLAN = "file string, id string, outcome string"
+_LINE = 1 << 26  # columns that a line has room for in a position
 
 
-class _Taken:
-    """Edited places of a file: disjoint half-open ranges in order, and empty edits as points. Lookups are logarithmic."""
+def _position(line: Column, column: Column) -> Column:
+    """One number that grows along the text."""
+    return line.cast("bigint") * _LINE + F.least(column.cast("bigint"), F.lit(_LINE - 1))
 
-    def __init__(self) -> None:
-        self.starts: list[tuple] = []
-        self.ends: list[tuple] = []
-        self.points: list[tuple] = []
 
-    def free(self, start: tuple, end: tuple) -> bool:
-        last = bisect.bisect_left(self.starts, end) - 1
-        point = bisect.bisect_right(self.points, start)
-        return not (last >= 0 and self.ends[last] > start) and not (point < len(self.points) and self.points[point] < end)
+def _conflicts(candidates: DataFrame) -> DataFrame:
+    """``early, late``: rows of fixes with overlapping edits, by rank; each pair once.
 
-    def add(self, start: tuple, end: tuple) -> None:
-        if start == end:
-            bisect.insort(self.points, start)
-            return
-        low, high = bisect.bisect_right(self.ends, start), bisect.bisect_left(self.starts, end)
-        if low < high:  # edits of one fix may overlap each other
-            start, end = min(start, self.starts[low]), max(end, self.ends[high - 1])
-        self.starts[low:high], self.ends[low:high] = [start], [end]
+    Edits are half-open; two of them overlap only if one starts inside the other, so they meet in an interval join on (file,
+    block of positions) instead of file by file.
+    """
+    place = lambda line, column: F.struct(F.col(f"_e.{line}").alias("line"), F.col(f"_e.{column}").alias("column"))
+    each = candidates.select("file", "_row", "_rank", F.explode("edits").alias("_e")).select(
+        "file", "_row", "_rank", place("startLine", "startColumn").alias("_s"), place("endLine", "endColumn").alias("_t"),
+        _position(F.col("_e.startLine"), F.col("_e.startColumn")).alias("_from"), _position(F.col("_e.endLine"), F.col("_e.endColumn")).alias("_to"),
+    )
+    names = ["_row", "_rank", "_s", "_t"]
+    points = each.select("file", F.col("_from").alias("_at"), *(F.col(c).alias(f"p{c}") for c in names))
+    met = points_in_intervals(points, each.select("file", "_from", "_to", *names), ["file"], "_at", "_from", "_to")
+    met = met.filter((F.col("p_row") != F.col("_row")) & (F.col("p_s") < F.col("_t")) & (F.col("_s") < F.col("p_t")))
+    first = F.col("p_rank") < F.col("_rank")
+    early, late = F.when(first, F.col("p_row")).otherwise(F.col("_row")), F.when(first, F.col("_row")).otherwise(F.col("p_row"))
+    return met.select(early.alias("early"), late.alias("late")).distinct()
 
 
 def plan_fixes(findings: DataFrame, reviewed_layer3: bool = False) -> DataFrame:
     """Choose non-overlapping fixes per file: ``outcome`` is safe, reviewable, skipped or excluded.
 
-    By severity, then position, a fix is taken if none of its edits overlaps an edit taken before. Whether a fix is
-    taken depends on all earlier choices in the file, so each file is walked in order; files run in parallel. Layer-3
-    fixes are left out, or with ``reviewed_layer3`` come after every mechanical fix.
+    By severity, then position, a fix is taken if none of its edits overlaps an edit taken before. That is decided in rounds on the
+    graph of conflicts: a fix that ranks before all undecided fixes it conflicts with is taken, and those go. Fixes
+    without conflicts are decided at once, so rounds see only fixes in conflict, and no file meets in one task. Layer-3 fixes are
+    left out, or with ``reviewed_layer3`` come after every mechanical fix. Edits that are no range skip their fix.
     """
+    ensure_checkpoint_dir(findings.sparkSession)
     edits = F.col("fix.edits")
     ready = findings.filter(~F.col("dismissed") & (F.size(F.coalesce(edits, F.array().cast(f"array<{schema.EDIT}>"))) > 0)).select(
-        "file",
-        "id",
-        "line",
-        "column",
-        schema.severity_rank(F.col("severity")).alias("rank"),
-        (F.col("detection_layer") == "L3").alias("generated"),
-        F.transform(edits, lambda e: F.array(e["startLine"], e["startColumn"], e["endLine"], e["endColumn"])).alias("edits"),
-    )
-    candidates = ready if reviewed_layer3 else ready.filter(~F.col("generated"))
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        taken = _Taken()
-        outcomes = []
-        ordered = group.sort_values(["generated", "rank", "line", "column", "id"], kind="stable")
-        for row in ordered.itertuples(index=False):
-            spans = [((e[0], e[1]), (e[2], e[3])) for e in row.edits]
-            sound = all(s[0] >= 1 and s[1] >= 1 and s <= e for s, e in spans)
-            if sound and all(taken.free(s, e) for s, e in spans):
-                for s, e in spans:
-                    taken.add(s, e)
-                outcomes.append("reviewable" if row.generated else "safe")
-            else:
-                outcomes.append("skipped")
-        return pd.DataFrame({"file": ordered["file"], "id": ordered["id"], "outcome": outcomes})
-
-    share_code(findings.sparkSession)
-    planned = candidates.groupBy("file").applyInPandas(walk, _PLAN)
+        "file", "id", "line", "column", F.coalesce(schema.severity_rank(F.col("severity")), F.lit(len(schema.SEVERITIES))).alias("rank"),
+        (F.col("detection_layer") == "L3").alias("generated"), edits.alias("edits"),
+    )
+    rows = (ready if reviewed_layer3 else ready.filter(~F.col("generated"))).withColumn("_row", F.monotonically_increasing_id()).checkpoint()
+    after = lambda e: (e["startLine"] < e["endLine"]) | ((e["startLine"] == e["endLine"]) & (e["startColumn"] <= e["endColumn"]))
+    sound = F.coalesce(F.forall("edits", lambda e: (e["startLine"] >= 1) & (e["startColumn"] >= 1) & after(e)), F.lit(False))
+    good = rows.filter(sound).withColumn("_rank", F.struct("generated", "rank", "line", "column", "id", "_row"))
+    edges = _conflicts(good).checkpoint()
+    gone = []
+    while not edges.isEmpty():
+        open_ = edges.select(F.col("early").alias("_row")).union(edges.select(F.col("late"))).distinct()
+        taken = open_.join(edges.select(F.col("late").alias("_row")).distinct(), "_row", "left_anti")
+        dropped = edges.join(taken.withColumnRenamed("_row", "early"), "early", "left_semi").select(F.col("late").alias("_row")).distinct().checkpoint()
+        gone.append(dropped)
+        edges = edges.join(taken.withColumnRenamed("_row", "early"), "early", "left_anti")  # a taken fix is never a later one
+        for end in ("early", "late"):
+            edges = edges.join(dropped.withColumnRenamed("_row", end), end, "left_anti")
+        edges = edges.select("early", "late").checkpoint()
+    skipped = rows.filter(~sound).select("_row")
+    for dropped in gone:
+        skipped = skipped.union(dropped)
+    planned = rows.join(skipped.distinct().withColumn("_skipped", F.lit(True)), "_row", "left")
+    outcome = F.when(F.col("_skipped"), "skipped").when(F.col("generated"), "reviewable").otherwise("safe")
+    planned = planned.select("file", "id", outcome.alias("outcome"))
     if reviewed_layer3:
         return planned
     return planned.unionByName(ready.filter("generated").select("file", "id", F.lit("excluded").alias("outcome")))

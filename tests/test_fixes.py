@@ -4,7 +4,7 @@ import random
 
 from sparkwarden import schema
 from sparkwarden.operators.detect import scan_catalogue, scan_secrets
-from sparkwarden.operators.fixes import _Taken, plan_fixes, verify_fix
+from sparkwarden.operators.fixes import plan_fixes, verify_fix
 
 SEVERITIES = ["critical", "high", "medium", "low", "info"]
 
@@ -13,19 +13,6 @@ def overlap(a, b):
     return a[0] < b[1] and b[0] < a[1]
 
 
-def test_taken_ranges_equal_all_pairs():
-    rng = random.Random(5)
-    for _ in range(400):
-        taken, plain = _Taken(), []
-        for _ in range(rng.randint(1, 25)):
-            s = (rng.randint(1, 3), rng.randint(1, 12))
-            e = max(s, (s[0] + rng.randint(0, 1), rng.randint(1, 12)))
-            assert taken.free(s, e) == all(not overlap((s, e), t) for t in plain), (s, e, plain)
-            if taken.free(s, e) or rng.random() < 0.2:
-                taken.add(s, e)
-                plain.append((s, e))
-
-
 def test_plans_equal_the_plain_walk(spark):
     rng = random.Random(6)
     rows, plain = [], {}
@@ -50,6 +37,18 @@ def test_plans_equal_the_plain_walk(spark):
     assert {r["id"]: r["outcome"] for r in plan_fixes(spark.createDataFrame(rows, ddl)).collect()} == plain
 
 
+def test_plan_of_one_large_file_uses_no_python_and_few_rounds(spark):
+    """A chain of overlaps in rank order: every other fix is taken, decided from its start on."""
+    rows = [("f", f"id{i:05}", 1, i + 1, "high", "L1", False, ("d", [(1, 10 * i + 1, 1, 10 * i + 12, "x")])) for i in range(12)]
+    rows += [("f", f"x{i:05}", 2 + i, 1, "low", "L1", False, ("d", [(2 + i, 1, 2 + i, 5, "x")])) for i in range(3000)]
+    ddl = f"file string, id string, line int, column int, severity string, detection_layer string, dismissed boolean, fix {schema.FIX}"
+    out = plan_fixes(spark.createDataFrame(rows, ddl))
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r["id"]: r["outcome"] for r in out.collect()}
+    assert len(got) == len(rows)
+    assert all(got[f"id{i:05}"] == ("safe" if i % 2 == 0 else "skipped") for i in range(12)) and all(got[f"x{i:05}"] == "safe" for i in range(3000))
+
+
 def test_secret_fixes_are_made_and_verified(spark):
     ddl = "file string, text string, language string"
     before = [("a.py", "x = 1\napiToken = 'mF9qT2vL8zP4xR7cN1bY'\n", None), ("b.ts", 'const dbPassword = "hunter2hunter";', None),
