@@ -114,46 +114,6 @@ def test_near_duplicates_at_a_threshold_equal_brute_force(spark, least):
     assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(table, least=least).collect()} == expected
 
 
-def near_group(members, seed=9):
-    """Near copies of one text, most of them linked with few others."""
-    rng = random.Random(seed)
-    base = [f"b{rng.randrange(10**6)}" for _ in range(200)]
-    return [(i + 1, " ".join(varied(rng, base, rng.randint(1, 7)))) for i in range(members)]
-
-
-@pytest.mark.parametrize("members", [200, 400, 800])
-def test_pairs_of_a_large_group_stay_near_its_links(spark, members):
-    ensure_checkpoint_dir(spark)
-    rows = near_group(members)
-    texts = near_dedup.packed_texts(spark.createDataFrame(rows, "doc_id long, text string")).checkpoint()
-    pairs = spark.createDataFrame([(1, i) for i, _ in rows[1:]], "hub long, id long")
-    compared = near_dedup.compare_with_hub(pairs, texts, 80).checkpoint()
-    emitted = {tuple(r) for r in near_dedup.prefix_pairs(compared, 80).collect()}
-    hub_links = {r["id"] for r in compared.filter("linked").collect()}
-    sets = {i: plain_set(t) for i, t in rows[1:]}
-    links = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
-    assert {(a, b) for a, b in links if not (a in hub_links and b in hub_links)} <= emitted
-    assert len(emitted) <= 8 * len(links) + 4 * members
-
-
-def test_a_large_group_is_settled_by_standins(spark):
-    """Nearly all pairs are links, few of them with the hub: components stay right and few members look for partners."""
-    rng = random.Random(12)
-    base = [f"b{rng.randrange(10**6)}" for _ in range(140)]
-    rows = [(i + 1, " ".join(varied(rng, base, rng.randint(0, 3)))) for i in range(300)] + [(1000 + i, " ".join(varied(rng, base, 9))) for i in range(40)]
-    rows.append((0, " ".join(varied(rng, base, 5))))
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    ensure_checkpoint_dir(spark)
-    texts = near_dedup.packed_texts(docs).checkpoint()
-    pairs = spark.createDataFrame([(0, i) for i, _ in rows[:-1]], "hub long, id long")
-    compared = near_dedup.compare_with_hub(pairs, texts, 80).checkpoint()
-    settled, links = near_dedup.settle(compared, texts, 80)
-    assert links.count() < 10 * len(rows)
-    assert near_dedup.prefix_pairs(compared, 80, settled).count() < 0.2 * near_dedup.prefix_pairs(compared, 80).count()
-    out = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs, least=80).collect()}
-    assert out == plain_components_at(rows, 80)
-
-
 def test_bands_follow_the_threshold():
     assert near_dedup.band_shape(85) == (7, 36) and near_dedup.band_shape(80) == (5, 51)
 
