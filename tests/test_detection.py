@@ -100,3 +100,14 @@ def test_false_positive_definitions(spark):
     df = spark.createDataFrame([("falsepositive",), ("False-Positive: x",), ("false positives",), (None,)], "r string")
     rows = df.select(fo.is_false_positive(F.col("r")), fo.is_false_positive_event(F.col("r"))).collect()
     assert [tuple(r) for r in rows] == [(False, True), (True, True), (False, False), (False, False)]
+
+
+def test_rules_are_chosen_once_for_each_text(spark):
+    """A filter moved below the text would work it out anew for each symbol and rule."""
+    files = spark.range(3).select(
+        F.concat(F.lit("f"), F.col("id").cast("string")).alias("file"), F.concat(F.lit("DEBUG = True # "), F.sha2(F.col("id").cast("string"), 256)).alias("text"),
+        F.lit(None).cast("string").alias("language"),
+    )
+    found = de.scan_config_rules(files, 1)
+    assert "Filter" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.file, r.detection_rule) for r in found.collect()} == {(f"f{i}", "insecure_config_debug_true") for i in range(3)}
