@@ -66,11 +66,11 @@ def history_sizes(h: History, audit: DataFrame, feedback: DataFrame) -> DataFram
 _UNITS = (DAY_MS, 60_000)
 
 
-def prune_to_budget(sizes: DataFrame, budget: int = DEFAULT_BUDGET, protected: str | None = None) -> DataFrame:
+def prune_to_budget(sizes: DataFrame, budget: int = DEFAULT_BUDGET, protected: str | None = None, strict: bool = True) -> DataFrame:
     """Records that fit the budget when the oldest runs go first, then audit events, then feedback.
 
     Kept from the newest end of that order while the running size stays within the budget; a protected id is always kept
-    and counted first, and it is an error if it alone exceeds the budget.
+    and counted first. If it alone exceeds the budget, that is an error; without ``strict`` it is kept and all else goes.
 
     Sizes are totalled per tier and day. What lies beyond the day in which the budget ends is dropped unsorted; the days that
     remain are totalled per minute in the same way, and only minutes that begin within the budget are put in order. So
@@ -78,9 +78,11 @@ def prune_to_budget(sizes: DataFrame, budget: int = DEFAULT_BUDGET, protected: s
     """
     guarded = F.lit(False) if protected is None else (F.col("id") == protected)
     too_large = F.raise_error(F.concat(F.lit("The protected record alone exceeds the storage budget: "), F.col("id")))
-    rows = sizes.select("*", guarded.alias("protected"), F.when(guarded, 0).otherwise(1).alias("_guard")).withColumn(
-        "bytes", F.when(F.col("protected") & (F.col("bytes") > budget), too_large.cast("bigint")).otherwise(F.col("bytes"))
-    )
+    rows = sizes.select("*", guarded.alias("protected"), F.when(guarded, 0).otherwise(1).alias("_guard"))
+    if strict:
+        rows = rows.withColumn(
+            "bytes", F.when(F.col("protected") & (F.col("bytes") > budget), too_large.cast("bigint")).otherwise(F.col("bytes"))
+        )
     rows = rows.withColumn("_offset", F.lit(0).cast("bigint"))
     key = ["_guard", "tier"]
     for i, unit in enumerate(_UNITS):

@@ -91,3 +91,10 @@ def test_interval_joins_handle_wide_and_touching_ranges(spark):
     b = spark.createDataFrame(right, "file string, x bigint, y bigint")
     got = {(r.s, r.e) for r in iv.overlapping(a, b, ["file"], ("s", "e"), ("x", "y")).collect()}
     assert got == {(s, e) for _, s, e in left if any(x <= e and y >= s for _, x, y in right)}
+
+
+def test_a_protected_record_beyond_the_budget_is_kept_alone_if_asked(spark):
+    rows = [(0, 1_000, "big", 90), (0, 2_000, "new", 1), (2, 3_000, "bucket", 1)]
+    df = spark.createDataFrame(rows, "tier int, at bigint, id string, bytes bigint")
+    kept = rt.prune_to_budget(df, 50, "big", strict=False).collect()
+    assert [(r.id, r.running_bytes, r.protected) for r in kept] == [("big", 90, True)]
