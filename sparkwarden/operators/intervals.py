@@ -37,13 +37,17 @@ def _probes(point: Column) -> Column:
 def points_in_intervals(
     points: DataFrame, intervals: DataFrame, keys: Sequence[str], point: str, start: str, end: str
 ) -> DataFrame:
-    """Inner join: every pair with equal ``keys`` and ``start <= point <= end``. Each pair appears once."""
+    """Inner join: every pair with equal ``keys`` and ``start <= point <= end``. Each pair appears once.
+
+    Spark's size estimates miss the rows that exploding adds, so a side that looks small could be broadcast at many times its
+    estimate; the merge join keeps both sides off the driver.
+    """
     keys = list(keys)
     p = points.withColumn("_probe", F.explode(_probes(F.col(point))))
     i = intervals.filter(F.col(start) <= F.col(end)).withColumn(
         "_probe", F.explode(_blocks(F.col(start), F.col(end)))
     )
-    joined = p.join(i, [*keys, "_probe"])
+    joined = p.hint("merge").join(i, [*keys, "_probe"])
     return joined.filter(F.col(point).between(F.col(start), F.col(end))).drop("_probe")
 
 

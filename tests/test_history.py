@@ -98,3 +98,12 @@ def test_a_protected_record_beyond_the_budget_is_kept_alone_if_asked(spark):
     df = spark.createDataFrame(rows, "tier int, at bigint, id string, bytes bigint")
     kept = rt.prune_to_budget(df, 50, "big", strict=False).collect()
     assert [(r.id, r.running_bytes, r.protected) for r in kept] == [("big", 90, True)]
+
+
+def test_interval_joins_broadcast_nothing(spark):
+    """Estimates miss the rows that exploding adds, so a small side may be many times its estimate."""
+    points = spark.createDataFrame([("f", 3), ("f", 9)], "file string, line int")
+    ranges = spark.createDataFrame([("f", 1, 5)], "file string, start int, end int")
+    met = iv.points_in_intervals(points, ranges, ["file"], "line", "start", "end")
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+    assert [(r.line, r.start, r.end) for r in met.collect()] == [(3, 1, 5)]
