@@ -35,8 +35,9 @@ def drain(spark, stream, base):
 
 
 def source(spark, sf, name, files=1):
-    path = f"{sf}/{name}.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    """A table as a stream, be it one file or a folder of files; a path that is no pattern would have to be a folder."""
+    schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{sf}/[{name[0]}]{name[1:]}.parquet")
 
 
 @query("feedback_rollup_stream", f"{WITH_FB} SELECT * FROM buckets")

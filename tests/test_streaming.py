@@ -75,3 +75,17 @@ def test_a_known_scan_is_refused_whole(spark, tmp_path):
     assert sorted(r["event_id"] for r in spark.read.parquet(f"{tmp_path}/out/audit_event").collect()) == ["audit_s1", "audit_s2", "audit_s3"]
     refused = sorted((r["payload_id"], r["errors"][0]) for r in spark.read.parquet(f"{tmp_path}/out/rejected").collect())
     assert refused == [("p2", "duplicate_scan"), ("p4", "duplicate_scan"), ("p6", "invalid_json")]
+
+
+def test_a_table_streams_as_a_file_and_as_a_folder(spark, tmp_path):
+    import shutil
+
+    from sparkwarden.plans import stream_queries as sq
+
+    many, one = tmp_path / "many", tmp_path / "one"
+    spark.range(10).repartition(2).write.parquet(f"{many}/events.parquet")
+    spark.range(10).coalesce(1).write.parquet(f"{tmp_path}/part")
+    one.mkdir()
+    shutil.copy(next((tmp_path / "part").glob("*.parquet")), one / "events.parquet")
+    for folder in (many, one):
+        assert sq.drain(spark, sq.source(spark, str(folder), "events"), str(tmp_path / f"{folder.name}_out")).count() == 10
