@@ -89,3 +89,21 @@ def test_a_table_streams_as_a_file_and_as_a_folder(spark, tmp_path):
     shutil.copy(next((tmp_path / "part").glob("*.parquet")), one / "events.parquet")
     for folder in (many, one):
         assert sq.drain(spark, sq.source(spark, str(folder), "events"), str(tmp_path / f"{folder.name}_out")).count() == 10
+
+
+def test_ingest_reads_its_payloads_in_two_batches(spark, tmp_path, monkeypatch):
+    """However many files a batch has: its payloads are not drawn together into one."""
+    import datetime
+    import os
+
+    from sparkwarden.plans import load_queries
+    from sparkwarden.plans import stream_queries as sq
+
+    base = str(tmp_path / "stream")
+    monkeypatch.setattr(sq, "scratch", lambda spark: base)
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(i, at, 7 * (i % 4), "click", 5.0, '{"k": 3}') for i in range(40)]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.scan_id: (r.findings, r.audits, r.refused) for r in load_queries()[0]["ingest_stream"](spark, str(tmp_path)).collect()}
+    assert got == {"click_0": (10, 1, 2), "click_7": (10, 1, 0), "click_14": (10, 1, 2), "click_21": (10, 1, 0)}
+    assert sorted(x for x in os.listdir(f"{base}/out/claims") if x.startswith("batch=")) == ["batch=0", "batch=1"]
