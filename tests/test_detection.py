@@ -26,6 +26,20 @@ def test_spans_equal_the_text_they_cover(spark):
     assert (last.line, last.column, last.g1, last.g2) == (2100, 9, "e", "l")
 
 
+def test_texts_are_read_by_a_pattern_once_and_alike_with_and_without_marks(spark):
+    text, pattern = "aXb\n $1 cXd\\ X\n", r"(\w)?X(\w)?"
+    df = corpus(spark, ("plain", text), ("marked", text + "\uffff"), ("none", "abc"), ("only mark", "\uffff"), ("null", None), ("empty", ""))
+    found = sp.regex_spans(df, pattern, groups=2, keep=["file"])
+    rows = {}
+    for r in found.orderBy("file", "ordinal").collect():
+        rows.setdefault(r.file, []).append(tuple(r)[1:])
+    assert set(rows) == {"plain", "marked"} and rows["plain"] == rows["marked"]
+    assert [(r[1], r[2], r[4], r[5], r[8], r[9]) for r in rows["plain"]] == [("aXb", 0, 1, 1, "a", "b"), ("cXd", 8, 2, 5, "c", "d"), ("X", 13, 2, 10, "", "")]
+    # Further passes stand behind the test for the mark.
+    lines = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert not [line for line in lines if "regexp_extract_all" in line and not 0 <= line.find("Contains(text") < line.find("regexp_extract_all")]
+
+
 def test_secrets_are_found_and_masked(spark):
     key = "mF9qT2vL8zP4xR7cN1bY6kD3sH0aW5eJ"
     found = de.scan_secrets(
