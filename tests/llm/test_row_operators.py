@@ -203,6 +203,27 @@ def test_language_learns_and_rejects(spark):
     assert out[1000][0]["rejected"] and out[1000][0]["score"] == 0 and out[None][0]["lang_pred"] == "en"
 
 
+def test_language_centroids_and_cuts_come_from_all_training_texts(spark):
+    rows = [(str(i), f"{word} w{chr(97 + i % 26)}{chr(97 + i // 26)} zq", lang) for i in range(120) for lang, word in (("a", "some text"), ("b", "más señales"))]
+    texts = spark.createDataFrame(rows, "id string, text string, lang string")
+    model = language.fit(texts, sample_per_language=4, centroids=1)
+    for place, lang in enumerate("ab"):
+        units = language.unit_rows(np.array([language.gram_counts(t) for _, t, l in rows if l == lang]), model.idf).sum(axis=0)
+        assert np.allclose(model.rows[place], units / np.linalg.norm(units), atol=1e-4)
+    assert model.cuts[language.length_bin(language.gram_counts(rows[0][1]))] > 0.2
+    split = language.fit(texts.repartition(5), sample_per_language=4, centroids=1)
+    assert (split.rows == model.rows).all() and (split.cuts == model.cuts).all()
+
+
+def test_language_pieces_have_the_counts_of_their_own_text():
+    head = "Ab, 12 -- c-d eé\u0301f \u3000 日本 x1y (z) ! last one.. 7"
+    words, want = head.split(), []
+    for size in (1, 2, 4, 8):
+        want += [c for start in {0, len(words) // size // 2 * size} if (c := language.gram_counts(" ".join(words[start : start + size]))) is not None]
+    assert np.array_equal(list(language.piece_counts(head)), want)
+    assert not [*language.piece_counts("")] + [*language.piece_counts("1 2 3")] + [*language.piece_counts("word")]
+
+
 def test_language_rejects_what_is_far_from_every_centroid():
     counts = language.gram_counts("aaa bbb")
     model = language.Centroids(("x",), np.array([0]), language.unit_rows(counts[None], np.ones(language.SLOTS)), np.ones(language.SLOTS), 0.5)
