@@ -27,7 +27,7 @@ _CACHED = 800_000
 _LONGEST_CACHED = 48
 _BREAK = re.compile(r"[ \t\n\r\f\v]")
 _GAPS = re.compile(r"[ \t\n\r\f\v]+")
-_STOPS = re.compile(r"(?<=[a-z])[.,](?=\s)")
+_STOPS = re.compile(r"[.,](?<=[a-z].)(?=\s)")  # led by a set of signs, which is searched for much faster than what stands before them
 
 
 def _char_class(kept) -> str:
