@@ -6,8 +6,10 @@ Every name that could rank is reached by an equi-join:
 * edit distance at most t: of t+1 pieces of the candidate at least one occurs in the missing name, shifted by no more
   than the edits on either side of it. Piece, place and both lengths form the join key.
 
-The first round uses t = 2. A name whose k-th best score already beats everything that round cannot see is finished;
-only the others search again with the full plausibility limit.
+* prefix: plain names that may be plausible and begin alike meet by their first signs and lengths.
+
+Rounds widen the search: containment, prefixes and t = 1 for every name, then t = 2, then the full plausibility limit. A
+name goes into the next round only while its k-th best score does not beat everything that the rounds so far cannot have seen.
 """
 
 from __future__ import annotations
@@ -20,7 +22,10 @@ from ..session import ensure_checkpoint_dir
 
 # Fixed values of the score.
 SUBSTRING_BONUS, PREFIX_BONUS = -0.35, -0.15
-_GRAM = 4
+_GRAM = 6
+_PREFIX = 3
+# Pieces of missing names that a task may hold at once.
+_FEW = 200_000
 _PAIR = ["registry", "query", "candidate", "_q", "_ql", "_c", "_cl"]
 
 
@@ -43,17 +48,16 @@ def _prepared(df: DataFrame, name: str, key: str) -> DataFrame:
 
 def score_pairs(pairs: DataFrame) -> DataFrame:
     """Score and plausibility of prepared name pairs; implausible pairs are dropped."""
+    plain = (F.col("_q") == F.col("_ql")) & (F.col("_c") == F.col("_cl"))
+    leaf = F.when(plain, F.col("_full")).otherwise(F.levenshtein("_ql", "_cl"))
+    inside = F.contains("_c", "_q") | F.contains("_q", "_c") | F.contains("_cl", "_ql") | F.contains("_ql", "_cl")
+    # As a generated row a value is worked out once; a filter on a plain column would work it out anew at every mention.
+    once = lambda df, **columns: df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+    rows = once(pairs.filter("_q <> _c"), _full=F.levenshtein("_q", "_c"))
     rows = (
-        pairs.filter("_q <> _c")
-        .withColumn("_full", F.levenshtein("_q", "_c"))
-        .withColumn("_leaf", F.when((F.col("_q") == F.col("_ql")) & (F.col("_c") == F.col("_cl")), F.col("_full")).otherwise(F.levenshtein("_ql", "_cl")))
-        .withColumn("distance", F.least("_full", "_leaf"))
+        once(rows, distance=F.least("_full", leaf), _inside=inside)
         .withColumn("_ml", F.greatest(F.length("_ql"), F.length("_cl")))
         .withColumn("_mf", F.greatest(F.length("_q"), F.length("_c")))
-        .withColumn(
-            "_inside",
-            F.contains("_c", "_q") | F.contains("_q", "_c") | F.contains("_cl", "_ql") | F.contains("_ql", "_cl"),
-        )
     )
     plausible = (
         (F.col("distance") <= F.greatest(F.lit(2), F.floor(F.col("_ml") * 0.35)))
@@ -67,7 +71,7 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
         + F.when(F.col("_inside"), SUBSTRING_BONUS).otherwise(0.0)
         + F.when(prefixed, PREFIX_BONUS).otherwise(0.0)
     )
-    return rows.filter(plausible).withColumn("score", score).drop("_q", "_c", "_ql", "_cl", "_full", "_leaf", "_ml", "_mf", "_inside")
+    return rows.filter(plausible).withColumn("score", score).drop("_q", "_c", "_ql", "_cl", "_full", "_ml", "_mf", "_inside")
 
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:
@@ -77,95 +81,132 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.dense_rank().over(by)).filter(F.col("rank") <= k).distinct()
 
 
-def _forms(df: DataFrame, name: str, kinds: dict[str, str]) -> DataFrame:
-    """Comparable forms of a name. Leaves meet leaves; full names meet only where one side has more than its leaf, since
-    the leaf says it all otherwise. ``kinds`` names the form per case: every name, scoped names, plain names."""
-    full, last = (F.col("_q"), F.col("_ql")) if name == "query" else (F.col("_c"), F.col("_cl"))
-    scoped = full != last
-    struct = lambda kind, s: F.struct(F.lit(kind).alias("kind"), s.alias("s"))
-    forms = [struct("leaf", last)]
-    for kind, case in kinds.items():
-        forms.append(F.when({"any": F.lit(True), "scoped": scoped, "plain": ~scoped}[case], struct(kind, full)))
+# Comparable forms by kind: which names have it, and whether it is the leaf or the full name. Plain names are their own
+# leaf, so two of them meet in one form; pairs with a scoped name meet by their leaves and by their full names.
+_PLAIN = {"plain": ("plain", "plain", "full")}
+_SCOPED = {
+    "leaf-scoped-any": ("scoped", "any", "leaf"),
+    "leaf-plain-scoped": ("plain", "scoped", "leaf"),
+    "full-scoped-any": ("scoped", "any", "full"),
+    "full-plain-scoped": ("plain", "scoped", "full"),
+}
+_ALL = _PLAIN | _SCOPED
+
+
+def _forms(df: DataFrame, name: str, kinds: dict[str, tuple[str, str, str]]) -> DataFrame:
+    """Rows of ``kind, s``: the forms of a name, for missing names (``query``) or those of the index (``candidate``)."""
+    key, side = ("q", 0) if name == "query" else ("c", 1)
+    form = {"full": F.col(f"_{key}"), "leaf": F.col(f"_{key}l")}
+    case = {"any": F.lit(True), "scoped": form["full"] != form["leaf"], "plain": form["full"] == form["leaf"]}
+    forms = [F.when(case[x[side]], F.struct(F.lit(kind).alias("kind"), form[x[2]].alias("s"))) for kind, x in kinds.items()]
     return df.withColumn("_form", F.explode(F.array_compact(F.array(*forms)))).select(*df.columns, "_form.*")
 
 
-_QUERY_FORMS = {"scoped-any": "scoped", "plain-scoped": "plain"}
-_INDEX_FORMS = {"scoped-any": "any", "plain-scoped": "scoped"}
+def _both_forms(missing: DataFrame, index: DataFrame, kinds: dict[str, tuple[str, str, str]]) -> tuple[DataFrame, DataFrame]:
+    """Forms of both sides, as far as the other side has any of that kind in the registry."""
+    asked, held = _forms(missing, "query", kinds), _forms(index, "candidate", kinds)
+    met = lambda df: F.broadcast(df.select("registry", "kind").distinct())  # one row per registry and kind
+    return asked.join(met(held), ["registry", "kind"], "left_semi"), held.join(met(asked), ["registry", "kind"], "left_semi")
 
 
 def _pieces(limit: str) -> tuple[str, str]:
-    """SQL for the join keys of the candidate side and of the missing-name side under the distance limit ``limit``,
-    an expression over the longer length ``{n}``."""
+    """SQL for the join keys of the candidate side and of the missing-name side under the distance limit ``limit``, an
+    expression over the longer length ``{n}``: arrays of both lengths, piece and its place, for names of ``n`` signs."""
     t = lambda a, b: limit.format(n=f"greatest({a}, {b})")
     # The other side's length differs by at most the limit of the longer of the two.
-    span = lambda own: f"filter(sequence(greatest(1, int({own} * 0.5) - 3), {own} * 2 + 3), o -> abs({own} - o) <= {t(own, 'o')})"
-    start = lambda length, i, tt: f"int(({i} * {length}) div ({tt} + 1))"
-    candidate = f"""flatten(transform({span('length(s)')}, o -> transform(sequence(0, {t('length(s)', 'o')}), i ->
-        named_struct('q', o, 'c', length(s), 'i', i, 'piece',
-          substr(s, {start('length(s)', 'i', t('length(s)', 'o'))} + 1,
-                 {start('length(s)', '(i + 1)', t('length(s)', 'o'))} - {start('length(s)', 'i', t('length(s)', 'o'))})))))"""
-    tt = t("length(s)", "o")
-    shift_from = f"greatest(-i, length(s) - o - ({tt} - i), -{start('o', 'i', tt)})"
-    shift_to = f"least(i, length(s) - o + ({tt} - i), length(s) - {start('o', '(i + 1)', tt)})"
-    query = f"""flatten(transform({span('length(s)')}, o -> flatten(transform(sequence(0, {tt}), i ->
+    tt = t("n", "o")
+    span = f"filter(sequence(greatest(1, int(n * 0.5) - 3), n * 2 + 3), o -> abs(n - o) <= {tt})"
+    start = lambda length, i: f"int(({i} * {length}) div ({tt} + 1))"
+    candidate = f"""flatten(transform({span}, o -> transform(sequence(0, {tt}), i ->
+        named_struct('ql', o, 'cl', n, 'i', i, 'at', {start('n', 'i')} + 1, 'size', {start('n', '(i + 1)')} - {start('n', 'i')}))))"""
+    shift_from = f"greatest(-i, n - o - ({tt} - i), -{start('o', 'i')})"
+    shift_to = f"least(i, n - o + ({tt} - i), n - {start('o', '(i + 1)')})"
+    query = f"""flatten(transform({span}, o -> flatten(transform(sequence(0, {tt}), i ->
         transform(filter(sequence(-i, i), d -> d >= {shift_from} AND d <= {shift_to}), d ->
-          named_struct('q', length(s), 'c', o, 'i', i, 'piece',
-            substr(s, {start('o', 'i', tt)} + d + 1, {start('o', '(i + 1)', tt)} - {start('o', 'i', tt)})))))))"""
+          named_struct('ql', n, 'cl', o, 'i', i, 'at', {start('o', 'i')} + d + 1, 'size', {start('o', '(i + 1)')} - {start('o', 'i')}))))))"""
     return candidate, query
 
 
-NEAR = "2"
+_PIECE = ["registry", "kind", "ql", "cl", "i", "piece"]
+
+
+def _cut(forms: DataFrame, pieces: str) -> DataFrame:
+    """A row per piece. Where to cut depends on the length alone, so it is worked out once per length that occurs."""
+    places = forms.select(F.length("s").alias("n")).distinct().select("n", F.expr(pieces).alias("_places"))
+    rows = forms.withColumn("n", F.length("s")).join(F.broadcast(places), "n").select("*", F.inline("_places"))  # one row per length
+    return rows.withColumn("piece", F.expr("substr(s, at, size)")).drop("s", "n", "_places", "at", "size")
+
+
 # A superset of the plausible distances of both forms.
 PLAUSIBLE = "greatest(3, int(floor({n} * 0.35)))"
 
 
-def near_pairs(missing: DataFrame, index: DataFrame, limit: str) -> DataFrame:
-    """Pairs whose full names or leaves may lie within the edit-distance limit (a superset)."""
+def near_pairs(
+    missing: DataFrame, index: DataFrame, limit: str, kinds: dict[str, tuple[str, str, str]] = _ALL, useful: Column | None = None
+) -> DataFrame:
+    """Pairs whose full names or leaves may lie within the edit-distance limit (a superset). ``useful`` leaves out pairs by
+    the lengths of their forms, ``ql`` and ``cl``, and by what else ``missing`` holds."""
     candidate, query = _pieces(limit)
-    q = _forms(missing, "query", _QUERY_FORMS).withColumn("key", F.explode(F.array_distinct(F.expr(query)))).drop("s")
-    c = _forms(index, "candidate", _INDEX_FORMS).withColumn("key", F.explode(F.array_distinct(F.expr(candidate)))).drop("s")
-    return q.join(c, ["registry", "kind", "key"]).select(_PAIR)
+    asked, forms = _both_forms(missing, index, kinds)
+    q = _cut(asked, query) if useful is None else _cut(asked, query).filter(useful)
+    # The index has many pieces; where few are looked for, these go to it and not all of it to them.
+    q = q.checkpoint()
+    few = q.count() <= _FEW
+    return _cut(forms, candidate).join(F.broadcast(q) if few else q, _PIECE).select(_PAIR)
+
+
+def prefix_pairs(missing: DataFrame, index: DataFrame) -> DataFrame:
+    """Pairs of plain names that begin alike, with lengths that leave room for a plausible distance."""
+    asked, forms = _both_forms(missing, index, _PLAIN)
+    width = PLAUSIBLE.format(n="greatest(length(s), o)")
+    lengths = F.expr(f"filter(sequence(greatest(1, int(length(s) * 0.5) - 3), length(s) * 2 + 3), o -> abs(length(s) - o) <= {width})")
+    head = F.left("s", F.lit(_PREFIX))
+    q = asked.filter(F.length("s") >= _PREFIX).select("*", head.alias("head"), F.explode(lengths).alias("width"))
+    c = forms.select("*", head.alias("head"), F.length("s").alias("width"))
+    return q.drop("s").join(c.drop("s"), ["registry", "kind", "head", "width"]).select(_PAIR)
 
 
 def containment_pairs(missing: DataFrame, index: DataFrame) -> DataFrame:
     """Pairs of which one full name or leaf contains the other (a superset)."""
-    qf, cf = _forms(missing, "query", _QUERY_FORMS), _forms(index, "candidate", _INDEX_FORMS)
+    qf, cf = _both_forms(missing, index, _ALL)
     parts = F.expr("array_distinct(flatten(transform(sequence(1, length(s)), i -> transform(sequence(1, length(s) - i + 1), n -> substr(s, i, n)))))")
     inside_query = qf.filter("s <> ''").withColumn("part", F.explode(parts)).join(
         cf.withColumnRenamed("s", "part"), ["registry", "kind", "part"]
     )
-    grams = F.expr(
-        f"array_distinct(flatten(transform(sequence(1, least({_GRAM}, length(s))), n -> "
-        "transform(sequence(1, length(s) - n + 1), i -> substr(s, i, n)))))"
-    )
+    # The front of the shorter name, at most _GRAM long, stands in the longer one; only lengths that occur are cut out of it.
     needle = qf.filter("s <> ''").withColumn("gram", F.left("s", F.lit(_GRAM))).withColumnRenamed("s", "needle")
-    inside_candidate = (
-        needle.join(cf.filter("s <> ''").withColumn("gram", F.explode(grams)), ["registry", "kind", "gram"])
-        .filter(F.contains("s", "needle"))
-    )
+    sizes = F.broadcast(needle.select("registry", "kind", F.length("gram").alias("size")).distinct())
+    grams = F.expr("array_distinct(transform(sequence(1, length(s) - size + 1), i -> substr(s, i, size)))")
+    cut = cf.join(sizes, ["registry", "kind"]).filter(F.length("s") >= F.col("size")).withColumn("gram", F.explode(grams)).drop("size")
+    inside_candidate = needle.join(cut, ["registry", "kind", "gram"]).filter(F.contains("s", "needle"))
     return inside_query.select(_PAIR).unionByName(inside_candidate.select(_PAIR))
 
 
+def _open(queries: DataFrame, best: DataFrame, k: int, least: int, bonus: float) -> DataFrame:
+    """Missing names whose k-th best score, ``_worst``, does not beat every pair at distance ``least`` and more that was not
+    seen yet. It is null if there are fewer than k."""
+    # Both distances are at least ``least`` and at least what the lengths differ by, and there is no containment.
+    floor = 2 * least / (F.length("_q") + least) + bonus
+    worst = best.groupBy("registry", "query").agg(F.when(F.count("*") == k, F.max("score")).alias("_worst"))
+    rows = queries.join(worst, ["registry", "query"], "left").select(*queries.columns, "_worst")
+    return rows.filter(F.col("_worst").isNull() | (F.col("_worst") >= floor))
+
+
 def suggest_names(missing: DataFrame, index: DataFrame, k: int = 5) -> DataFrame:
     """The k best-scoring index names for each ``missing(registry, package_name)``; ``rank`` starts at 1."""
-    queries, names = _prepared(missing, "query", "q"), _prepared(index, "candidate", "c")
-    seen = near_pairs(queries, names, NEAR).unionByName(containment_pairs(queries, names))
     ensure_checkpoint_dir(missing.sparkSession)
-    # At most k rows per name; stored once because three branches below read it.
-    first = top_k(score_pairs(seen), k).checkpoint()
-    # Unseen pairs have both distances at least 3 and no containment, so they score no better than this.
-    floor = 6 / (F.length(index_key(F.col("query"))) + 3) + PREFIX_BONUS
-    settled = (
-        first.groupBy("registry", "query")
-        .agg(F.count("*").alias("_n"), F.max("score").alias("_worst"))
-        .filter((F.col("_n") == k) & (F.col("_worst") < floor))
-        .select("registry", "query")
-    )
-    open_ = queries.join(settled, ["registry", "query"], "left_anti")
-    wide = near_pairs(open_, names, PLAUSIBLE).unionByName(containment_pairs(open_, names))
-    second = top_k(score_pairs(wide), k)
-    done = first.join(settled, ["registry", "query"], "left_semi")
-    return done.unionByName(second).withColumnRenamed("query", "package_name")
+    # Every round and branch reads both; what they come from is worked out once.
+    queries, names = _prepared(missing, "query", "q").checkpoint(), _prepared(index, "candidate", "c").checkpoint()
+    seen = containment_pairs(queries, names).unionByName(prefix_pairs(queries, names)).unionByName(near_pairs(queries, names, "1"))
+    best = top_k(score_pairs(seen), k).checkpoint()
+    for least, limit in ((2, "2"), (3, PLAUSIBLE)):
+        # All plain pairs that begin alike were seen, so only pairs with a scoped name may still earn that bonus.
+        plain, scoped = _open(queries, best, k, least, 0.0).checkpoint(), _open(queries, best, k, least, PREFIX_BONUS).checkpoint()
+        lowest = 2 * F.greatest(F.lit(least), F.abs(F.col("ql") - F.col("cl"))) / F.greatest("ql", "cl")
+        wide = near_pairs(plain, names, limit, _PLAIN, F.col("_worst").isNull() | (lowest <= F.col("_worst")))
+        wide = wide.unionByName(near_pairs(scoped, names, limit, _SCOPED))
+        best = top_k(best.drop("rank").unionByName(score_pairs(wide)), k).checkpoint()
+    return best.withColumnRenamed("query", "package_name")
 
 
 def suggest_from(missing: DataFrame, catalogue: DataFrame, k: int = 3) -> DataFrame:
