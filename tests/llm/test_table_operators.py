@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sparkwarden.llm import bpe, decontam, near_dedup, pii, queries, topk, url_rules
+from sparkwarden.llm.blocks import maybe_among
 from sparkwarden.session import ensure_checkpoint_dir
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -114,6 +115,78 @@ def test_near_duplicates_at_a_threshold_equal_brute_force(spark, least):
     assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(table, least=least).collect()} == expected
 
 
+def counted(monkeypatch, name):
+    """Rows that every call of a step of near_dedup gives from now on."""
+    step, seen = getattr(near_dedup, name), []
+
+    def run(*args, **kwargs):
+        out = step(*args, **kwargs)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, name, run)
+    return seen
+
+
+def test_pairs_to_confirm_stay_below_the_members_of_a_group(spark, monkeypatch):
+    """Half of a group are near copies of one text, half are just too far from all; their pairs are not tried one by one."""
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(150)]
+    texts = []
+    for i in range(160):
+        words = list(base)
+        for at in rng.sample(range(150), rng.randint(1, 2) if i % 2 else rng.randint(4, 9)):
+            words[at] = f"w{rng.randrange(400)}"
+        texts.append(" ".join(words))
+    rows = list(enumerate(texts))
+    expected = plain_components_at(rows, 80)
+    assert 20 < len(set(expected.values())) < 120
+    seen = counted(monkeypatch, "prefix_pairs")
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), least=80).collect()
+    assert {r["doc_id"]: r["component_id"] for r in out} == expected
+    assert seen[0] < len(rows)
+
+
+def test_texts_that_share_a_passage_are_not_compared(spark, monkeypatch):
+    rng = random.Random(9)
+    passage = [f"p{i}" for i in range(100)]
+    texts = [" ".join([*passage, *(f"w{rng.randrange(10**6)}" for _ in range(200))]) for _ in range(60)]
+    texts += [texts[0] + " more", texts[1] + " and more"]
+    rows = list(enumerate(texts))
+    seen = counted(monkeypatch, "hub_pairs")
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), least=80).collect()
+    assert {r["doc_id"]: r["component_id"] for r in out} == plain_components_at(rows, 80)
+    assert 2 <= seen[0] <= 30
+
+
+@pytest.mark.parametrize("least", [80, 85])
+def test_linked_sets_share_the_bands_asked_of_them(least):
+    rng = np.random.default_rng(6)
+    for n in (7, 16, 20, 33, 64, 100, 250, 600, 2000):
+        for _ in range(150):
+            either = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+            common = -(-least * n // 100)
+            cut = int(rng.integers(common, n + 1))
+            a, b = np.sort(either[:cut]), np.sort(np.concatenate([either[:common], either[cut:]]))
+            keys = near_dedup.band_keys(np.stack([near_dedup.registers(a), near_dedup.registers(b)]), least)
+            assert (keys[0] == keys[1]).sum() >= max(near_dedup.fewest_shared(least, len(a)), near_dedup.fewest_shared(least, len(b)))
+
+
+def test_fewest_shared_as_a_column(spark):
+    sizes = [1, 15, 16, 63, 64, 65, 149, 150, 300, 1000, 4095, 4096, 10**6]
+    for least in (80, 85):
+        found = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", near_dedup.fewest_of(F.col("n"), least)).collect()
+        assert dict(found) == {n: near_dedup.fewest_shared(least, n) for n in sizes}
+
+
+def test_maybe_among_keeps_all_and_few_others(spark):
+    ids = spark.createDataFrame([(i * 7 - 300,) for i in range(1000)] + [(None,)], "id long")
+    test = maybe_among(ids)
+    assert ids.filter(test(F.col("id"))).count() == 1000
+    assert spark.range(10_000, 30_000).filter(test(F.col("id"))).count() < 40
+    assert spark.range(10).filter(maybe_among(ids.limit(0))(F.col("id"))).count() == 0
+
+
 def test_bands_follow_the_threshold():
     assert near_dedup.band_shape(85) == (7, 36) and near_dedup.band_shape(80) == (5, 51)
 
