@@ -411,7 +411,7 @@ def signed_and_joined(df: DataFrame, id_col: str, text_col: str, least: int) ->
     links = compared.filter("linked").select(F.col("hub").alias("a"), F.col("id").alias("b"))
     joined = components(links.unionByName(same_id.select(F.col("doc_id").alias("a"), F.col("id").alias("b"))))
     open_pairs = likely(prefix_pairs(compared, joined, least), classes, least).checkpoint()
-    more = confirm(open_pairs, texts_of(texts.withColumnRenamed("id", "doc_id"), open_pairs, "a", "b"), least)
+    more = confirm(open_pairs, texts_of(texts.withColumnRenamed("id", "doc_id"), open_pairs, "a", "b"), least).checkpoint()
     links = joined.filter("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(more)
     return signed, components(links)
 
