@@ -224,6 +224,42 @@ def test_language_pieces_have_the_counts_of_their_own_text():
     assert not [*language.piece_counts("")] + [*language.piece_counts("1 2 3")] + [*language.piece_counts("word")]
 
 
+def plain_runs(text, model):
+    """Length bin and cosine of the runs of 1, 2, 4, ... words of a whole text, each worked out from its own text."""
+    words, size, out = text.split(), 1, []
+    while True:
+        for start in range(0, len(words), size):
+            longer = size == 1 or start + size // 2 < len(words)
+            if longer and (counts := language.gram_counts(" ".join(words[start : start + size]))) is not None:
+                out.append((language.length_bin(counts), float((language.unit_rows(counts[None], model.idf) @ model.rows.T).max())))
+        if size >= len(words):
+            return out
+        size *= 2
+
+
+@pytest.mark.parametrize("segment", [1 << 14, 4])
+def test_language_cuts_come_from_all_runs_of_whole_texts(segment, monkeypatch):
+    monkeypatch.setattr(language, "_SEGMENT", segment)
+    monkeypatch.setattr(language, "_CELLS", 40)
+    rng, rnd = random.Random(5), np.random.default_rng(5)
+    model = language.Centroids(("a",), np.zeros(3, np.int64), language.unit_rows(rnd.integers(0, 3, (3, language.SLOTS)), np.ones(language.SLOTS)), rnd.uniform(1, 5, language.SLOTS), 0.0)
+    texts = [" ".join("".join(rng.choices("abcdé .1", k=rng.randint(1, 9))) for _ in range(n)) for n in (1, 2, 3, 37, 700)]
+    texts += ["Ab, 12 -- c-d eé\u0301f \u3000 日本 x1y (z) ! last one.. 7", "", " ", "1 2 3", "word", "\ud800a b", "x" * 3000, "a " * 50]
+    got = [np.concatenate([np.zeros(0, np.int64), *language.reached_by_runs([t], model.rows.astype(float), model.idf)]) for t in texts]
+    for text, found in zip(texts, got):
+        want = sorted(b * (language.LEVELS + 1) + cosine * language.LEVELS for b, cosine in plain_runs(text, model))
+        assert len(found) == len(want) and np.allclose(np.sort(found) + 0.5, want, rtol=0, atol=0.51)
+    together = np.concatenate(language.reached_by_runs(texts, model.rows.astype(float), model.idf))
+    assert np.array_equal(np.sort(together), np.sort(np.concatenate(got)))
+
+
+def test_language_cuts_count_words_wherever_they_stand(spark):
+    place = language.length_bin(language.gram_counts("stone"))
+    fit = lambda text: language.fit(spark.createDataFrame([(str(i), text, "a") for i in range(4)], "id string, text string, lang string"), centroids=1)
+    front, back = (fit(text).cuts[place] for text in ("zqxjk wvkpf " * 32 + "stone " * 512, "stone " * 512 + "zqxjk wvkpf " * 32))
+    assert 0 < front == back
+
+
 def test_language_rejects_what_is_far_from_every_centroid():
     counts = language.gram_counts("aaa bbb")
     model = language.Centroids(("x",), np.array([0]), language.unit_rows(counts[None], np.ones(language.SLOTS)), np.ones(language.SLOTS), 0.5)
