@@ -1,15 +1,15 @@
-"""Similar-name search: exact top-k without comparing all pairs.
+"""Similar-name search: exact top-k without scoring all pairs.
 
-Every name that could rank is reached by an equi-join:
+Every name that could rank is reached:
 
 * containment: a substring of the missing name equals the candidate, or both share the gram at the front of the shorter;
-* edit distance at most t: of t+1 pieces of the candidate at least one occurs in the missing name, shifted by no more
-  than the edits on either side of it. Piece, place and both lengths form the join key.
+* plain names: blocks of names are compared bit by bit (``edits``), first within two edits, then, for names that are still open,
+  within what their k-th best score leaves room for;
+* scoped names, whose leaves and full names count: for an edit distance of at most t, of t+1 pieces of the candidate at least one
+  occurs in the missing name, shifted by no more than the edits on either side of it. Piece, place and both lengths form the join
+  key. Rounds widen the search: t = 1 for every name, then t = 2, then the full plausibility limit.
 
-* prefix: plain names that may be plausible and begin alike meet by their first signs and lengths.
-
-Rounds widen the search: containment, prefixes and t = 1 for every name, then t = 2, then the full plausibility limit. A
-name goes into the next round only while its k-th best score does not beat everything that the rounds so far cannot have seen.
+A name goes into the next round only while its k-th best score does not beat everything that the rounds so far cannot have seen.
 """
 
 from __future__ import annotations
@@ -19,11 +19,11 @@ from pyspark.sql import functions as F
 
 from ..functions.names import index_key
 from ..session import ensure_checkpoint_dir
+from .edits import close_pairs
 
 # Fixed values of the score.
 SUBSTRING_BONUS, PREFIX_BONUS = -0.35, -0.15
 _GRAM = 6
-_PREFIX = 3
 # Pieces of missing names that a task may hold at once.
 _FEW = 200_000
 _PAIR = ["registry", "query", "candidate", "_q", "_ql", "_c", "_cl"]
@@ -155,15 +155,13 @@ def near_pairs(
     return _cut(forms, candidate).join(F.broadcast(q) if few else q, _PIECE).select(_PAIR)
 
 
-def prefix_pairs(missing: DataFrame, index: DataFrame) -> DataFrame:
-    """Pairs of plain names that begin alike, with lengths that leave room for a plausible distance."""
-    asked, forms = _both_forms(missing, index, _PLAIN)
-    width = PLAUSIBLE.format(n="greatest(length(s), o)")
-    lengths = F.expr(f"filter(sequence(greatest(1, int(length(s) * 0.5) - 3), length(s) * 2 + 3), o -> abs(length(s) - o) <= {width})")
-    head = F.left("s", F.lit(_PREFIX))
-    q = asked.filter(F.length("s") >= _PREFIX).select("*", head.alias("head"), F.explode(lengths).alias("width"))
-    c = forms.select("*", head.alias("head"), F.length("s").alias("width"))
-    return q.drop("s").join(c.drop("s"), ["registry", "kind", "head", "width"]).select(_PAIR)
+def plain_pairs(missing: DataFrame, index: DataFrame, most: int | None = None) -> DataFrame:
+    """Pairs of plain names at most ``most`` edits apart; without it, all that may rank beside ``_worst`` of ``missing``."""
+    q, c = missing.filter("_q = _ql"), index.filter("_c = _cl")
+    worst = F.lit(None).cast("double") if most is not None else F.col("_worst")
+    pairs = close_pairs(q.select("registry", F.col("_q").alias("s"), worst.alias("worst")), c.select("registry", F.col("_c").alias("s")), most, -PREFIX_BONUS)
+    found = pairs.join(q.select("registry", "query", "_q", "_ql"), ["registry", "_q"])
+    return found.join(c.select("registry", "candidate", "_c", "_cl"), ["registry", "_c"]).select(_PAIR)
 
 
 def containment_pairs(missing: DataFrame, index: DataFrame) -> DataFrame:
@@ -178,7 +176,9 @@ def containment_pairs(missing: DataFrame, index: DataFrame) -> DataFrame:
     sizes = F.broadcast(needle.select("registry", "kind", F.length("gram").alias("size")).distinct())
     grams = F.expr("array_distinct(transform(sequence(1, length(s) - size + 1), i -> substr(s, i, size)))")
     cut = cf.join(sizes, ["registry", "kind"]).filter(F.length("s") >= F.col("size")).withColumn("gram", F.explode(grams)).drop("size")
-    inside_candidate = needle.join(cut, ["registry", "kind", "gram"]).filter(F.contains("s", "needle"))
+    # As with pieces: the index has many grams, so few missing names go to it.
+    inside_candidate = cut.join(F.broadcast(needle) if missing.count() <= _FEW else needle, ["registry", "kind", "gram"])
+    inside_candidate = inside_candidate.filter(F.contains("s", "needle"))
     return inside_query.select(_PAIR).unionByName(inside_candidate.select(_PAIR))
 
 
@@ -197,15 +197,16 @@ def suggest_names(missing: DataFrame, index: DataFrame, k: int = 5) -> DataFrame
     ensure_checkpoint_dir(missing.sparkSession)
     # Every round and branch reads both; what they come from is worked out once.
     queries, names = _prepared(missing, "query", "q").checkpoint(), _prepared(index, "candidate", "c").checkpoint()
-    seen = containment_pairs(queries, names).unionByName(prefix_pairs(queries, names)).unionByName(near_pairs(queries, names, "1"))
+    seen = containment_pairs(queries, names).unionByName(plain_pairs(queries, names, 2))
+    scoped = not (queries.filter("_q <> _ql").isEmpty() and names.filter("_c <> _cl").isEmpty())
+    if scoped:
+        seen = seen.unionByName(near_pairs(queries, names, "1", _SCOPED))
     best = top_k(score_pairs(seen), k).checkpoint()
-    for least, limit in ((2, "2"), (3, PLAUSIBLE)):
-        # All plain pairs that begin alike were seen, so only pairs with a scoped name may still earn that bonus.
-        plain, scoped = _open(queries, best, k, least, 0.0).checkpoint(), _open(queries, best, k, least, PREFIX_BONUS).checkpoint()
-        lowest = 2 * F.greatest(F.lit(least), F.abs(F.col("ql") - F.col("cl"))) / F.greatest("ql", "cl")
-        wide = near_pairs(plain, names, limit, _PLAIN, F.col("_worst").isNull() | (lowest <= F.col("_worst")))
-        wide = wide.unionByName(near_pairs(scoped, names, limit, _SCOPED))
+    for least, limit in ((2, "2"), (3, PLAUSIBLE)) if scoped else ():
+        wide = near_pairs(_open(queries, best, k, least, PREFIX_BONUS).checkpoint(), names, limit, _SCOPED)
         best = top_k(best.drop("rank").unionByName(score_pairs(wide)), k).checkpoint()
+    wide = plain_pairs(_open(queries, best, k, 3, PREFIX_BONUS).checkpoint(), names)
+    best = top_k(best.drop("rank").unionByName(score_pairs(wide)), k).checkpoint()
     return best.withColumnRenamed("query", "package_name")
 
 

@@ -3,8 +3,10 @@
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from sparkwarden.operators import edits
 from sparkwarden.operators import similarity as sim
 
 
@@ -86,3 +88,43 @@ def test_a_settled_name_leaves_the_wide_round(spark, monkeypatch):
     rows = sim.suggest_names(missing, index, 5).orderBy("rank").collect()
     assert [r.candidate for r in rows] == near_by == direct("abcdefghij", [*near_by, "zyxdefghij"], 5)
     assert sum(pairs.count() for limit, pairs in wide if limit == sim.PLAUSIBLE) == 0
+
+
+def test_blocks_give_all_pairs_within_the_limit():
+    rng = random.Random(3)
+    for m, n in ((1, 1), (1, 5), (5, 4), (10, 12), (31, 33), (32, 30), (64, 66), (70, 64), (66, 68)):
+        a = ["".join(rng.choices("abçd\U0001f600", k=m)) for _ in range(6)]
+        b = ["".join(rng.choices("abçd\U0001f600", k=n)) for _ in range(6)] + [(x * n)[:n] for x in a]
+        rows = edits._rows("".join(a), m), edits._rows("".join(b), n)
+        for limit in (1, 2, 4, 20):
+            found = edits.near_rows(*rows, np.full(len(a), limit), edits.both_bits(rows[1]))
+            want = sorted((i, j, d) for i, x in enumerate(a) for j, y in enumerate(b) if (d := edit_distance(x, y)) <= limit)
+            assert sorted(zip(*(x.tolist() for x in found))) == want
+
+
+def test_names_that_begin_alike_are_not_all_scored(spark, monkeypatch):
+    rng = random.Random(4)
+    names = sorted({"abc" + "".join(rng.choices("defghijklmnop", k=rng.randint(7, 9))) for _ in range(700)})
+    queries, names = names[::20], [n for i, n in enumerate(names) if i % 20]
+    index = spark.createDataFrame([("npm", n) for n in names], "registry string, package_name string")
+    missing = spark.createDataFrame([("npm", n) for n in queries], "registry string, package_name string")
+    met, score = [], sim.score_pairs
+    monkeypatch.setattr(sim, "score_pairs", lambda pairs: met.append(pairs) or score(pairs))
+    got = {}
+    for r in sim.suggest_names(missing, index, 5).orderBy("package_name", "rank").collect():
+        got.setdefault(r.package_name, []).append(r.candidate)
+    assert got == {q: v for q in queries if (v := direct(q, names, 5))}
+    # Before, each met nearly all names, as plausible lengths and the same three signs were enough.
+    assert sum(pairs.count() for pairs in met) < len(queries) * len(names) // 4
+
+
+def test_lists_of_many_names_need_no_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(edits, "_FEW", 0)
+    monkeypatch.setattr(edits, "_ASKED", 4)
+    monkeypatch.setattr(edits, "_HELD", 8)
+    rows = lambda names, ddl: spark.createDataFrame([(r, *n) for n in names for r in ("npm", "pypi")], ddl)
+    names = words(40, 5)
+    asked = rows([(n, None) for n in names], "registry string, s string, worst double")
+    found = edits.close_pairs(asked, rows([(n,) for n in names], "registry string, s string"), 2)
+    want = [(r, a, b) for a in names for b in names for r in ("npm", "pypi") if edit_distance(a, b) <= 2]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
