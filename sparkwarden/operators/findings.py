@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,7 +13,6 @@ from .. import schema
 from ..functions import names
 from ..functions import text as tx
 from ..functions.globs import glob_regex
-from .intervals import points_in_intervals
 
 POSITION = ["detection_rule", "file", "line", "column"]
 
@@ -59,30 +60,21 @@ ANNOTATION_REASON = "Deduplicated with existing SAST annotation: "
 def dedup_existing_tools(findings: DataFrame, corpus: DataFrame) -> DataFrame:
     """Dismiss active layer-2 findings that another tool's comment on the same line or the two lines before explains.
 
-    A suppression tag suffices; a tool's name needs the rule or the type beside it. The first such line counts.
+    A suppression tag suffices; a tool's name needs the rule or the type beside it. The first such line counts. Comments are filed
+    under the three lines they may explain, so findings, and the detectors behind them, are read once.
     """
-    banded = findings.filter((F.col("detection_layer") == "L2") & ~F.col("dismissed")).select(
-        "file", "line", "detection_rule", "type",
-        F.greatest(F.lit(1), F.col("line") - 2).alias("_from"),
-    ).distinct()
-    near = points_in_intervals(comment_lines(corpus), banded, ["file"], "comment_line", "_from", "line")
-    said = F.col("_said")
+    comments = comment_lines(corpus).withColumn("line", F.explode(F.sequence(F.col("comment_line"), F.col("comment_line") + 2)))
+    said = F.struct("comment_line", "comment", "tagged", _words(F.col("comment")).alias("said"))
+    near = comments.groupBy("file", "line").agg(F.sort_array(F.collect_set(said)).alias("_near"))
     variants = [
         v
         for c in ("detection_rule", "type")
-        for v in (_words(F.col(c)), _words(F.regexp_replace(F.lower(F.col(c)), "^sast_", "")))
+        for v in (_words(F.col(c)), _words(F.regexp_replace(F.lower(c), "^sast_", "")))
     ]
-    mentioned = F.lit(False)
-    for v in variants:
-        mentioned = mentioned | ((v != "") & F.contains(said, v))
-    explained = (
-        near.withColumn("_said", _words(F.col("comment")))
-        .filter(F.col("tagged") | mentioned)
-        .groupBy("file", "line", "detection_rule", "type")
-        .agg(F.min_by("comment", "comment_line").alias("_note"))
-        .withColumn("_note", tx.clip(tx.collapse_spaces(F.col("_note")), 120))
-    )
-    joined = findings.join(explained, ["file", "line", "detection_rule", "type"], "left")
+    mentioned = lambda c: reduce(or_, [(v != "") & F.contains(c["said"], v) for v in variants])
+    note = F.get(F.filter("_near", lambda c: c["tagged"] | mentioned(c)), F.lit(0))["comment"]
+    known = F.col("_near").isNotNull() & F.col("detection_rule").isNotNull() & F.col("type").isNotNull()
+    joined = findings.join(near, ["file", "line"], "left").withColumn("_note", F.when(known, tx.clip(tx.collapse_spaces(note), 120)))
     hit = F.col("_note").isNotNull() & (F.col("detection_layer") == "L2") & ~F.col("dismissed")
     reason = F.concat(F.lit(ANNOTATION_REASON), F.col("_note"))
     return (

@@ -197,6 +197,8 @@ def suggest_names(missing: DataFrame, index: DataFrame, k: int = 5) -> DataFrame
     ensure_checkpoint_dir(missing.sparkSession)
     # Every round and branch reads both; what they come from is worked out once.
     queries, names = _prepared(missing, "query", "q").checkpoint(), _prepared(index, "candidate", "c").checkpoint()
+    if names.isEmpty() or queries.isEmpty():
+        return top_k(score_pairs(queries.join(names, "registry")), k).withColumnRenamed("query", "package_name")
     seen = containment_pairs(queries, names).unionByName(plain_pairs(queries, names, 2))
     scoped = not (queries.filter("_q <> _ql").isEmpty() and names.filter("_c <> _cl").isEmpty())
     if scoped:

@@ -8,6 +8,7 @@ from sparkwarden.operators import detect as de
 from sparkwarden.operators import findings as fo
 from sparkwarden.operators import secrets as se
 from sparkwarden.operators import spans as sp
+from sparkwarden.plans.detection_queries import code_corpus
 from sparkwarden.plans.scan import ScanOptions, scan_corpus
 
 CORPUS = "file string, text string, language string"
@@ -125,3 +126,34 @@ def test_rules_are_chosen_once_for_each_text(spark):
     found = de.scan_config_rules(files, 1)
     assert "Filter" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert {(r.file, r.detection_rule) for r in found.collect()} == {(f"f{i}", "insecure_config_debug_true") for i in range(3)}
+
+
+def test_findings_are_read_once_for_comments_of_other_tools(spark):
+    texts = corpus(spark, ("a.js", "x\n// snyk: sast_one here\n// nosemgrep: y\n\n\nz"), ("b.js", "// codeql xss"))
+    rows = [("a.js", n, r, t, layer, False, None, "m") for n in range(1, 8) for r, t, layer in (("sast_one", "sql", "L2"), ("two", "xss", "L2"), ("sast_one", "sql", "L1"))]
+    rows += [("b.js", 1, "two", "xss", "L2", False, None, "m"), ("b.js", 1, "two", "xss", "L2", True, "old", "m"), (None, 1, None, None, "L2", False, None, "m"), ("b.js", 1, None, "xss", "L2", False, None, "m")]
+    names = "file string, line int, detection_rule string, type string, detection_layer string, dismissed boolean, dismissed_reason string, message string"
+    found = fo.dedup_existing_tools(spark.createDataFrame(rows * 2, names).filter("message <> 'never there'"), texts)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("never there") == 1
+    said = fo.ANNOTATION_REASON
+    want = []
+    for row in rows:
+        file, line, rule, _, layer, dismissed, reason, _ = row
+        if file == "a.js" and layer == "L2":
+            reason = said + "snyk: sast_one here" if rule == "sast_one" and 2 <= line <= 4 else said + "nosemgrep: y" if 3 <= line <= 5 else None
+        elif file == "b.js" and rule and not dismissed:
+            reason = said + "codeql xss"
+        want += [(*row[:5], reason is not None, reason, "m")] * 2
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_code_from_a_table_without_splits_is_scanned_by_all_cores(spark, tmp_path):
+    rows = spark.range(50).selectExpr("id AS event_id", "timestamp_ntz'2024-01-01 00:00:00' AS ts", "id % 7 AS user_id", "'view' AS event_type", "1.0D AS value", "'{\"k\": 3}' AS props")
+    rows.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    before = spark.conf.get("spark.sparkwarden.inputPartitions")
+    spark.conf.set("spark.sparkwarden.inputPartitions", "")
+    try:
+        code = code_corpus(spark, str(tmp_path))
+        assert code.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and code.count() == 50
+    finally:
+        spark.conf.set("spark.sparkwarden.inputPartitions", before)

@@ -128,3 +128,12 @@ def test_lists_of_many_names_need_no_broadcast(spark, monkeypatch):
     found = edits.close_pairs(asked, rows([(n,) for n in names], "registry string, s string"), 2)
     want = [(r, a, b) for a in names for b in names for r in ("npm", "pypi") if edit_distance(a, b) <= 2]
     assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_an_empty_side_has_the_columns_of_a_full_one(spark):
+    some = spark.createDataFrame([("npm", "express"), ("npm", "expresss")], "registry string, package_name string")
+    full = sim.suggest_names(some, some, 5)
+    assert full.count() == 2
+    for missing, index in ((some, some.limit(0)), (some.limit(0), some)):
+        none = sim.suggest_names(missing, index, 5)
+        assert none.dtypes == full.dtypes and none.count() == 0
